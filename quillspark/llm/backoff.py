@@ -73,11 +73,11 @@ def batches(frames: Iterator[pa.RecordBatch], words: int = BATCH_WORDS) -> Itera
     for frame in frames:
         for at in range(0, len(frame), 2000):
             part = frame.slice(at, 2000)
-            texts = pc.ascii_lower(pc.fill_null(part.column(1).cast(pa.large_string()), ""))
+            texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
             lists = pc.ascii_split_whitespace(texts)
             coded = lists.flatten().dictionary_encode()
             known = coded.dictionary.to_pylist()
-            keys = np.array([xxhash.xxh64_intdigest(w.encode()) for w in known], np.uint64)
+            keys = np.array([xxhash.xxh64_intdigest(w.encode().lower()) for w in known], np.uint64)
             full = np.array([w != "" for w in known], bool)
             where = coded.indices.to_numpy()
             there = full[where] if len(known) else np.zeros(0, bool)
