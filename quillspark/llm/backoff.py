@@ -43,23 +43,22 @@ def _loose(packed: bytes, kind: type) -> np.ndarray:
 
 
 class Batch:
-    """Documents as word hashes; grams(n) are the n-gram keys at all places that have n words of one document."""
+    """Documents as word hashes."""
 
     def __init__(self, ids: list, lengths: np.ndarray, hashes: np.ndarray):
         self.ids, self.lengths, self.hashes = ids, lengths, hashes
 
-    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For n = 1..order: places (of the last word) and keys."""
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For n = 1..order: n, the places (of last words) that have n words of one document, and their keys."""
         starts = np.cumsum(self.lengths) - self.lengths
         depth = np.arange(len(self.hashes)) - np.repeat(starts, self.lengths)
-        out, key = [], self.hashes
+        key = self.hashes
         for n in range(1, order + 1):
             if n > 1:
-                key = np.concatenate([key[:1], chained(key[:-1], self.hashes[1:])]) if len(key) else key
+                key = np.concatenate([key[:1], chained(key[:-1], self.hashes[1:])])
             places = np.flatnonzero(depth >= n - 1)
             # the order is part of the key, so that all orders share the buckets
-            out.append((places, chained(key[places], np.full(len(places), n, np.uint64))))
-        return out
+            yield n, places, chained(key[places], np.full(len(places), n, np.uint64))
 
 
 def batches(frames: Iterator[pa.RecordBatch], words: int = BATCH_WORDS) -> Iterator[tuple[int, Batch]]:
@@ -96,11 +95,11 @@ def batches(frames: Iterator[pa.RecordBatch], words: int = BATCH_WORDS) -> Itera
         yield number, Batch(ids, np.concatenate(lengths), np.concatenate(hashes))
 
 
-def _distinct(batch: Batch, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Sorted distinct keys of all orders, their counts, each order's places, and the key number at each place."""
-    grams = batch.grams(order)
-    keys, inverse, counts = np.unique(np.concatenate([k for _, k in grams]), return_inverse=True, return_counts=True)
-    return keys, counts, [p for p, _ in grams], inverse
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts; sorts keys in place."""
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int = SEEN) -> DataFrame:
@@ -128,20 +127,21 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int =
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in batches(frames):
-            keys, counts, _, _ = _distinct(batch, order)
-            edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(edges))
-            parts = [(keys[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]) for b in used]
-            for at in range(0, len(parts), 256):
-                some = parts[at : at + 256]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array(used[at : at + 256].astype(np.int64)),
-                        "batch": pa.array([number] * len(some), pa.int64()),
-                        "keys": [_squeeze(np.diff(k, prepend=np.uint64(0))) for k, _ in some],
-                        "counts": [_squeeze(c.astype(np.uint32)) for _, c in some],
-                    }
-                )
+            for n, _, keys in batch.grams(order):
+                keys, counts = _distinct(keys)
+                edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(edges))
+                for at in range(0, len(used), 256):
+                    spans = [slice(edges[b], edges[b + 1]) for b in used[at : at + 256]]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "bucket": pa.array(used[at : at + 256].astype(np.int64)),
+                            "batch": pa.array([number] * len(spans), pa.int64()),
+                            "n": pa.array([n] * len(spans), pa.int32()),
+                            "keys": [_squeeze(np.diff(keys[x], prepend=np.uint64(0))) for x in spans],
+                            "counts": [_squeeze(counts[x].astype(np.uint32)) for x in spans],
+                        }
+                    )
 
     def total_up(frame: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(_loose(x, np.uint64), dtype=np.uint64) for x in frame["keys"]]
@@ -153,6 +153,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int =
             {
                 "batch": frame["batch"],
                 "bucket": frame["bucket"],
+                "n": frame["n"],
                 "mark": [zlib.crc32(k.tobytes()) for k in keys],
                 "sums": [_squeeze(sums[a:b]) for a, b in zip(edges, edges[1:], strict=False)],
             }
@@ -176,35 +177,32 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int =
         row = own.iloc[0]
         lengths = _loose(row["lengths"], np.uint32).astype(np.int64)
         batch = Batch(list(row["ids"]), lengths, _loose(row["words"], np.uint64)[_loose(row["at"], np.uint32)])
-        keys, _, places, inverse = _distinct(batch, order)
-        answers = answers.sort_values("bucket")
-        sums = np.concatenate([_loose(x, np.uint64) for x in answers["sums"]]) if len(answers) else np.zeros(0, np.uint64)
-        edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        marks = [zlib.crc32(keys[edges[b] : edges[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(edges))]
-        if len(sums) != len(keys) or marks != answers["mark"].tolist():
-            raise RuntimeError(f"batch {row['batch']} is not the one that was counted; docs must read alike each time")
-        found = sums[inverse].astype(np.float64)
+        answers = answers.sort_values(["n", "bucket"])
         logs = np.zeros(len(batch.hashes))
         before: np.ndarray | None = None  # counts of the n-grams one order lower, by place of the last word
-        at = 0
-        for n, where in enumerate(places, 1):
-            own_counts = np.zeros(len(logs))
-            own_counts[where] = found[at : at + len(where)]
-            at += len(where)
+        for n, where, keys in batch.grams(order):
+            told = answers[answers["n"] == n]
+            sums = np.concatenate([np.zeros(0, np.uint64), *(_loose(x, np.uint64) for x in told["sums"])])
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            marks = [zlib.crc32(distinct[edges[b] : edges[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(edges))]
+            if len(sums) != len(distinct) or marks != told["mark"].tolist():
+                raise RuntimeError(f"batch {row['batch']} is not the one that was counted; docs must read alike each time")
+            counts = np.zeros(len(logs))
+            counts[where] = sums[inverse]
             if n == 1:
-                logs = np.log(own_counts / total) if total else logs
-            elif len(where):
-                known = own_counts[where] >= seen
-                ratio = own_counts[where] / before[where - 1]
+                logs[where] = np.log(counts[where] / max(1, total))
+            else:
+                known = counts[where] >= seen
+                ratio = counts[where] / before[where - 1]
                 logs[where] = np.where(known, np.log(np.where(known, ratio, 1.0)), math.log(alpha) + logs[where])
-            before = own_counts
+            before = counts
         ends = np.concatenate([[0], np.cumsum(lengths)])
         by_doc = np.array([math.fsum(logs[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
-        out = pd.DataFrame({"doc_id": pd.Series(batch.ids, dtype="object"), "n_words": lengths, "log_score": by_doc})
-        return out
+        return pd.DataFrame({"doc_id": pd.Series(batch.ids, dtype="object"), "n_words": lengths, "log_score": by_doc})
 
-    counted = rows.mapInArrow(count, "bucket long, batch long, keys binary, counts binary")
-    answers = counted.groupBy("bucket").applyInPandas(total_up, "batch long, bucket long, mark long, sums binary")
+    counted = rows.mapInArrow(count, "bucket long, batch long, n int, keys binary, counts binary")
+    answers = counted.groupBy("bucket").applyInPandas(total_up, "batch long, bucket long, n int, mark long, sums binary")
     held = rows.mapInArrow(texts, f"batch long, ids array<{id_type}>, lengths binary, words binary, at binary")
     scored = (
         held.groupBy("batch")
