@@ -1,0 +1,282 @@
+"""The operators on small tables with nulls, empty and repeated rows, against brute force."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillspark.llm import backoff, chat, exact, html_text, lattice, mixing, packing, secrets, simhash, toxicity
+from quillspark.llm.components import connected_components
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, `extra col` string"
+
+
+def texts(seed=1, count=60):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    out = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 120))) for _ in range(count)]
+    near = out[0].split() * 40
+    out += [None, "", "  \n", " ".join(near), " ".join(near[:-1] + ["zz"]), out[3], out[3].replace(" ", "\n\t "), out[3].upper()]
+    return out
+
+
+def documents(spark, given=None):
+    rows = [(k, t, "en", None if k % 7 == 0 else f"s{k % 4}", len(t or ""), "x") for k, t in enumerate(texts() if given is None else given)]
+    return spark.createDataFrame(rows + (rows[5:6] if given is None else []) + ([(None, "no id", "en", "s1", 5, "x")] if given is None else []), DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).cache()
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 200), (None, 4)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_print(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    parts = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, docs):
+    got = simhash.near_duplicates(docs).collect()
+    prints = {(r["doc_id"], r["fp"] & (1 << 64) - 1) for r in got}
+    assert len(got) == docs.count() and prints == {(r["doc_id"], brute_print(r["text"])) for r in docs.collect()}
+    component = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    root = {i: i for i in component}
+    for _ in component:
+        for a, x in prints:
+            for b, y in prints:
+                if a is not None and b is not None and (x ^ y).bit_count() <= 3:
+                    root[a] = min(root[a], root[b])
+    assert component == root and component[64] == component[63]
+    assert simhash.near_duplicates(documents(spark, [])).count() == 0
+    kept = simhash.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*{c for c in component.values()}, None])
+
+
+def test_tiles_find_all_pairs():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 400).astype(np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    both = np.concatenate([a, b])
+    found = {(int(i), int(j)) for x, y in simhash.close_pairs(both, both) for i, j in zip(x, y, strict=True)}
+    assert found == set(map(tuple, np.argwhere(np.bitwise_count(both[:, None] ^ both[None, :]) <= 3).tolist()))
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 50, 2000):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        moved, slot = exact.place(h, rng.integers(0, 1024, n))
+        assert sorted(slot) == list(range(n))
+        assert (exact.chained(h, moved.astype(np.uint64)).view(np.int64) % n == slot).all()
+
+
+def test_exact(spark, docs):
+    got = exact.exact_duplicates(docs).collect()
+    clean = {(r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in docs.collect()}
+    groups = {}
+    for i, t in clean:
+        groups.setdefault(t, []).append(i)
+    assert len(got) == docs.count() and sum(r["kept"] for r in got) == len(groups)
+    winner = {i: min((x for x in groups[t] if x is not None), default=None) for i, t in clean}
+    assert all(r["keep_id"] == winner[r["doc_id"]] for r in got) and winner[66] == 3
+    kept = exact.first_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    history = docs.where("doc_id < 10")
+    later = exact.exact_duplicates(docs.where("doc_id >= 3"), history)
+    assert all(r["seen_before"] == (r["doc_id"] < 10 or r["doc_id"] in (65, 66)) for r in later.collect())
+    assert exact.exact_duplicates(documents(spark, [])).count() == 0
+
+
+def test_mixing(spark, docs):
+    got = mixing.mixture(docs).collect()
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, budget, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while free:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        for s in over or free:
+            target[s] = 2.0 * sizes[s] if over else level * weight[s]
+        free -= over or set(free)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["taken"] <= 2 * r["size"]
+    assert len(got) == docs.count() and all(taken[s] == int(target[s] + 1e-9) for s in order)
+    assert mixing.mixture(docs).exceptAll(mixing.mixture(docs)).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == taken and mixing.mixture(documents(spark, [])).count() == 0
+
+
+def test_packing(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    long = [" ".join(texts()[k] for k in range(40)) * 3, "a\x1cb\x85c <|endoftext|> İ don't ½ 日本"]
+    both = docs.unionByName(documents(spark, long).withColumn("doc_id", F.col("doc_id") + 1000))
+    pieces = packing.pack(both).collect()
+    rows = both.dropDuplicates(["doc_id"]).collect()
+    copies = Counter(r["doc_id"] for r in both.collect())
+    for r in rows:
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        own = sorted({(p["start"], p["length"], p["ids_crc32"]) for p in pieces if p["doc_id"] == r["doc_id"]})
+        assert [s for s, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))] and sum(n for _, n, _ in own) == len(ids)
+        assert all(zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == crc for s, n, crc in own)
+        assert len([p for p in pieces if p["doc_id"] == r["doc_id"]]) == copies[r["doc_id"]] * len(own)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_differencing():
+    sizes = np.random.default_rng(1).integers(1, 257, 1500)
+    sets = packing.windows(sizes)
+    assert sorted(k for s in sets for k in s) == list(range(1500))
+    assert sizes.sum() / (2048 * len(sets)) > 0.98 and packing.windows(np.array([2000, 2000, 90])) and packing.difference(np.array([], int), 2) == [[], []]
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(120, 64))
+    near = np.repeat(base[:20], 6, axis=0) + rng.normal(size=(120, 64)) * 0.2
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.float32(np.vstack([base, near])))]
+    rows += [(240, rows[0][1]), (241, rows[0][1]), (242, None), (243, []), (244, [0.0] * 64), (245, [float("nan")] * 64), (246, [1.0, None]), (247, [1.0, 2.0]), (248, [2.0, 4.0]), (None, rows[0][1])]
+    got = {r["vec_id"]: r for r in lattice.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    v = np.array([r[1] for r in rows[:242]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links = (v @ v.T >= 0.95).sum(axis=1) - 1
+    assert len(got) == 250 and sum(got[k]["n_links"] for k in range(242)) >= 0.9 * links.sum() and all(got[k]["n_links"] <= links[k] for k in range(242))
+    assert got[241]["component_id"] == 0 and got[247]["n_links"] == 1 and all(got[k]["kept"] and not got[k]["n_links"] for k in (242, 243, 244, 245, 246))
+    assert (lattice.decode(lattice.shortest()) == lattice.shortest()).all() and len(lattice.shortest()) == 240
+
+
+def test_html():
+    page = (
+        "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use</div>"
+        "<article><header><h1>Head &amp; line</h1></header><p>Be.</p><p>A  long\n paragraph <b>with</b> marks&hellip; and more words than others</p>"
+        "<script>var a='</p>';</script><div class=ad>Buy</div><ul><li>one</li><li>two</li></ul></article>"
+        "<section id='comments'><p>reader</p></section><form><p>Sign up</p></form><footer>(c)</footer></body></html>"
+    )
+    assert html_text.main_text(page) == "Head & line\nBe.\nA long paragraph with marks… and more words than others\none\ntwo"
+    bare = "<body><div class=menu><a href=x>Home</a></div><h1>Title</h1><p>Short.</p><p>" + "words of text " * 20 + "</p><p><a href=a>x y z</a></p>"
+    assert html_text.main_text(bare) == "Title\nShort.\n" + ("words of text " * 20).strip()
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p> </p>") == "" and html_text.main_text("a < b") == "a < b"
+
+
+def test_backoff(spark, docs):
+    given = [r["text"] for r in docs.collect()]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    split = [[lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in given]
+    counts = [Counter(tuple(w[k - n : k]) for w in split for k in range(n, len(w) + 1)) for n in (1, 2, 3)]
+    total = sum(counts[0].values())
+
+    def score(words):
+        out = 0.0
+        for k in range(1, len(words) + 1):
+            factor = 0.0
+            for n in range(min(3, k), 0, -1):
+                c = counts[n - 1][tuple(words[k - n : k])]
+                if n == 1 or c >= 2:
+                    out += factor + np.log(c / (counts[n - 2][tuple(words[k - n : k - 1])] if n > 1 else total))
+                    break
+                factor += np.log(0.4)
+        return out
+
+    want = sorted((len(w), round(score(w), 6)) for w in split)
+    assert sorted((r["n_words"], round(r["log_score"], 6)) for r in backoff.score(docs).collect()) == want
+    assert backoff.score(documents(spark, [])).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioutnsr") for _ in range(4)) for _ in range(200)]
+    bad = ["vile", "vilest", "scumbag"]
+    rows, labels = [], []
+    for k in range(600):
+        toxic, poor = int(rng.random() < 0.3), int(rng.random() < 0.2)
+        body = rng.choices(words, k=40) + (rng.sample(bad, 2) if toxic else []) + (["junkword"] if poor else [])
+        rng.shuffle(body)
+        rows.append(" ".join(body))
+        labels.append((k, 1 - poor, toxic))
+    given = documents(spark, [*rows, None, ""])
+    held = spark.createDataFrame([*labels[:400], (3, None, None), labels[0]], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(given, held)
+    got = {r["doc_id"]: r for r in toxicity.probabilities(given, chain).collect()}
+    assert len(chain) == 2 and len(got) == 602
+    assert np.mean([got[k]["rejected"] == bool(t) for k, _, t in labels[400:]]) > 0.97
+    assert not any(r["rejected"] for r in toxicity.probabilities(given, toxicity.train(given, held.limit(0))).collect())
+    assert toxicity.clean_documents(given, held).columns == given.columns
+
+
+def test_secrets(spark):
+    forest = secrets.train_forest()
+    held = secrets.labelled_findings(800, seed=99)
+    p = forest.probability(np.array([secrets.features(c, b, s) for c, b, s, _ in held]))
+    assert np.mean((p >= 0.5) == np.array([y for *_, y in held], bool)) > 0.95
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    given = documents(spark, [f'ein text token = "{key}" ende', f"see commit {key} there", None, ""])
+    got = {(r["doc_id"], r["start"], r["candidate"], r["is_secret"]) for r in secrets.scan(given, forest).collect()}
+    assert got == {(0, 18, key, True), (1, 11, key, False)}
+    assert secrets.redact(f"a {key} b", [(2, 40)]) == "a <secret> b"
+
+
+def test_chat(spark):
+    rng = random.Random(3)
+    rows = []
+    for c in range(150):
+        turns = (["system"] if c % 3 == 0 else []) + ["user", "assistant"] * rng.randint(1, 3)
+        for t, role in enumerate(turns):
+            n = 3 if role == "user" else 20
+            rows.append((c, t, role, "\n".join(" ".join(["Word", *["word"] * rng.randint(1, n)]) + "." for _ in range(1 if role == "user" else 2))))
+    turns = spark.createDataFrame([*rows, (900, 0, None, "x"), (901, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    talks = chat.conversations(turns)
+    model = chat.train_roles(talks)
+    right = []
+    for row in talks.collect():
+        pairs = [(t["role"], t["text"]) for t in row["turns"]]
+        if row["style"] < 5:
+            right.append(model.parse(chat.transcribe(pairs, row["style"])[0]) == pairs)
+            assert chat.parse_canonical(chat.render(pairs)) == pairs
+    assert np.mean(right) > 0.95
+    assert chat.format_chats(talks.select("conv_id", "part", F.lit(None).cast("string").alias("transcript")), model).first()["n_turns"] == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]
+    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
