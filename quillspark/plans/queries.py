@@ -281,7 +281,7 @@ o AS (SELECT kind, key,
 """.replace("{normal}", _normal("text"))
 
 _REGIONS = """
-e AS (SELECT user_id, epoch_ms(ts)::DOUBLE AS lo, (epoch_ms(ts) + round(value * 600)::BIGINT * 1000)::DOUBLE AS hi FROM events),
+e AS (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS lo, ((epoch_us(ts) // 1000) + round(value * 600)::BIGINT * 1000)::DOUBLE AS hi FROM events),
 m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END)
         OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING)::BIGINT AS region FROM m),
