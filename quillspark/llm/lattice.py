@@ -74,15 +74,18 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(reps: DataFrame, tables: int, scale: float, probes: int) -> DataFrame:
-    """(rep, cell, own, unit): a row for the cell of each table that holds a vector, and for those it probes."""
+def _cells(reps: DataFrame, tables: int, scale: float, probes: int, kind: str) -> DataFrame:
+    """(rep, cell, own, raw): a row for the cell of each table that holds a vector, and for those it probes.
+
+    raw holds the vector's components as they came (kind is their numpy type); floats take half a double's bytes.
+    """
     steps = shortest()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame.embedding.map(len)):
                 unit = unit_rows(part.embedding.tolist())
-                packed = [row.tobytes() for row in unit]
+                packed = [np.asarray(v, kind).tobytes() for v in part.embedding]
                 ids = part.rep.to_numpy()
                 for t, matrix in enumerate(projections(int(dim), tables, scale)):
                     at = unit @ matrix
@@ -92,16 +95,16 @@ def _cells(reps: DataFrame, tables: int, scale: float, probes: int) -> DataFrame
                     cells = np.concatenate([own[:, None, :], own[:, None, :] + steps[best]], axis=1)
                     keys = _cell_key(cells, int(dim) * 64 + t)
                     for p in range(probes + 1):
-                        yield pd.DataFrame({"rep": ids, "cell": keys[:, p], "own": p == 0, "unit": packed})
+                        yield pd.DataFrame({"rep": ids, "cell": keys[:, p], "own": p == 0, "raw": packed})
 
-    return reps.mapInPandas(run, "rep long, cell long, own boolean, unit binary")
+    return reps.mapInPandas(run, "rep long, cell long, own boolean, raw binary")
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Function for mapInPandas over rows sorted by block: the links between a block's vectors."""
 
     def links(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        units = np.stack([np.frombuffer(x, np.float64) for x in block.unit])
+        units = unit_rows([np.frombuffer(x, kind) for x in block.raw])
         ids, side = block.rep.to_numpy(), block.side.to_numpy()
         if (side == 3).any():
             left, right = np.arange(len(side)), np.flatnonzero(block.own.to_numpy())
@@ -159,7 +162,8 @@ def similar_vectors(
     reps = store(
         rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
-    cells = store(_cells(reps.select("rep", "embedding"), tables, scale, probes), "cells")
+    kind = "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
+    cells = store(_cells(reps.select("rep", "embedding"), tables, scale, probes, kind), "cells")
     full = cells.where("own").groupBy("cell").agg(F.count("*").alias("members")).withColumn(
         "tiles", F.ceil(F.col("members") / TILE).cast("int")
     )
@@ -187,11 +191,11 @@ def similar_vectors(
         .when(F.col("own"), F.concat(among, hosts))
         .otherwise(guests)
     )
-    dealt = met.select("rep", "cell", "own", "unit", F.explode(places).alias("at"))
+    dealt = met.select("rep", "cell", "own", "raw", F.explode(places).alias("at"))
     blocks = dealt.select(
-        F.xxhash64("cell", "at.kind", "at.x", "at.y").alias("block"), "rep", "own", F.col("at.side").alias("side"), "unit"
+        F.xxhash64("cell", "at.kind", "at.x", "at.y").alias("block"), "rep", "own", F.col("at.side").alias("side"), "raw"
     )
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_compare(threshold), "a long, b long")
+    found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_compare(threshold, kind), "a long, b long")
     pairs = store(found.distinct(), "pairs")
     roots = store(connected_components(pairs), "roots")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
