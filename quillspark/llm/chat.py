@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.storage import table
+from quillspark.llm.storage import store, table
 
 ROLES = ("system", "user", "assistant")
 #: Hidden states: the first line of a turn of each role, then further lines.
@@ -163,14 +163,29 @@ def transcribe(turns: list[tuple[str, str]], style: int) -> tuple[str, list[int]
     return "\n".join(lines), states
 
 
+def _part() -> Column:
+    return F.floor(F.coalesce("turn", F.lit(0)) / PART).cast("long")
+
+
+def sampled_turns(turns: DataFrame, most: int = TRAINING) -> DataFrame:
+    """The rows of turns that belong to `most` parts of conversations, those of least hash.
+
+    Only keys are sorted and sent around; the texts of other conversations are neither shuffled nor collected.
+    """
+    rows = turns.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", "text")
+    keys = rows.select(F.col("conv_id").alias("key"), _part().alias("key_part")).distinct()
+    keys = store(keys.orderBy(F.xxhash64("key", "key_part"), "key", "key_part").limit(most), "talks")
+    # at most `most` keys
+    return rows.join(F.broadcast(keys), F.col("conv_id").eqNullSafe(F.col("key")) & (_part() == F.col("key_part")), "left_semi")
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, part, style, turns): the ordered turns of each conversation, PART turns at most by number.
 
     Rows with a null or unknown role are left out of the turns; a null text is empty; a null turn comes first.
     """
-    part = F.floor(F.coalesce("turn", F.lit(0)) / PART).cast("long")
     known = turns.where(F.col("role").isin(*ROLES)).select(
-        "conv_id", part.alias("part"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", _part().alias("part"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")
     )
     grouped = known.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     style: Column = F.pmod(F.xxhash64("conv_id", "part"), F.lit(len(STYLES))).cast("int")
@@ -212,8 +227,9 @@ def format_chats(transcripts: DataFrame, model: RoleModel) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, written as transcripts, parsed and rendered; right tells whether the turns came back."""
-    talks = conversations(table(spark, sf_dir, "conversations"))
-    model = train_roles(talks)
+    turns = table(spark, sf_dir, "conversations")
+    talks = conversations(turns)
+    model = train_roles(conversations(sampled_turns(turns)))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

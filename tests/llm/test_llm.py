@@ -258,6 +258,8 @@ def test_chat(spark):
     turns = spark.createDataFrame([*rows, (900, 0, None, "x"), (901, 0, "user", None)], "conv_id long, turn long, role string, text string")
     talks = chat.conversations(turns)
     model = chat.train_roles(talks)
+    some = chat.conversations(chat.sampled_turns(turns, 40))
+    assert some.count() == 40 and np.array_equal(chat.train_roles(some).step, chat.train_roles(talks, 40).step)
     right = []
     for row in talks.collect():
         pairs = [(t["role"], t["text"]) for t in row["turns"]]
