@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.components import connected_components
+from quillspark.llm.components import connected_components, local_roots
 from quillspark.llm.storage import store, table
 
 TABLES = 5
 #: Factor from unit vectors to lattice units, and neighbouring cells that each vector probes.
 SCALE = 7.0
 PROBES = 3
-#: Members of a cell that meet in one block; fuller cells are compared tile by tile.
+#: Members, or guests, of a cell that meet in one block; fuller cells are compared tile by tile.
 TILE = 1024
+MOST_TABLES = 64
+BLOCK = ["salt", "cell", "kind", "x", "y"]
 SEED = 8
 
 
@@ -74,65 +76,125 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(reps: DataFrame, tables: int, scale: float, probes: int, kind: str) -> DataFrame:
-    """(rep, cell, own, raw): a row for the cell of each table that holds a vector, and for those it probes.
+def lattice_keys(units: np.ndarray, matrix: np.ndarray, probes: int, salt: int) -> np.ndarray:
+    """Keys of the cell that holds each unit vector, then of those it probes.
 
-    raw holds the vector's components as they came (kind is their numpy type); floats take half a double's bytes.
+    Sums run component by component, so that a vector has the same cells in whatever company it is looked at.
     """
     steps = shortest()
+    at = np.zeros((len(units), 8))
+    for k in range(units.shape[1]):
+        at += units[:, k, None] * matrix[k]
+    own = decode(at)
+    off = at - own
+    gain = np.zeros((len(units), len(steps)))
+    for k in range(8):
+        gain += off[:, k, None] * steps[:, k]
+    best = np.argpartition(-gain, probes, axis=1)[:, :probes]
+    return _cell_key(np.concatenate([own[:, None, :], own[:, None, :] + steps[best]], axis=1), salt)
+
+
+def _cells(reps: DataFrame, tables: int, scale: float, probes: int, kind: str) -> DataFrame:
+    """(rep, copies, salt, cell, own, raw): a row for the cell of each table that holds a vector, and for those it probes.
+
+    salt is the vectors' length times MOST_TABLES, plus the table's number; raw holds the components as they
+    came (kind is their numpy type); floats take half a double's bytes.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame.embedding.map(len)):
-                unit = unit_rows(part.embedding.tolist())
+                units = unit_rows(part.embedding.tolist())
                 packed = [np.asarray(v, kind).tobytes() for v in part.embedding]
-                ids = part.rep.to_numpy()
                 for t, matrix in enumerate(projections(int(dim), tables, scale)):
-                    at = unit @ matrix
-                    own = decode(at)
-                    gain = (at - own) @ steps.T
-                    best = np.argpartition(-gain, probes, axis=1)[:, :probes]
-                    cells = np.concatenate([own[:, None, :], own[:, None, :] + steps[best]], axis=1)
-                    keys = _cell_key(cells, int(dim) * 64 + t)
+                    salt = int(dim) * MOST_TABLES + t
+                    keys = lattice_keys(units, matrix, probes, salt)
                     for p in range(probes + 1):
-                        yield pd.DataFrame({"rep": ids, "cell": keys[:, p], "own": p == 0, "raw": packed})
+                        yield pd.DataFrame(
+                            {
+                                "rep": part.rep.to_numpy(),
+                                "copies": part.copies.to_numpy(),
+                                "salt": salt,
+                                "cell": keys[:, p],
+                                "own": p == 0,
+                                "raw": packed,
+                            }
+                        )
 
-    return reps.mapInPandas(run, "rep long, cell long, own boolean, raw binary")
+    return reps.mapInPandas(run, "rep long, copies long, salt long, cell long, own boolean, raw binary")
 
 
-def _compare(threshold: float, kind: str):
-    """Function for mapInPandas over rows sorted by block: the links between a block's vectors."""
+class Meetings:
+    """Which pairs of a block's vectors meet there first, of all the blocks where they meet.
 
-    def links(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    A pair meets in a table if one of them probes or shares the other's cell.  The first table counts; in it,
+    if each probes the other's cell, the cell of the smaller id.
+    """
+
+    def __init__(self, units: np.ndarray, ids: np.ndarray, salt: int, tables: int, scale: float, probes: int):
+        self.units, self.ids, self.salt, self.probes = units, ids, salt, probes
+        self.matrices = projections(units.shape[1], tables, scale)[: salt % MOST_TABLES + 1]
+
+    def first(self, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Places, in the pairs (i, j), of those that meet first in this block; both: j's cell is i's, else i is a guest."""
+        here = np.arange(len(i))
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        x, y = at[: len(i)], at[len(i) :]
+        for t, matrix in enumerate(self.matrices):
+            if not len(here):
+                break
+            keys = lattice_keys(self.units[used], matrix, self.probes, self.salt - len(self.matrices) + 1 + t)
+            left, right = keys[x[here]], keys[y[here]]
+            guest_probed = (right == left[:, :1]).any(axis=1)  # the cell of i, among those of j
+            if t + 1 < len(self.matrices):
+                met = guest_probed | (left == right[:, :1]).any(axis=1)
+            else:
+                met = ~both[here] & guest_probed & (self.ids[i[here]] < self.ids[j[here]])
+            here = here[~met]
+        return here
+
+
+def _compare(threshold: float, kind: str, tables: int, scale: float, probes: int):
+    """Function for mapInPandas over rows sorted by block: for each linked vector, what the block adds.
+
+    (a, b, linked): vectors linked with a that it meets first in this block, repeats counted, and the
+    vector that stands for a's links in the block, so rows never outnumber the block's.
+    """
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
         units = unit_rows([np.frombuffer(x, kind) for x in block.raw])
-        ids, side = block.rep.to_numpy(), block.side.to_numpy()
-        if (side == 3).any():
-            left, right = np.arange(len(side)), np.flatnonzero(block.own.to_numpy())
-        else:
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
-        for s in range(0, len(left), 4096):
-            rows = left[s : s + 4096]
-            i, j = np.nonzero(units[rows] @ units[right].T >= threshold)
-            a, b = ids[rows[i]], ids[right[j]]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        ids, side, own = block.rep.to_numpy(), block.side.to_numpy(), block.own.to_numpy()
+        copies = block.copies.to_numpy()
+        meetings = Meetings(units, ids, int(block.salt.iloc[0]), tables, scale, probes)
+        whole = bool((side == 3).any())
+        left, right = (np.arange(len(side)), np.flatnonzero(own)) if whole else (np.flatnonzero(side != 1), np.flatnonzero(side == 1))
+        linked, root = np.zeros(len(side)), np.arange(len(side))
+        for s in range(0, len(left), 1024):
+            i, j = np.nonzero(units[left[s : s + 1024]] @ units[right].T >= threshold)
+            i, j = left[s + i], right[j]
+            good = (i < j) | ~own[i] if whole else ids[i] != ids[j]
+            i, j = i[good], j[good]
+            first = meetings.first(i, j, own[i])
+            i, j = i[first], j[first]
+            linked += np.bincount(i, copies[j], len(side)) + np.bincount(j, copies[i], len(side))
+            root = local_roots(root[i], root[j], len(side))[root]
+        some = np.flatnonzero(linked)
+        return pd.DataFrame({"a": ids[some], "b": ids[root[some]], "linked": linked[some].astype(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for frame in frames:
             if rest is not None and len(rest):
                 frame = pd.concat([rest, frame], ignore_index=True)
-            key = frame.block.to_numpy()
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key = frame[BLOCK].to_numpy()
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(frame) else np.zeros(0, int)
             ends = np.append(starts[1:], len(frame))
             for s, e in zip(starts[:-1], ends[:-1], strict=True):
                 if e - s > 1:
-                    yield from links(frame.iloc[s:e])
+                    yield links(frame.iloc[s:e])
             rest = frame.iloc[starts[-1] :] if len(starts) else frame
         if rest is not None and len(rest) > 1:
-            yield from links(rest)
+            yield links(rest)
 
     return run
 
@@ -144,8 +206,9 @@ def similar_vectors(
 
     Equal vectors are one class; only class representatives are hashed.  A vector meets those of its own cell
     and, in the cells it probes, their members; cosines of all that meet are computed in double precision.
-    Cells of more than TILE members are compared tile by tile, each pair of tiles in a block of its own, so
-    nothing is left out and no block grows.
+    Cells of more than TILE members or guests (vectors that probe them) are compared tile by tile, each pair of
+    tiles in a block of its own, so nothing is left out and no block grows.  A pair counts in the block where it
+    meets first, so blocks return a sum and a link for each vector, never their pairs.
 
     Defined results: a vector that is null, empty, zero or holds null or non-finite components, or that has no
     vec_id, has no links and is its own component; vectors of different lengths do not link; repeated rows
@@ -163,17 +226,26 @@ def similar_vectors(
         rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     kind = "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
-    cells = store(_cells(reps.select("rep", "embedding"), tables, scale, probes, kind), "cells")
-    full = cells.where("own").groupBy("cell").agg(F.count("*").alias("members")).withColumn(
-        "tiles", F.ceil(F.col("members") / TILE).cast("int")
+    cells = store(_cells(reps, tables, scale, probes, kind), "cells")
+    full = (
+        cells.groupBy("salt", "cell")
+        .agg(F.count_if("own").alias("members"), F.count_if(~F.col("own")).alias("guests"))
+        .where("members > 0 and members + guests > 1")
+        .select(
+            "salt",
+            "cell",
+            F.ceil(F.col("members") / TILE).cast("int").alias("tiles"),
+            F.ceil(F.col("guests") / TILE).cast("int").alias("guest_tiles"),
+        )
     )
-    met = cells.join(full, "cell").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    last = F.col("tiles") - 1
+    tiles_here = F.when(F.col("own"), F.col("tiles")).otherwise(F.col("guest_tiles"))
+    met = cells.join(full, ["salt", "cell"]).withColumn("tile", F.pmod(F.xxhash64("rep"), tiles_here).cast("int"))
 
     def spot(kind: int, host: Column, guest: Column, side: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), host.alias("x"), guest.alias("y"), side.alias("side"))
 
-    every = F.sequence(F.lit(0), last)
+    zero = F.lit(0)
+    every = F.sequence(zero, F.col("tiles") - 1)
     among = F.transform(
         every,
         lambda o: spot(
@@ -183,23 +255,22 @@ def similar_vectors(
             F.when(F.col("tile") == o, 3).when(F.col("tile") < o, 0).otherwise(1),
         ),
     )
-    hosts = F.transform(every, lambda o: spot(1, F.col("tile"), o, F.lit(1)))
+    every_guest = F.slice(F.sequence(zero, F.col("guest_tiles")), F.lit(1), F.col("guest_tiles"))
+    hosts = F.transform(every_guest, lambda o: spot(1, F.col("tile"), o, F.lit(1)))
     guests = F.transform(every, lambda o: spot(1, o, F.col("tile"), F.lit(2)))
-    zero = F.lit(0)
     places = (
-        F.when(F.col("tiles") == 1, F.array(spot(0, zero, zero, F.lit(3))))
+        F.when((F.col("tiles") == 1) & (F.col("guest_tiles") <= 1), F.array(spot(0, zero, zero, F.lit(3))))
         .when(F.col("own"), F.concat(among, hosts))
         .otherwise(guests)
     )
-    dealt = met.select("rep", "cell", "own", "raw", F.explode(places).alias("at"))
-    blocks = dealt.select(
-        F.xxhash64("cell", "at.kind", "at.x", "at.y").alias("block"), "rep", "own", F.col("at.side").alias("side"), "raw"
+    blocks = met.select("rep", "copies", "salt", "cell", "own", "raw", F.explode(places).alias("at")).select(
+        "rep", "copies", "salt", "cell", "own", "raw", "at.*"
     )
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_compare(threshold, kind), "a long, b long")
-    pairs = store(found.distinct(), "pairs")
-    roots = store(connected_components(pairs), "roots")
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(reps.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+    compare = _compare(threshold, kind, tables, scale, probes)
+    found = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInPandas(compare, "a long, b long, linked long")
+    links = store(found, "links")
+    roots = store(connected_components(links.select("a", "b")), "roots")
+    others = links.groupBy("a").agg(F.sum("linked").alias("linked"))
     of_rep = (
         reps.join(others, reps.rep == others.a, "left")
         .join(roots, reps.rep == roots.node, "left")

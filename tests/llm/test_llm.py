@@ -177,6 +177,24 @@ def test_embeddings(spark):
     assert (lattice.decode(lattice.shortest()) == lattice.shortest()).all() and len(lattice.shortest()) == 240
 
 
+def test_embeddings_in_tiles(spark, monkeypatch):
+    """A group of near copies over many tiles, with guests: each link counts once, in whatever company it is found."""
+    monkeypatch.setattr(lattice, "TILE", 16)
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(size=24) + rng.normal(size=(150, 24)) * 0.15, rng.normal(size=(100, 24))])
+    vectors = [(500 - k, [float(x) for x in v]) for k, v in enumerate(rows)]
+    vectors += [(1000 + k, vectors[k][1]) for k in range(30)]
+    got = {r["vec_id"]: r for r in lattice.similar_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    v = np.array([x for _, x in vectors])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links = dict(zip([i for i, _ in vectors], (v @ v.T >= 0.95).sum(axis=1) - 1, strict=True))
+    assert all(got[i]["n_links"] <= n for i, n in links.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * sum(links.values()) > 20_000
+    matrix = lattice.projections(24, 1)[0]
+    together = lattice.lattice_keys(v, matrix, 3, 7)
+    assert all((lattice.lattice_keys(v[k : k + 1], matrix, 3, 7) == together[k]).all() for k in range(len(v)))
+
+
 def test_html():
     page = (
         "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use</div>"
