@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ BLOCK = ["salt", "cell", "kind", "x", "y"]
 SEED = 8
 
 
+@functools.cache
 def shortest() -> np.ndarray:
     """The 240 shortest vectors of E8: (±1, ±1, 0...) in any places, (±½)^8 with an even number of minuses."""
     whole = []
@@ -51,6 +53,7 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(((x - a) ** 2).sum(axis=1, keepdims=True) <= ((x - b) ** 2).sum(axis=1, keepdims=True), a, b)
 
 
+@functools.lru_cache(16)
 def projections(dim: int, tables: int = TABLES, scale: float = SCALE, seed: int = SEED) -> list[np.ndarray]:
     """For each table a dim x 8 matrix of random orthonormal columns (of rows if dim < 8), scaled."""
     out = []
@@ -76,22 +79,31 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lattice_keys(units: np.ndarray, matrix: np.ndarray, probes: int, salt: int) -> np.ndarray:
-    """Keys of the cell that holds each unit vector, then of those it probes.
+def lattice_points(units: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lattice point of each unit vector, and the vector's place from there.
 
     Sums run component by component, so that a vector has the same cells in whatever company it is looked at.
     """
-    steps = shortest()
     at = np.zeros((len(units), 8))
     for k in range(units.shape[1]):
         at += units[:, k, None] * matrix[k]
     own = decode(at)
-    off = at - own
-    gain = np.zeros((len(units), len(steps)))
+    return own, at - own
+
+
+def probed_steps(off: np.ndarray, probes: int) -> np.ndarray:
+    """For places from lattice points, the steps to the cells that are probed."""
+    steps = shortest()
+    gain = np.zeros((len(off), len(steps)))
     for k in range(8):
         gain += off[:, k, None] * steps[:, k]
-    best = np.argpartition(-gain, probes, axis=1)[:, :probes]
-    return _cell_key(np.concatenate([own[:, None, :], own[:, None, :] + steps[best]], axis=1), salt)
+    return steps[np.argpartition(-gain, probes, axis=1)[:, :probes]]
+
+
+def lattice_keys(units: np.ndarray, matrix: np.ndarray, probes: int, salt: int) -> np.ndarray:
+    """Keys of the cell that holds each unit vector, then of those it probes."""
+    own, off = lattice_points(units, matrix)
+    return _cell_key(np.concatenate([own[:, None, :], own[:, None, :] + probed_steps(off, probes)], axis=1), salt)
 
 
 def _cells(reps: DataFrame, tables: int, scale: float, probes: int, kind: str) -> DataFrame:
@@ -143,16 +155,26 @@ class Meetings:
         for t, matrix in enumerate(self.matrices):
             if not len(here):
                 break
-            keys = lattice_keys(self.units[used], matrix, self.probes, self.salt - len(self.matrices) + 1 + t)
-            left, right = keys[x[here]], keys[y[here]]
-            guest_probed = (right == left[:, :1]).any(axis=1)  # the cell of i, among those of j
+            own, off = lattice_points(self.units[used], matrix)
+            step = own[y[here]] - own[x[here]]
+            near = np.flatnonzero((step**2).sum(axis=1) == 2)  # others are no neighbours
             if t + 1 < len(self.matrices):
-                met = guest_probed | (left == right[:, :1]).any(axis=1)
+                met = ~step.any(axis=1)
+                met[near] = self._probes(off, x[here[near]], step[near]) | self._probes(off, y[here[near]], -step[near])
             else:
-                met = ~both[here] & guest_probed & (self.ids[i[here]] < self.ids[j[here]])
+                near = near[~both[here[near]] & (self.ids[i[here[near]]] < self.ids[j[here[near]]])]
+                met = np.zeros(len(here), bool)
+                met[near] = self._probes(off, y[here[near]], -step[near])
             here = here[~met]
         return here
 
+    def _probes(self, off: np.ndarray, rows: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Whether the vectors in rows probe the cells a step away."""
+        some, at = np.unique(rows, return_inverse=True)
+        if not len(some):
+            return np.zeros(0, bool)
+        return (probed_steps(off[some], self.probes)[at] == step[:, None, :]).all(axis=2).any(axis=1)
+
 
 def _compare(threshold: float, kind: str, tables: int, scale: float, probes: int):
     """Function for mapInPandas over rows sorted by block: for each linked vector, what the block adds.
