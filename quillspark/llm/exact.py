@@ -183,9 +183,9 @@ def first_copies(docs: DataFrame) -> DataFrame:
         exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")),
         "kept",
     )
-    marked = docs.withColumn("__digest", digest(F.col("text")))
-    kept = marked.join(keep, marked.doc_id.eqNullSafe(keep["__id"]) & (marked["__digest"] == keep["__sha"]), "left_semi")
+    marked = docs.select(F.col("doc_id"), digest(F.col("text")).alias("digest"), F.struct("*").alias("row"))
+    kept = marked.join(keep, marked.doc_id.eqNullSafe(keep["__id"]) & (marked["digest"] == keep["__sha"]), "left_semi")
     repeats = docs.count() - docs.select("doc_id").distinct().count()
     if repeats:
-        kept = kept.dropDuplicates(["doc_id", "__digest"])
-    return kept.select(docs.columns)
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select("row.*")

@@ -123,7 +123,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     n_chars of a cut row is the length of its text.
     """
-    rows = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__size": word_count(F.col("text"))})
+    rows = docs.select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), F.struct("*").alias("row")
+    )
     mixed = mix(rows)
     whole = F.when(F.col("__size") > 0, F.expr("__taken div __size")).otherwise(0)
     part = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(0)
@@ -131,12 +133,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
         F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")),
     )
-    spread = mixed.withColumn("__cut", F.explode(lengths))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("__cut") < 0, F.col("text")).otherwise(
+    spread = mixed.select("row", F.explode(lengths).alias("__cut"))
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("__cut") < 0, F.col("row.text")).otherwise(
         F.array_join(F.slice(pieces, F.lit(1), F.col("__cut").cast("int")), "")
     )
-    out = spread.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut") < 0, F.col("n_chars")).otherwise(F.length("text")))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    n_chars = F.when(F.col("__cut") < 0, F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.length(text))
+    made = {"text": text, "n_chars": n_chars}
+    return spread.select([made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

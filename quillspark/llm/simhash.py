@@ -197,9 +197,9 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """docs restricted to the ids of keep (doc_id, copies), one row each; rows without an id stay."""
-    names = docs.columns
-    ids = keep.select(F.col("doc_id").alias("__keep_id"))
-    if keep.where("copies > 1").limit(1).count() == 0:
-        return docs.join(ids, docs.doc_id == ids["__keep_id"], "left_semi").unionByName(docs.where("doc_id is null"))
-    kept = docs.join(ids, docs.doc_id == ids["__keep_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(names).unionByName(docs.where("doc_id is null"))
+    ids = keep.select(F.col("doc_id").alias("keep_id"))
+    rows = docs.select(F.col("doc_id"), F.struct("*").alias("row"))
+    kept = rows.join(ids, F.col("doc_id") == F.col("keep_id"), "left_semi")
+    if keep.where("copies > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -219,7 +219,7 @@ def probabilities(docs: DataFrame, chain: list[Linear], categories=CATEGORIES, t
     """docs plus p_<category> for each category of the chain and rejected, the last one's above threshold.
 
     Row-local.  Defined results: null and empty texts are scored as texts without words; without a single
-    labelled row all probabilities are 0; columns of docs keep their names, ours are then overwritten.
+    labelled row all probabilities are 0; columns of docs that have our names are overwritten.
     """
     names = [f"p_{name}" for name, _ in categories]
 
@@ -245,5 +245,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the chain does not reject, with all their columns."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return probabilities(docs, train(docs, labels)).where("not rejected").select(names)
+    rows = docs.select(F.col("text"), F.struct("*").alias("row"))
+    return probabilities(rows, train(docs, labels)).where("not rejected").select("row.*")

@@ -305,3 +305,9 @@ def test_pipeline(spark, tmp_path):
         step = stage(spark, step, str(tmp_path))
         assert step.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    names = ["rejected", "p_toxic", "__scores", "__id", "__size", "__digest", "__sha", "row", "fp", "rep", "component_id", "size", "a.b"]
+    step = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == [*docs.columns, *names]
+        assert step.select(*(F.col(f"`{n}`") for n in names)).distinct().collect() == [tuple(f"own {n}" for n in names)]
