@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.exact import first_copies
 from quillspark.llm.mixing import mixed_documents
 from quillspark.llm.packing import pack
-from quillspark.llm.simhash import first_of_groups
+from quillspark.llm.shingles import first_of_similar
 from quillspark.llm.storage import store, table
 from quillspark.llm.toxicity import clean_documents
 
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one of smallest doc_id stays."""
-    return first_of_groups(docs)
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the one of smallest doc_id stays."""
+    return first_of_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import backoff, chat, exact, html_text, lattice, mixing, packing, secrets, simhash, toxicity
+from quillspark.llm import backoff, chat, exact, html_text, lattice, mixing, packing, secrets, shingles, simhash, toxicity
 from quillspark.llm.components import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, `extra col` string"
@@ -67,6 +67,54 @@ def test_simhash(spark, docs):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*{c for c in component.values()}, None])
 
 
+def brute_similar(given):
+    """The smallest id that each id reaches over pairs of five-word Jaccard >= 0.8."""
+    sets = {}
+    for i, t in given.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    for _ in range(len(sets)):
+        before = dict(root)
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+
+
+def test_pipeline_near_duplicates(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    given = []
+    for _ in range(25):
+        base = [word() for _ in range(200)]
+        for changes in (0, 2, 4, 4, 9):
+            copy = list(base)
+            for k in rng.sample(range(200), changes):
+                copy[k] = word()
+            given.append(" ".join(copy))
+    given += [None, "", " ", "one two", "One  TWO", "one two three"]
+    root = brute_similar(dict(enumerate(given)))
+    rows = documents(spark, given)
+    assert len(set(root.values())) < 60
+    for tile in (shingles.TILE, 3):
+        monkeypatch.setattr(shingles.verified_links, "__defaults__", (tile,))
+        assert {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(rows).collect()} == root
+    kept = corpus_pipeline.near_dedup(spark, rows.unionByName(rows.limit(1)).unionByName(rows.limit(2).withColumn("doc_id", F.lit(None).cast("long"))), "")
+    assert kept.columns == rows.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*set(root.values()), None, None])
+    assert shingles.near_duplicates(documents(spark, [])).count() == 0
+    dense = [np.unique(np.random.default_rng(k).choice(60, 50, replace=False)).astype(np.uint64) for k in range(80)]
+    pairs = [(a, b) for a in range(80) for b in range(80) if 5 * len(x := np.intersect1d(dense[a], dense[b])) >= 4 * (100 - len(x))]
+    together = shingles.connected_components(spark.createDataFrame([*pairs, (0, 0)], "a long, b long"))
+    ours = shingles.connected_components(spark.createDataFrame([*shingles.set_links(dense), (0, 0)], "a long, b long"))
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, ours.collect())) and together.count()
+
+
 def test_tiles_find_all_pairs():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
