@@ -42,6 +42,8 @@ NAMES = frozenset(
     "subscribe subscription comment comments disqus respond replies share sharing social related recommended recommendations "
     "widget toolbar pagination pager copyright legal login signup skip".split()
 )
+#: Elements whose lines belong together where no element marks the article.
+CONTAINERS = frozenset("body center div section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -68,19 +70,22 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, float]]:
-    """(text, article, gap, share of link text) of each line of a page, markup stripped.
+def lines(page: str) -> list[tuple[str, int, int, float, int]]:
+    """(text, article, gap, share of link text, container) of each line of a page, markup stripped.
 
     article numbers the outermost article or main element around a line, 0 for none; gap tells whether
-    content that is not the article's stood between this line and the one before.
+    content that is not the article's stood between this line and the one before; container numbers the
+    innermost container element around a line, 0 for none.
     """
-    out: list[tuple[str, int, int, float]] = []
+    out: list[tuple[str, int, int, float, int]] = []
     held: list[str] = []
     linked = 0
     in_link = False
     gap = 0
     roots: list[str] = []
     article = articles = 0
+    within: list[tuple[str, int]] = []
+    containers = 0
     out_tag, out_depth = "", 0  # the unwanted element that holds the current place
 
     def end_line() -> None:
@@ -88,7 +93,7 @@ def lines(page: str) -> list[tuple[str, int, int, float]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, article, gap, min(1.0, linked / len(text))))
+                out.append((text, article, gap, min(1.0, linked / len(text)), within[-1][1] if within else 0))
                 gap = 0
             held.clear()
             linked = 0
@@ -120,6 +125,9 @@ def lines(page: str) -> list[tuple[str, int, int, float]]:
                 continue
             if tag in BLOCKS:
                 end_line()
+            if any(tag == x for x, _ in within):
+                while within.pop()[0] != tag:
+                    pass
             if roots and tag == roots[-1]:
                 roots.pop()
                 if not roots:
@@ -143,7 +151,11 @@ def lines(page: str) -> list[tuple[str, int, int, float]]:
                 end_line()
                 out_tag, out_depth = tag, 1
             gap = 1
-        elif tag in ("article", "main") or "main" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs):
+            continue
+        if tag in CONTAINERS:
+            containers += 1
+            within.append((tag, containers))
+        if tag in ("article", "main") or "main" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs):
             if not roots:
                 articles += 1
                 article = articles
@@ -162,20 +174,21 @@ def main_text(page: str | None) -> str:
     counts as a window of empty lines.  Sums over WINDOW lines surge above zero where text begins and dive to
     zero where it ends, so short paragraphs between long ones stay.  Within the article element of most text
     all stretches belong to it; without such an element, those whose windows reach SURGE, or the one of most
-    text if none does.
+    text if none does, with every line between the first and the last of them and the stretches of text beside
+    them in the same container.
     """
     found = lines(page or "")
     if not found:
         return ""
     by_article: dict[int, int] = {}
-    for text, article, _, _ in found:
+    for text, article, *_ in found:
         by_article[article] = by_article.get(article, 0) + len(text)
     inside = max((a for a in by_article if a), key=lambda a: by_article[a], default=0)
     if inside:
         found = [x for x in found if x[1] == inside]
     weights: list[int] = []
     place: list[int] = []
-    for text, _, gap, links in found:
+    for text, _, gap, links, _ in found:
         weights += [0] * (WINDOW * gap)
         place.append(len(weights))
         weights.append(len(text) if inside or links <= 0.5 else 0)
@@ -193,8 +206,11 @@ def main_text(page: str | None) -> str:
         chosen = set(totals)
     else:
         chosen = {s for s in totals if tops[s] >= SURGE} or set(sorted(totals, key=lambda s: -totals[s])[:1])
-    kept = [x[0] for x, k in zip(found, place, strict=True) if weights[k] and of_place.get(k) in chosen]
-    return "\n".join(kept)
+    sure = [n for n, k in enumerate(place) if weights[k] and of_place.get(k) in chosen]
+    if inside or not sure:
+        return "\n".join(found[n][0] for n in sure)
+    beside = {found[n][4] for n in sure}
+    return "\n".join(x[0] for n, x in enumerate(found) if sure[0] <= n <= sure[-1] or (weights[place[n]] and x[4] in beside))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -261,6 +261,14 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p> </p>") == "" and html_text.main_text("a < b") == "a < b"
 
 
+def test_html_short_stretches():
+    long = "words of text " * 20
+    page = f"<body><div>Site</div><nav>x</nav><div><p>{long}</p><div class=ad>x</div><p>Short last paragraph.</p></div><nav>x</nav><div><p>Imprint</p></div></body>"
+    assert html_text.main_text(page) == long.strip() + "\nShort last paragraph."
+    page = f"<div><p>{long}</p></div><div class=ad>x</div><div><p>Be.</p><p><a href=a>source</a></p></div><div class=ad>x</div><div><p>{long}</p></div>"
+    assert html_text.main_text(page) == f"{long.strip()}\nBe.\nsource\n{long.strip()}"
+
+
 def test_backoff(spark, docs):
     given = [r["text"] for r in docs.collect()]
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
