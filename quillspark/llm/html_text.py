@@ -45,6 +45,35 @@ NAMES = frozenset(
 #: Elements whose lines belong together where no element marks the article.
 CONTAINERS = frozenset("body center div section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Start tags that end an element whose end tag may be left out, and elements that shield it from them.
+_CELL_ENDS = frozenset("caption colgroup tbody td tfoot th thead tr".split())
+ENDED_BY = {
+    "p": BLOCKS - frozenset("body br caption head html legend".split()) | {"hgroup"},
+    "li": frozenset(["li"]),
+    "dd": frozenset(["dd", "dt"]),
+    "dt": frozenset(["dd", "dt"]),
+    "td": _CELL_ENDS,
+    "th": _CELL_ENDS,
+    "tr": _CELL_ENDS - {"td", "th"},
+}
+TABLE_PARTS = frozenset("table tbody tfoot thead tr".split())
+SHIELDS = {k: frozenset(["table"]) for k in ("td", "th", "tr")} | {"p": frozenset("button caption table td th".split())}
+SHIELDS |= {k: BLOCKS - frozenset("address div p".split()) - ENDED_BY[k] for k in ("li", "dd", "dt")}
+
+
+def _still_open(opened: list[str], tag: str) -> list[str]:
+    """What stays open of nested elements when a start tag ends some of them by implication."""
+    for k in range(len(opened) - 1, -1, -1):
+        if tag in ENDED_BY.get(opened[k], ()) and not any(x in SHIELDS[opened[k]] for x in opened[k + 1 :]):
+            opened = opened[:k]
+    return opened
+
+
+def _ends_parent(out_tag: str, tag: str, around: dict[str, int]) -> bool:
+    """Whether an end tag that opens nothing inside an unwanted element is that of an element around it."""
+    if out_tag not in ENDED_BY or not around.get(tag):
+        return False
+    return tag in TABLE_PARTS if out_tag in ("td", "th", "tr") else tag in BLOCKS and tag not in ENDED_BY or tag in ("li", "dd", "dt", "td", "th", "tr")
 
 
 def _marked(tag: str, attrs: str, inside: bool) -> bool:
@@ -87,6 +116,8 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
     within: list[tuple[str, int]] = []
     containers = 0
     out_tag, out_depth = "", 0  # the unwanted element that holds the current place
+    inner: list[str] = []  # it and what is open in it, if its end tag may be left out
+    around: dict[str, int] = {}
 
     def end_line() -> None:
         nonlocal linked, gap
@@ -117,14 +148,22 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
         if m["close"] or m["close2"]:
             if tag == "a":
                 in_link = False
+            if inner and tag in inner:
+                while inner.pop() != tag:
+                    pass
+                out_tag = out_tag if inner else ""
+                continue
+            if inner and _ends_parent(out_tag, tag, around):
+                inner, out_tag = [], ""
             if out_tag:
-                if tag == out_tag:
+                if tag == out_tag and not inner:
                     out_depth -= 1
                     if not out_depth:
                         out_tag = ""
                 continue
             if tag in BLOCKS:
                 end_line()
+                around[tag] = max(0, around.get(tag, 0) - 1)
             if any(tag == x for x, _ in within):
                 while within.pop()[0] != tag:
                     pass
@@ -139,10 +178,17 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
             if not out_tag:
                 end_line()
             in_link = in_link and tag not in ("p", "article", "main")
+        if inner:
+            inner = _still_open(inner, tag)
+            out_tag = out_tag if inner else ""
         marked = _marked(tag, attrs, bool(roots))
         if out_tag:
             if tag in ("article", "main") and not marked and not roots:
-                out_tag, out_depth = "", 0  # an unwanted element that was never closed
+                inner, out_tag, out_depth = [], "", 0  # an unwanted element that was never closed
+            elif inner:
+                if tag not in VOID and not attrs.endswith("/"):
+                    inner.append(tag)
+                continue
             else:
                 out_depth += tag == out_tag and not attrs.endswith("/")
                 continue
@@ -150,8 +196,11 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
             if tag not in VOID:
                 end_line()
                 out_tag, out_depth = tag, 1
+                inner = [tag] if tag in ENDED_BY else []
             gap = 1
             continue
+        if tag in BLOCKS and tag not in VOID:
+            around[tag] = around.get(tag, 0) + 1
         if tag in CONTAINERS:
             containers += 1
             within.append((tag, containers))

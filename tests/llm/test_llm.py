@@ -269,6 +269,23 @@ def test_html_short_stretches():
     assert html_text.main_text(page) == f"{long.strip()}\nBe.\nsource\n{long.strip()}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p class=ad>Buy<p>Real text</p><p>More</p>", "Real text\nMore"),
+        ("<p class=ad>Buy <b>now</b></p><p>Real</p>", "Real"),
+        ("<div><p class=ad>Buy</div><div>Real</div>", "Real"),
+        ("<ul><li class=ad>Buy<ul><li>now<li>or never</ul><li>Real<li>More</ul>", "Real\nMore"),
+        ("<ul><li class=ad>Buy</ul><p>Real</p>", "Real"),
+        ("<dl><dt>Term<dd class=ad>Buy<dt>Next<dd>Real</dl>", "Term\nNext\nReal"),
+        ("<table><tr><td class=ad>Buy<table><tr><td>in</table>still<td>Real<tr class=ad><td>Buy<td>it<tr><td>More</table><p>End</p>", "Real\nMore\nEnd"),
+        ("<p>Real</p><table><tr><td class=ad><p>Buy</div>it</table><p>More</p>", "Real\nMore"),
+    ],
+)
+def test_html_ends_left_out(page, text):
+    assert html_text.main_text(f"<article>{page}</article>") == text
+
+
 def test_backoff(spark, docs):
     given = [r["text"] for r in docs.collect()]
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
