@@ -15,8 +15,10 @@ from quillspark.llm.components import connected_components, local_roots
 from quillspark.llm.storage import store, table
 
 TABLES = 5
-#: Factor from unit vectors to lattice units, and neighbouring cells that each vector probes.
+#: Factor from unit vectors to lattice units for LENGTH components at cosine ALIKE, and neighbouring cells that each
+#: vector probes.  Shorter vectors and lower thresholds get a smaller one (see projections and similar_vectors).
 SCALE = 7.0
+LENGTH, ALIKE = 64, 0.95
 PROBES = 3
 #: Members, or guests, of a cell that meet in one block; fuller cells are compared tile by tile.
 TILE = 1024
@@ -55,7 +57,12 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(16)
 def projections(dim: int, tables: int = TABLES, scale: float = SCALE, seed: int = SEED) -> list[np.ndarray]:
-    """For each table a dim x 8 matrix of random orthonormal columns (of rows if dim < 8), scaled."""
+    """For each table a dim x 8 matrix of random orthonormal columns (of rows if dim < 8), scaled.
+
+    Eight of dim directions hold 8 / dim of a squared distance, so the scale of vectors shorter than LENGTH falls with
+    the root of their length: close vectors stay as close in lattice units.
+    """
+    scale *= min(1.0, (max(dim, 8) / LENGTH) ** 0.5)
     out = []
     for t in range(tables):
         m = np.random.default_rng([seed, dim, t]).normal(size=(max(dim, 8), 8))
@@ -222,7 +229,7 @@ def _compare(threshold: float, kind: str, tables: int, scale: float, probes: int
 
 
 def similar_vectors(
-    vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES
+    vectors: DataFrame, threshold: float = ALIKE, tables: int = TABLES, scale: float | None = None, probes: int = PROBES
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors (vec_id, embedding).
 
@@ -236,6 +243,8 @@ def similar_vectors(
     vec_id, has no links and is its own component; vectors of different lengths do not link; repeated rows
     count as other vectors; an empty table gives an empty one.  Only vec_id and embedding are read.
     """
+    if scale is None:
+        scale = SCALE * min(1.0, ((1 - ALIKE) / max(1e-9, 1 - threshold)) ** 0.5)
     x = F.col("embedding")
     fine = (
         F.col("vec_id").isNotNull()

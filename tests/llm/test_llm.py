@@ -248,6 +248,25 @@ def test_embeddings_in_tiles(spark, monkeypatch):
     assert all((lattice.lattice_keys(v[k : k + 1], matrix, 3, 7) == together[k]).all() for k in range(len(v)))
 
 
+def test_embeddings_of_any_length(spark):
+    """Pairs just above the threshold are found in short vectors, too, and at a lower threshold."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dim, cosine in ((16, 0.9501), (24, 0.9501), (32, 0.9501), (64, 0.8501)):
+        a, b = rng.normal(size=(2, 150, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        for x in np.vstack([a, b]):
+            want[len(rows)] = dim
+            rows.append((len(rows), [float(v) for v in x]))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for threshold, dims in ((0.95, (16, 24, 32)), (0.85, (64,))):
+        got = lattice.similar_vectors(table.where(F.size("embedding").isin(*dims)), threshold).collect()
+        for dim in dims:
+            assert np.mean([r["n_links"] > 0 for r in got if want[r["vec_id"]] == dim]) >= 0.93
+
+
 def test_html():
     page = (
         "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use</div>"
