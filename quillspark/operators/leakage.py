@@ -6,48 +6,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize
+from quillspark.operators.scoring import first_values, require_empty
 
 KINDS = ("id", "text", "audio")
 #: Rank in results.
 ORDER = {"file": 0, "id": 1, "text": 2, "audio": 3}
 
 
+def with_file_hashes(segments: DataFrame, files: DataFrame, check: bool = True) -> DataFrame:
+    """segments plus file_key, with the digest of their file's bytes as audio_sha256.
+
+    files (audio, file_key, sha256) has one row a path; file_key names the file itself, so two paths to one file
+    share it.  A declared digest that differs from the bytes is an error, as is a path without a file.
+    """
+    known = files.select(F.col("audio"), F.col("file_key"), F.lower("sha256").alias("__sha"))
+    joined = segments.drop("file_key").join(known, "audio", "left")
+    if check:
+        require_empty(known.groupBy("audio").count().where("count > 1"), "repeated paths", "audio")
+        require_empty(joined.where("__sha is null"), "missing audio files", "audio")
+        wrong = F.col("audio_sha256").isNotNull() & (F.lower("audio_sha256") != F.col("__sha"))
+        require_empty(joined.where(wrong), "audio_sha256 does not match file bytes")
+    return joined.withColumn("audio_sha256", F.coalesce("__sha", F.lower("audio_sha256"))).drop("__sha")
+
+
 def keyed(segments: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """(kind, key, place, label): segments (manifest, manifest_pos, pos, id, source, text, audio_sha256) by each key.
+    """(kind, mark, key, place, label): segments (manifest, manifest_pos, pos, id, source, text, audio_sha256) by each key.
 
-    Texts are normalised once for each distinct text and only if asked for.
+    One pass over the rows gives all kinds; texts are normalised only if asked for.  mark is a digest of the key, so
+    that shuffles carry no texts.  Digests are compared without regard to letter case.
     """
     if not kinds or len(set(kinds)) != len(kinds) or not set(kinds) <= {*KINDS, "file"}:
         raise ValueError("kinds must be a non-empty subset without repeats")
-    label = F.concat_ws(":", "manifest", "id").alias("label")
-    place = F.struct("manifest_pos", "pos").alias("place")
-    parts = []
-    for kind in kinds:
-        key = {"id": F.concat_ws(":", "source", "id"), "audio": F.col("audio_sha256"), "file": F.col("file_key") if kind == "file" else None}.get(kind)
-        rows = segments
-        if kind == "text":
-            known = segments.select("text").distinct().withColumn("__key", normalize(F.col("text")))
-            rows, key = segments.join(known, "text"), F.nullif(F.col("__key"), F.lit(""))
-        parts.append(rows.select(F.lit(kind).alias("kind"), key.alias("key"), place, label).where("key is not null"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    keys = {
+        "id": lambda: F.concat_ws(":", "source", "id"),
+        "text": lambda: F.nullif(normalize(F.col("text")), F.lit("")),
+        "audio": lambda: F.lower("audio_sha256"),
+        "file": lambda: F.col("file_key").cast("string"),
+    }
+    pairs = F.array(*(F.struct(F.lit(kind).alias("kind"), keys[kind]().alias("key")) for kind in kinds))
+    rows = segments.select(F.explode(pairs).alias("k"), F.struct("manifest_pos", "pos").alias("place"), F.concat_ws(":", "manifest", "id").alias("label"))
+    return rows.where("k.key is not null").select("k.kind", F.sha2("k.key", 256).alias("mark"), "k.key", "place", "label")
+
+
+def shared_keys(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(kind, mark) of the keys that both sides have: flags with map-side combine, so a hot key is one row a task."""
+    sides = [keyed(df, kinds).select("kind", "mark", F.lit(own).alias("own")) for df, own in ((train, 1), (evaluation, 2))]
+    flags = sides[0].unionByName(sides[1]).groupBy("kind", "mark").agg(F.bit_or("own").alias("sides"))
+    return flags.where("sides = 3").select("kind", "mark")
+
+
+def overlap_rows(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(kind, key, side, place, label): each segment that shares a key with the other side, a row of its own."""
+    both = keyed(train, kinds).withColumn("side", F.lit("train")).unionByName(keyed(evaluation, kinds).withColumn("side", F.lit("eval")))
+    return both.join(shared_keys(train, evaluation, kinds), ["kind", "mark"], "left_semi").drop("mark")
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(kind, key, train_segments, eval_segments) of each key on both sides, labels in manifest and segment order.
 
-    Each side is grouped on its keys before the join, restricted to keys that the other side has.
+    A key's segments are one row here; where a key may have more than a row should hold, use overlap_rows.
     """
-    left, right = keyed(train, kinds), keyed(evaluation, kinds)
-    sides = []
-    for own, other, name in ((left, right, "train_segments"), (right, left, "eval_segments")):
-        shared = own.join(other.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-        ordered = F.array_sort(F.collect_list(F.struct("place", "label")))
-        sides.append(shared.groupBy("kind", "key").agg(F.transform(ordered, lambda x: x.label).alias(name)))
+    listed = lambda side: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("place", "label")))), lambda x: x.label
+    )
     rank = F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair])
-    return sides[0].join(sides[1], ["kind", "key"]).orderBy(rank[F.col("kind")], "key")
+    found = overlap_rows(train, evaluation, kinds).groupBy("kind", "key")
+    return found.agg(listed("train").alias("train_segments"), listed("eval").alias("eval_segments")).orderBy(rank[F.col("kind")], "key")
 
 
 def coverage(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -60,21 +84,45 @@ def coverage(train: DataFrame, evaluation: DataFrame) -> DataFrame:
 def verdict(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS, reviewed: DataFrame | None = None) -> DataFrame:
     """One row: counts by kind, coverage and the state INCOMPLETE, CLEAN, REVIEWED or OVERLAP, in this precedence.
 
-    reviewed (key, reason) approves an audit whose overlaps are of kind text only and whose keys are these.
+    reviewed (key, reason) approves an audit whose overlaps are of kind text only and whose set of keys is that of
+    the reviews.
     """
-    found = overlaps(train, evaluation, kinds)
-    counts = found.groupBy().agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_overlaps") for k in ("file", *KINDS)))
+    shared = shared_keys(train, evaluation, kinds)
+    counts = shared.groupBy().agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_overlaps") for k in ("file", *KINDS)))
     row = counts.crossJoin(coverage(train, evaluation))
     complete = F.lit(set(KINDS) <= set(kinds)) & (F.col("train_total") > 0) & (F.col("eval_total") > 0) & (F.col("coverage") == 1)
     hard = F.col("file_overlaps") + F.col("id_overlaps") + F.col("audio_overlaps")
     approved = F.lit(False)
     if reviewed is not None:
-        keys = found.where("kind = 'text'").select("key")
-        given = reviewed.select("key")
-        differing = keys.exceptAll(given).unionByName(given.exceptAll(keys)).agg(F.count("*").alias("unmatched"))
+        keys = shared.where("kind = 'text'").select("mark")
+        given = reviewed.select(F.sha2("key", 256).alias("mark"))
+        differing = keys.exceptAll(given.distinct()).unionByName(given.distinct().exceptAll(keys)).agg(F.count("*").alias("unmatched"))
         row = row.crossJoin(differing)
         approved = (hard == 0) & (F.col("unmatched") == 0)
     state = (
         F.when(~complete, "INCOMPLETE").when(hard + F.col("text_overlaps") == 0, "CLEAN").when(approved, "REVIEWED").otherwise("OVERLAP")
     )
     return row.withColumn("state", state).drop("unmatched")
+
+
+def require_no_leakage(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS, reviewed: DataFrame | None = None) -> DataFrame:
+    """The verdict of an audit that training may rely on; anything else is a ValueError.
+
+    Training manifests must be of split train, the evaluation of dev or test; no key but texts may be shared, all
+    digests must be known, and each shared text needs a review with a reason, none of them stale.
+    """
+    for df, splits, told in ((train, ("train",), "training audit requires train manifests"), (evaluation, ("dev", "test"), "evaluation audit requires dev or test manifests")):
+        if "split" in df.columns:
+            require_empty(df.where(~F.col("split").isin(*splits)), told, "manifest")
+    if reviewed is not None:
+        require_empty(reviewed.where("reason is null or trim(reason) = ''"), "reviews without a reason", "key")
+    found = verdict(train, evaluation, kinds, reviewed)
+    row = found.first()
+    if row["state"] == "INCOMPLETE":
+        raise ValueError(f"incomplete audit: {row['train_hashed']}/{row['train_total']} and {row['eval_hashed']}/{row['eval_total']} digests known")
+    if row["state"] == "OVERLAP":
+        names = first_values(overlap_rows(train, evaluation, kinds), "key")
+        raise ValueError(f"train and evaluation overlap: {names}")
+    if row["state"] == "CLEAN" and reviewed is not None and reviewed.limit(1).count():
+        raise ValueError("stale review decisions")
+    return found

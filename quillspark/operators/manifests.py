@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_blank, normalize
 from quillspark.operators.scoring import require_empty
+from quillspark.storage import store
 
 SEGMENT = (
     "id string, audio string, text string, duration_s double, recording_id string, start_s double, speaker string, "
@@ -81,20 +84,34 @@ def recording_ids(segments: DataFrame) -> DataFrame:
     return segments.select("recording_id").distinct().orderBy("recording_id")
 
 
-def validate_window(path: str = "audio", start: str = "start_s", length: str = "duration_s", actual: str = "actual_s") -> Column:
-    """The duration of a window held against its file's: a whole file within 1 ms, a crop clamped to the file's end."""
+def validate_window(
+    path: str = "audio", start: str = "start_s", length: str = "duration_s", actual: str = "actual_s", tolerance: float = TOLERANCE
+) -> Column:
+    """The seconds of a window held against its file's: a whole file within the tolerance, a crop clamped to the file's end.
+
+    Without a start the window is the whole file; without a length it goes to the file's end.  A window that is empty,
+    begins at or behind the end, or reaches beyond it is an error.
+    """
+    if not 0 <= tolerance <= 0.01:
+        raise ValueError("the tolerance must lie between 0 and 0.01 seconds")
     s, d, a = F.col(start), F.col(length), F.col(actual)
     wrong = F.raise_error(F.concat(F.lit("window does not fit "), F.col(path)))
-    whole = F.when(F.abs(d - a) <= TOLERANCE, a).otherwise(wrong)
-    crop = F.when((s < a) & (s + d <= a + TOLERANCE), F.least(d, a - s)).otherwise(wrong)
-    return F.when(s.isNull(), whole).otherwise(crop)
+    whole = d.isNull() | (F.abs(d - a) <= tolerance)
+    selected = F.coalesce(d, a - s)
+    crop = (s >= 0) & (s < a) & (selected <= a - s + tolerance)
+    sane = finite(a) & (a > 0) & (d.isNull() | (finite(d) & (d > 0)))
+    return (
+        F.when(~F.coalesce(sane, F.lit(False)), wrong)
+        .when(s.isNull(), F.when(whole, a).otherwise(wrong))
+        .otherwise(F.when(F.coalesce(crop, F.lit(False)), F.least(selected, a - s)).otherwise(wrong))
+    )
 
 
 def collapse_to_recordings(segments: DataFrame, strict: bool = True) -> DataFrame:
-    """One row a recording: texts in order of start, duration to the last end (or the measured column if longer).
+    """One row a recording: texts in order of start, duration to the last end, or as the column measured_s tells.
 
     Errors (raised, or flagged false in the column consistent if not strict): several audios, languages or hashes,
-    untimed segments among several, overlapping segments.
+    untimed segments among several, overlapping segments, a measured length that doesn't cover the segments.
     """
     begin = F.coalesce("start_s", F.lit(0.0))
     measured = "measured_s" in segments.columns
@@ -117,7 +134,8 @@ def collapse_to_recordings(segments: DataFrame, strict: bool = True) -> DataFram
     consistent = one & ((F.col("n") == 1) | (F.col("timed") == F.col("n"))) & ((F.col("n") == 1) | apart)
     end = F.array_max(F.transform("spans", lambda s: s.hi))
     if measured:
-        end = F.greatest(end, F.col("measured_s"))
+        covered = F.coalesce(finite(F.col("measured_s")) & (F.col("measured_s") >= end), F.lit(False))
+        consistent, end = consistent & covered, F.col("measured_s")
     if strict:
         end = F.when(consistent, end).otherwise(F.raise_error(F.concat(F.lit("inconsistent recording "), F.col("recording_id"))))
     return grouped.select(
@@ -155,9 +173,19 @@ def sources_of(registry: DataFrame, status: str | None = None) -> DataFrame:
     return (registry if status is None else registry.where(F.col("status") == status)).orderBy(rank, "id")
 
 
-def sampled_places(count: int, fraction: float, seed: int) -> list[int]:
-    """Places of a seeded sample of round(fraction * count) rows out of count in order."""
-    return sorted(random.Random(seed).sample(range(count), round(fraction * count)))
+def sampled_places(spark: SparkSession, count: int, fraction: float, seed: int) -> DataFrame:
+    """(place): a seeded sample of round(fraction * count) places out of count.
+
+    The seeded generator is one sequence, so one executor task draws it and writes it in blocks; the driver holds none.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            drawn = np.array(random.Random(seed).sample(range(count), round(fraction * count)), np.int64)
+            for at in range(0, len(drawn), 100_000):
+                yield pd.DataFrame({"place": drawn[at : at + 100_000]})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "place long")
 
 
 def select_examples(
@@ -180,7 +208,7 @@ def select_examples(
     if not fraction:
         return chosen.withColumn("use_timestamps", F.lit(False)).orderBy(*order)
     spark = segments.sparkSession
-    places = spark.createDataFrame([(p,) for p in sampled_places(count, fraction, seed)], "place long").withColumn("picked", F.lit(True))
+    places = sampled_places(spark, count, fraction, seed).withColumn("picked", F.lit(True))
     numbered = numbered_rows(chosen, order)
     return (
         numbered.join(places, "place", "left")
@@ -194,10 +222,10 @@ def select_examples(
 def numbered_rows(df: DataFrame, order: list) -> DataFrame:
     """df plus place, its row number in order from 0: range partitions are numbered by their sizes, then inside.
 
-    No task sees all rows; the windows run within a partition, and over one row a partition.
+    No task sees all rows; the windows run within a partition, and over one row a partition.  The ranges come from a
+    sample, so they are stored: both uses, and any task that runs again, see the same ones.
     """
-    # kept, as ranges come from a sample: both uses must see the same partitions
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = store(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

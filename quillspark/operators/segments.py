@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspark.operators.intervals import invalid_interval, plan_chunks
+
 EPS = 1e-6
-OVERLAPPING_WORDS = "overlapping windows disagree on words"
-OVERLAPPING_TEXT = "overlapping windows have text without word times"
+#: The warnings of a merge.
+OVERLAPPING_WORDS = "Overlapping decoder segments may retain repeated or conflicting text."
+OVERLAPPING_TEXT = "Overlapping chunk text has no word timings; repeats may remain."
 
 
 @dataclass(frozen=True)
@@ -22,6 +31,11 @@ class Limits:
     max_compression_ratio: float = 2.4
     max_no_speech_prob: float = 0.6
 
+    def __post_init__(self) -> None:
+        fine = all(map(math.isfinite, (self.min_avg_logprob, self.max_compression_ratio, self.max_no_speech_prob)))
+        if not fine or self.max_compression_ratio < 0 or not 0 <= self.max_no_speech_prob <= 1:
+            raise ValueError("bounds must be finite, the ratio not negative, the probability between 0 and 1")
+
 
 @F.pandas_udf(StringType())
 def _two_places(values: pd.Series) -> pd.Series:
@@ -58,23 +72,35 @@ def filter_summary(segments: DataFrame, *keys: str, limits: Limits = Limits()) -
     judged = judge(segments, limits).groupBy(*keys).agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
     total = F.col("kept") + F.col("dropped")
     text = F.when(F.col("dropped") == 0, F.format_string("kept all %d decoder segments", total)).otherwise(
-        F.format_string("kept %d of %d decoder segments", "kept", total)
+        F.format_string("kept %d, dropped %d decoder segments", "kept", "dropped")
     )
     return judged.withColumn("summary", text)
 
 
 def rebase(segments: DataFrame) -> DataFrame:
-    """Segments with local words (start_s, end_s, word) to recording time; windows widen to their words' extremes.
+    """Decoder output (asked_start_s, asked_end_s, start_s, end_s, text, words) as chunks of a recording.
 
-    Segments with a blank word lose their word times.
+    The decoder counts from the start of the audio that it was asked for.  window_start_s and window_end_s are the
+    segment's bounds in the recording, widened to its words' extremes; words stay local, counted from the window's
+    start.  If a segment has text but no word that is not blank, it has no word times.  A segment beyond the audio
+    that was asked for is an error.
     """
     w = F.col("words")
-    timed = (F.size(w) > 0) & ~F.exists(w, lambda x: F.trim(x.word) == "")
-    moved = F.transform(w, lambda x: x.withField("start_s", x.start_s + F.col("window_start_s")).withField("end_s", x.end_s + F.col("window_start_s")))
-    out = segments.withColumn("words", F.when(timed, moved).otherwise(F.slice(w, 1, 0)))
-    low = F.least("window_start_s", F.array_min(F.transform("words", lambda x: x.start_s)))
-    high = F.greatest("window_end_s", F.array_max(F.transform("words", lambda x: x.end_s)))
-    return out.withColumns({"window_start_s": low, "window_end_s": high})
+    spoken = F.trim(F.coalesce("text", F.lit("")))
+    timed = (spoken == "") | F.exists(w, lambda x: F.trim(x.word) != "")
+    told = segments.withColumns({"text": spoken, "words": F.when(F.coalesce(timed, F.lit(False)), w).otherwise(F.slice(w, 1, 0))})
+    low = F.least("start_s", F.array_min(F.transform("words", lambda x: x.start_s)))
+    high = F.greatest("end_s", F.array_max(F.transform("words", lambda x: x.end_s)))
+    placed = told.withColumns({"__low": low, "__high": high})
+    outside = F.col("__high") > F.col("asked_end_s") - F.col("asked_start_s") + EPS
+    moved = F.transform("words", lambda x: x.withField("start_s", x.start_s - F.col("__low")).withField("end_s", x.end_s - F.col("__low")))
+    return placed.withColumns(
+        {
+            "window_start_s": F.col("asked_start_s") + F.col("__low"),
+            "window_end_s": F.when(outside, F.raise_error(F.lit("a segment lies outside its audio"))).otherwise(F.col("asked_start_s") + F.col("__high")),
+            "words": moved,
+        }
+    ).drop("__low", "__high", "asked_start_s", "asked_end_s", "start_s", "end_s")
 
 
 def inside_window(start: Column, end: Column, window_start: Column, window_end: Column) -> Column:
@@ -82,51 +108,97 @@ def inside_window(start: Column, end: Column, window_start: Column, window_end:
     return (start >= window_start - EPS) & (end <= window_end + EPS)
 
 
+def chunk_violations(chunks: DataFrame) -> DataFrame:
+    """chunks (window_start_s, window_end_s, text, avg_logprob, compression_ratio, no_speech_prob, words) plus violations.
+
+    The contract of a decoder segment: a window with an extent, text, finite confidence figures, and words that
+    end within the window, in order of start, each with a probability where it has one.
+    """
+    start, end, w = F.col("window_start_s"), F.col("window_end_s"), F.col("words")
+    length = end - start
+    bounded = F.forall(w, lambda x: F.coalesce((x.start_s >= 0) & (x.end_s >= x.start_s) & (x.end_s <= length + EPS) & x.word.isNotNull(), F.lit(False)))
+    starts = F.transform(w, lambda x: x.start_s)
+    ordered = F.forall(F.arrays_zip(F.slice(starts, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.expr("slice(transform(words, x -> x.start_s), 2, greatest(size(words), 1))").alias("b")), lambda p: p.b.isNull() | (p.a <= p.b))
+    probability = lambda p: F.coalesce(p.between(0.0, 1.0), F.lit(False))
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    rules = [
+        (invalid_interval(start, end), "the window has no extent"),
+        (F.col("text").isNull(), "text is missing"),
+        (~finite(F.col("avg_logprob")), "avg_logprob must be finite"),
+        (~(finite(F.col("compression_ratio")) & (F.col("compression_ratio") >= 0)), "compression_ratio must not be negative"),
+        (~probability(F.col("no_speech_prob")), "no_speech_prob must lie between 0 and 1"),
+        (~F.coalesce(bounded, F.lit(True)), "a word lies outside the window"),
+        (~F.coalesce(ordered, F.lit(True)), "words are out of order"),
+    ]
+    fields = chunks.schema["words"].dataType.elementType.names
+    if "probability" in fields:
+        rules.append((~F.coalesce(F.forall(w, lambda x: probability(x.probability)), F.lit(True)), "a word's probability must lie between 0 and 1"))
+    return chunks.withColumn("violations", F.array_compact(F.array(*(F.when(bad, F.lit(text)) for bad, text in rules))))
+
+
+class _Reach:
+    """Of the intervals put in, the farthest end among those that begin at or before a place.
+
+    Holds the frontier only: begins and ends both rise, so an answer is one bisection.
+    """
+
+    def __init__(self) -> None:
+        self.begins: list[float] = []
+        self.ends: list[float] = []
+
+    def put(self, begin: float, end: float) -> None:
+        at = bisect.bisect_right(self.begins, begin)
+        if at and self.ends[at - 1] >= end:
+            return
+        behind = bisect.bisect_right(self.ends, end, at)
+        self.begins[at:behind], self.ends[at:behind] = [begin], [end]
+
+    def at(self, place: float) -> float:
+        k = bisect.bisect_right(self.begins, place)
+        return self.ends[k - 1] if k else float("-inf")
+
+
 def merge_chunks(chunks: list[dict]) -> tuple[list[dict], list[str]]:
     """Merge one recording's chunks (start_s, end_s, text, words with window-local times) in order of start.
 
-    A timed word goes if an earlier active chunk has an equal word that covers it and overlaps it; a chunk without
-    word times goes if an active one has the same text and covers its window.  What stays beside active chunks
-    warns once of each kind.  Returns (segments, warnings).
+    A timed word is a repeat if a kept word of an earlier chunk says the same, begins no later, ends no earlier,
+    overlaps it and is still going on at the chunk's start; all but the first two bound that word's end from below,
+    so the farthest end of the equal words that begin in time decides.  A chunk without word times is a repeat if a
+    kept chunk of the same text reaches its end.  What stays while a kept chunk is going on warns, once of each kind.
+    Returns (segments, warnings); neighbouring words of a chunk are one segment.
     """
-    active: list[tuple[float, float, str]] = []
-    spoken: list[tuple[float, float, str]] = []
-    entries: list[tuple[float, float, str, str, int]] = []
-    warnings: dict[str, None] = {}
-    for number, chunk in enumerate(sorted(chunks, key=lambda c: c["start_s"])):
-        start, end, text = chunk["start_s"], chunk["end_s"], " ".join((chunk["text"] or "").split())
-        active = [a for a in active if a[1] > start + EPS]
-        spoken = [p for p in spoken if p[1] > start + EPS]
-        words = chunk.get("words")
-        if words is not None and len(words):
-            fresh = []
-            for w in words:
-                lo, hi, said = start + w["start_s"], start + w["end_s"], w["word"].strip()
-                told = any(p[2] == said and p[0] <= lo + EPS and p[1] >= hi - EPS and lo < p[1] - EPS for p in spoken)
-                if said and not told:
-                    fresh.append((lo, hi, said))
-            if not fresh:
-                continue
-            if active:
-                warnings.setdefault(OVERLAPPING_WORDS)
-            entries += [(*w, "word", number) for w in fresh]
-            spoken += fresh
-        else:
-            if not text or any(a[2] == text and a[0] <= start + EPS and a[1] >= end - EPS for a in active):
-                continue
-            if active:
-                warnings.setdefault(OVERLAPPING_TEXT)
-            entries.append((start, end, text, "chunk", number))
-        active.append((start, end, text))
-    out: list[dict] = []
-    last = -1
-    for lo, hi, said, precision, number in sorted(entries, key=lambda e: e[0]):
-        if out and number == last:
-            out[-1].update(text=f"{out[-1]['text']} {said}", end_s=max(out[-1]["end_s"], hi), timing_precision="word")
+    said_until: dict[str, _Reach] = defaultdict(_Reach)
+    text_until: dict[str, float] = {}
+    kept_until = float("-inf")
+    warned: list[str] = []
+    kept: list[tuple[float, float, str, int, str]] = []
+    for number, chunk in enumerate(sorted(chunks, key=itemgetter("start_s"))):
+        start, end, text = chunk["start_s"], chunk["end_s"], (chunk["text"] or "").strip()
+        same = " ".join(text.split())
+        timed = chunk.get("words") is not None and len(chunk["words"]) > 0
+        if timed:
+            spoken = [(start + w["start_s"], start + w["end_s"], w["word"].strip()) for w in chunk["words"]]
+            until = [said_until[word].at(lo + EPS) if word in said_until else float("-inf") for lo, _, word in spoken]
+            found = [
+                s for s, far in zip(spoken, until, strict=True) if s[2] and not (far > start + EPS and s[0] < far - EPS and far >= s[1] - EPS)
+            ]
         else:
-            out.append({"start_s": lo, "end_s": hi, "text": said, "timing_precision": precision})
-        last = number
-    return out, list(warnings)
+            far = text_until.get(same, float("-inf"))
+            found = [(start, end, text)] if text and not (far > start + EPS and far >= end - EPS) else []
+        if not found:
+            continue
+        if kept_until > start + EPS:
+            warned.append(OVERLAPPING_WORDS if timed else OVERLAPPING_TEXT)
+        for lo, hi, word in found if timed else ():
+            said_until[word].put(lo, hi)
+        text_until[same] = max(end, text_until.get(same, end))
+        kept_until = max(kept_until, end)
+        kept += [(*s, number, "word" if timed else "chunk") for s in found]
+    out = []
+    for _, run in itertools.groupby(sorted(kept, key=itemgetter(0)), key=itemgetter(3)):
+        begins, ends, told, _, precision = zip(*run, strict=True)
+        out.append({"start_s": begins[0], "end_s": max(ends), "text": " ".join(told), "timing_precision": precision[0]})
+    return out, list(dict.fromkeys(warned))
 
 
 def merge_transcriptions(chunks: DataFrame, key: str = "recording") -> DataFrame:
@@ -154,3 +226,26 @@ def transcript(merged: DataFrame, key: str = "recording") -> DataFrame:
     """(key, text, duration_s) of merged segments."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return merged.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s.text), " ").alias("text"), F.max("end_s").alias("duration_s"))
+
+
+def long_form(speech: DataFrame, decode: Callable[[DataFrame], DataFrame], key: str = "recording", limits: Limits = Limits(), **plan) -> dict[str, DataFrame]:
+    """The whole path of a long recording: speech (key, start_s, end_s, duration_s) is planned into chunks, `decode`
+    turns chunks (key, chunk, asked_start_s, asked_end_s) into decoder segments with these columns, and what the
+    confidence filter keeps is merged.
+
+    Returns the tables chunks, dropped (with reasons), merged and transcripts (key, text, end, chunks, forced splits).
+    """
+    chunks = plan_chunks(speech, key, duration="duration_s", **plan)
+    asked = chunks.select(key, "chunk", F.col("start_s").alias("asked_start_s"), F.col("end_s").alias("asked_end_s"))
+    placed = rebase(decode(asked))
+    kept = judge(placed, limits).where("kept")
+    order = F.row_number().over(Window.partitionBy(key).orderBy("window_start_s", "chunk", "window_end_s"))
+    ready = kept.select(key, order.alias("pos"), F.col("window_start_s").alias("start_s"), F.col("window_end_s").alias("end_s"), "text", "words")
+    merged = merge_transcriptions(ready, key)
+    counts = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.count_if("forced_split").alias("forced_splits"))
+    return {
+        "chunks": chunks,
+        "dropped": dropped_reasons(placed, limits),
+        "merged": merged,
+        "transcripts": counts.join(transcript(merged, key), key, "left"),
+    }

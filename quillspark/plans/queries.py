@@ -50,7 +50,7 @@ def _word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the pooled word error rate over draws of sources."""
-    return B.bootstrap_interval(_word_counts(spark, sf_dir), "source", resamples=200)
+    return B.bootstrap_interval(_word_counts(spark, sf_dir), "source")
 
 
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +92,10 @@ def leakage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as speech: a user is a recording, times in whole milliseconds."""
+    """Events as speech: a user is a recording, times in whole milliseconds, at least a second long."""
     at = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     return _table(spark, sf_dir, "events").select(
-        "user_id", at.cast("double").alias("start_s"), (at + F.round(F.col("value") * 600).cast("long") * 1000).cast("double").alias("end_s")
+        "user_id", at.cast("double").alias("start_s"), (at + F.greatest(F.round(F.col("value") * 600).cast("long"), F.lit(1)) * 1000).cast("double").alias("end_s")
     )
 
 
@@ -281,15 +281,15 @@ o AS (SELECT kind, key,
 """.replace("{normal}", _normal("text"))
 
 _REGIONS = """
-e AS (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS lo, ((epoch_us(ts) // 1000) + round(value * 600)::BIGINT * 1000)::DOUBLE AS hi FROM events),
+e AS (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS lo, ((epoch_us(ts) // 1000) + greatest(round(value * 600)::BIGINT, 1) * 1000)::DOUBLE AS hi FROM events),
 m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END)
         OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING)::BIGINT AS region FROM m),
 r AS (SELECT user_id, region, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY user_id, region)
 """
 
-_DRAWS = ",".join(f"({r},{b})" for r, row in enumerate(B.draws(20, 200, 0)) for b in row)
-_LOW, _HIGH = B.ranks(200, 0.95)
+_DRAWS = ",".join(f"({r},{b})" for r, row in enumerate(B.draws(20, 1000, 0)) for b in row)
+_LOW, _HIGH = B.ranks(1000, 0.95)
 _LICENSES = ", ".join(f"('{a}', '{b}')" for a, b in LICENSES)
 _TEXT = "coalesce(text, '')"
 
@@ -313,7 +313,7 @@ d(resample, block) AS (VALUES {_DRAWS}),
 r AS (SELECT resample, sum(e) / sum(w) AS rate FROM d JOIN b USING (block) GROUP BY resample),
 q AS (SELECT rate, row_number() OVER (ORDER BY rate) AS place FROM r)
 SELECT (SELECT sum(e) / sum(w) FROM b) AS point, (SELECT count(*) FROM b) AS blocks,
-  max(rate) FILTER (place = {_LOW}) AS lower, max(rate) FILTER (place = {_HIGH}) AS upper, 200 AS resamples FROM q""",
+  max(rate) FILTER (place = {_LOW}) AS lower, max(rate) FILTER (place = {_HIGH}) AS upper, 1000 AS resamples FROM q""",
     "normalize_documents": f"SELECT doc_id, {_normal('text')} AS text FROM documents",
     "code_switch_documents": f"SELECT doc_id, replace(lower({_normal('text')}), 'ß', 'ss') AS text FROM documents",
     "script_profile": rf"""
@@ -357,7 +357,12 @@ SELECT event_id, failed, failed = '' AS kept FROM f""",
     "filter_summary": """
 WITH f AS (SELECT event_type, NOT (-value / 50 < -1.0 OR value / 20 > 2.4 OR (event_id % 100) / 100 > 0.6) AS k FROM events),
 g AS (SELECT event_type, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS dropped FROM f GROUP BY event_type)
-SELECT *, CASE WHEN dropped = 0 THEN 'kept all ' || kept ELSE 'kept ' || kept || ' of ' || (kept + dropped) END || ' decoder segments' AS summary FROM g""",
+SELECT *, CASE WHEN dropped = 0 THEN 'kept all ' || kept ELSE 'kept ' || kept || ', dropped ' || dropped END || ' decoder segments' AS summary FROM g""",
+    "merge_windows": f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{_NOT_WS}+') AS w FROM conversations),
+e AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(len(w))) + 5 * turn AS sec FROM t),
+f AS (SELECT conv_id, sec, word, min(turn) AS turn FROM e GROUP BY ALL)
+SELECT conv_id, string_agg(word, ' ' ORDER BY sec, turn) AS text, (max(sec) + 1)::DOUBLE AS duration_s FROM f GROUP BY conv_id""",
     "collapse_conversations": """
 SELECT conv_id::VARCHAR AS id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text,
   max(turn * 10000.0::DOUBLE + length(coalesce(text, '')) / 16) AS duration_s,

@@ -192,7 +192,7 @@ def common_voice(spark: SparkSession, tsv: str, durations: str | None = None, ro
     rows = named_rows(spark, tsv, ["path", "sentence"], skip_blank=True).where(~is_blank(row["sentence"]))
     rows = rows.select(row["path"].alias("clip"), row["sentence"].alias("text"), F.nullif(row["client_id"], F.lit("")).alias("client"))
     if durations:
-        told = named_rows(spark, durations, [])
+        told = named_rows(spark, durations, [], skip_blank=True)
         value = F.coalesce(row["duration[ms]"], row["duration"])
         told = told.select(F.coalesce(row["clip"], row["path"]).alias("clip"), (parse_number(value) / 1000.0).alias("seconds"))
         require_empty(told.where("seconds is null or seconds <= 0"), "durations must be positive", "clip")

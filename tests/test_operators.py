@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import leakage, manifests
 from quillspark.operators.intervals import plan_chunks, union_intervals
-from quillspark.operators.segments import filter_summary, judge, merge_chunks
+from quillspark.operators.segments import chunk_violations, filter_summary, judge, long_form, merge_chunks, rebase
 from quillspark.plans import report
 from quillspark.sources import files, sinks
 
@@ -36,6 +37,36 @@ def test_plan(spark):
         plan(speech(spark, (0, 31), duration=30.0), duration="dur")
     with pytest.raises(Exception, match="max_chunks"):
         plan(speech(spark, (0, 60)), max_chunks=2)
+    for wrong in ((3, 3), (4, 3), (-1, 2), (0, float("nan"))):
+        with pytest.raises(Exception, match="0 <= start < end"):
+            plan(speech(spark, (0, 2), wrong))
+    two = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 40.0), (None, 2.0, 3.0), (None, 3.0, 4.0)], "rec string, start_s double, end_s double")
+    got = {(r["rec"], r["chunk"], r["start_s"], r["end_s"], r["forced_split"]) for r in plan_chunks(two, "rec").collect()}
+    assert got == {("a", 0, 0.0, 1.0, False), ("b", 0, 0.0, 20.0, True), ("b", 1, 20.0, 40.0, True), (None, 0, 2.0, 4.0, False)}
+
+
+def test_plan_against_union(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(5), float(a), float(a + rng.randint(1, 40))) for a in (rng.randrange(3000) for _ in range(300))]
+    df = spark.createDataFrame(rows, "rec int, start_s double, end_s double")
+    regions = {k: [] for k in range(5)}
+    for r in union_intervals(df, "rec").orderBy("rec", "start_s").collect():
+        regions[r["rec"]].append((r["start_s"], r["end_s"]))
+    for rec, spans in regions.items():
+        want, held = [], None
+        for lo, hi in spans:
+            if held and hi - held[0] <= 28:
+                held[1] = hi
+                continue
+            want += [held] if held else []
+            held = [lo, hi]
+            if hi - lo > 28:
+                n = -int(-(hi - lo) // 28)
+                want += [[lo + k * (hi - lo) / n, hi if k == n - 1 else lo + (k + 1) * (hi - lo) / n] for k in range(n)]
+                held = None
+        want += [held] if held else []
+        got = plan_chunks(df.where(F.col("rec") == rec), "rec").orderBy("chunk").collect()
+        assert [[r["start_s"], r["end_s"]] for r in got] == want
 
 
 def chunk(start, end, text=None, **words):
@@ -60,10 +91,93 @@ def test_merge(chunks, text, warned):
     assert " ".join(m["text"] for m in merged) == text and bool(warnings) == warned
 
 
+def by_rules(chunks):
+    """The merge by its rules, every earlier word and chunk looked at."""
+    words, kept, out, warned = [], [], [], set()
+    for n, c in enumerate(sorted(chunks, key=lambda c: c["start_s"])):
+        start, end, text = c["start_s"], c["end_s"], c["text"].strip()
+        going = [k for k in kept if k[1] > start + 1e-6]
+        if c["words"]:
+            own = [(start + w["start_s"], start + w["end_s"], w["word"].strip()) for w in c["words"]]
+            told = lambda w: any(p[2] == w[2] and p[1] > start + 1e-6 and p[0] <= w[0] + 1e-6 and p[1] >= w[1] - 1e-6 and w[0] < p[1] - 1e-6 for p in words)  # noqa: E731, B023
+            fresh = [w for w in own if w[2] and not told(w)]
+            if not fresh:
+                continue
+            words += fresh
+            out += [(*w, n) for w in fresh]
+        else:
+            if not text or any(k[2].split() == text.split() and k[1] >= end - 1e-6 for k in going):
+                continue
+            out.append((start, end, text, n))
+        warned |= {"word" if c["words"] else "text"} if going else set()
+        kept.append((start, end, text))
+    joined = []
+    for lo, hi, text, n in sorted(out, key=lambda x: x[0]):
+        if joined and joined[-1][3] == n:
+            lo, hi, text = joined[-1][0], max(joined.pop()[1:2] + [hi]), f"{joined_text} {text}"
+        joined_text = text
+        joined.append([lo, hi, text, n])
+    return [x[:3] for x in joined], warned
+
+
+def test_merge_against_rules():
+    rng = random.Random(1)
+    for _ in range(2000):
+        chunks = []
+        for _ in range(rng.randint(0, 6)):
+            start, length = rng.randint(0, 6), rng.randint(1, 5)
+            words = sorted((rng.randint(0, 2 * length) / 2, rng.choice(["a", " b", "c ", " "])) for _ in range(rng.choice([0, 1, 3, 5])))
+            words = [{"word": w, "start_s": a, "end_s": max(a, min(length, a + rng.randint(0, 4) / 2))} for a, w in words]
+            chunks.append({"start_s": float(start), "end_s": float(start + length), "text": rng.choice(["x", "x  y", "x y", "", "z"]), "words": words})
+        merged, warnings = merge_chunks(chunks)
+        want, warned = by_rules(chunks)
+        assert [[m["start_s"], m["end_s"], m["text"]] for m in merged] == want
+        assert len(warnings) == len(warned) and merge_chunks([chunk(0, 1, " a  b ")])[0][0]["text"] == "a  b"
+
+
+DECODED = "recording string, chunk int, asked_start_s double, asked_end_s double, start_s double, end_s double, text string, avg_logprob double, compression_ratio double, no_speech_prob double, words array<struct<start_s:double,end_s:double,word:string,probability:double>>"
+
+
+def decoded(spark, *rows):
+    return spark.createDataFrame([("r", 0, 10.0, 20.0, a, b, t, -0.1, 1.0, 0.1, w) for a, b, t, w in rows], DECODED)
+
+
+def test_rebase(spark):
+    given = decoded(
+        spark,
+        (1.0, 3.0, " ab ", [(0.5, 2.0, "a", 0.9), (2.0, 3.5, "b", 0.8)]),
+        (4.0, 5.0, "cd", [(4.0, 4.5, " ", 1.0), (4.5, 5.0, "d", 1.0)]),
+        (6.0, 7.0, "ef", [(6.0, 6.5, " ", 1.0)]),
+    )
+    got = rebase(given).collect()
+    assert [(r["window_start_s"], r["window_end_s"], r["text"]) for r in got] == [(10.5, 13.5, "ab"), (14.0, 15.0, "cd"), (16.0, 17.0, "ef")]
+    assert [[(w["start_s"], w["end_s"]) for w in r["words"]] for r in got] == [[(0.0, 1.5), (1.5, 3.0)], [(0.0, 0.5), (0.5, 1.0)], []]
+    with pytest.raises(Exception, match="outside its audio"):
+        rebase(decoded(spark, (9.0, 10.5, "x", []))).collect()
+    assert not any(r["violations"] for r in chunk_violations(rebase(given)).collect())
+    bad = rebase(decoded(spark, (1.0, 3.0, "x", [(2.0, 2.5, "a", 1.5), (1.0, 1.5, "b", 1.0)]))).withColumn("no_speech_prob", F.lit(2.0))
+    assert [len(r["violations"]) for r in chunk_violations(bad).collect()] == [3]
+
+
+def test_long_form(spark):
+    def decode(asked):
+        return asked.withColumns(
+            {
+                "start_s": F.lit(0.0), "end_s": F.lit(1.0), "text": F.concat(F.lit("part "), "chunk"), "avg_logprob": F.when(F.col("chunk") == 1, -3.0).otherwise(-0.1),
+                "compression_ratio": F.lit(1.0), "no_speech_prob": F.lit(0.1), "words": F.array().cast("array<struct<start_s:double,end_s:double,word:string>>"),
+            }
+        )
+
+    talk = spark.createDataFrame([("r", 0.0, 70.0, 70.0)], "recording string, start_s double, end_s double, duration_s double")
+    got = long_form(talk, decode)
+    row = got["transcripts"].first()
+    assert (row["chunks"], row["forced_splits"], row["text"]) == (3, 3, "part 0 part 2") and got["dropped"].count() == 1
+
+
 def test_confidence(spark):
     df = spark.createDataFrame([(-0.2, 1.5, 0.1), (-1.8, 1.5, 0.1), (-0.2, 3.5, 0.1), (-0.2, 1.5, 0.9), (-1.0, 2.4, 0.6)], "avg_logprob double, compression_ratio double, no_speech_prob double")
     assert [r["kept"] for r in judge(df).collect()] == [True, False, False, False, True]
-    assert filter_summary(df).first()["summary"] == "kept 2 of 5 decoder segments"
+    assert filter_summary(df).first()["summary"] == "kept 2, dropped 3 decoder segments"
 
 
 def sides(spark, train, evaluation):
@@ -84,6 +198,29 @@ def test_leakage(spark):
     assert (row["coverage"], row["state"]) == (0.5, "INCOMPLETE")
     t, e = sides(spark, [("1", "a", "x", "h")], [("2", "a", "y", "g")])
     assert leakage.verdict(t, e).first()["state"] == "CLEAN"
+    assert leakage.require_no_leakage(t, e).first()["state"] == "CLEAN"
+    t, e = sides(spark, [("1", "a", "x", "AB")], [("2", "a", "y", "ab")])
+    assert leakage.verdict(t, e).first()["state"] == "OVERLAP"
+    with pytest.raises(ValueError, match="overlap"):
+        leakage.require_no_leakage(t, e)
+    t, e = sides(spark, [("1", "a", "x", "h"), ("3", "a", "x", "i")], [("2", "a", "x", "g")])
+    twice = spark.createDataFrame([("x", "same"), ("x", "again")], "key string, reason string")
+    assert leakage.verdict(t, e, reviewed=twice).first()["state"] == "REVIEWED"
+
+
+def test_leakage_by_file(spark):
+    t, e = sides(spark, [("1", "a", "x", None)], [("2", "b", "y", None)])
+    t, e = t.withColumn("audio", F.lit("a.wav")), e.withColumn("audio", F.lit("link.wav"))
+    files_ = spark.createDataFrame([("a.wav", "inode1", "AA"), ("link.wav", "inode1", "AA")], "audio string, file_key string, sha256 string")
+    t, e = leakage.with_file_hashes(t, files_), leakage.with_file_hashes(e, files_)
+    found = [(r["kind"], r["train_segments"], r["eval_segments"]) for r in leakage.overlaps(t, e, ("file", *leakage.KINDS)).collect()]
+    assert found == [("file", ["t:1"], ["e:2"]), ("audio", ["t:1"], ["e:2"])]
+    row = leakage.verdict(t, e, ("file", *leakage.KINDS)).first()
+    assert (row["file_overlaps"], row["coverage"], row["state"]) == (1, 1.0, "OVERLAP")
+    with pytest.raises(ValueError, match="does not match"):
+        leakage.with_file_hashes(t.withColumn("audio_sha256", F.lit("bb")), files_)
+    with pytest.raises(ValueError, match="missing"):
+        leakage.with_file_hashes(t.withColumn("audio", F.lit("gone")), files_)
 
 
 def rows(spark, *given):
@@ -103,6 +240,10 @@ def test_collapse(spark):
     )
     got = {r["id"]: r for r in manifests.collapse_to_recordings(df).collect()}
     assert (got["r1"]["text"], got["r1"]["duration_s"], got["r2"]["duration_s"]) == ("প্রথম দ্বিতীয়", 6.0, 3.0)
+    measured = lambda s: manifests.collapse_to_recordings(df.withColumn("measured_s", F.lit(s))).collect()
+    assert {r["duration_s"] for r in measured(7.5)} == {7.5}
+    with pytest.raises(Exception, match="inconsistent"):
+        measured(5.0)
     with pytest.raises(Exception, match="inconsistent"):
         manifests.collapse_to_recordings(rows(spark, {"id": "a", "recording_id": "r"}, {"id": "b", "recording_id": "r"})).collect()
 
@@ -112,7 +253,7 @@ def test_selection(spark):
     assert [r["duration_s"] for r in manifests.select_examples(df).collect()] == [2.0, 30.0]
     ten = rows(spark, *({"id": str(k), "audio": f"{k}.wav"} for k in range(10)))
     flags = [[r["use_timestamps"] for r in manifests.select_examples(ten, fraction=0.5, seed=7).collect()] for _ in range(2)]
-    assert flags[0] == flags[1] == [k in manifests.sampled_places(10, 0.5, 7) for k in range(10)] and sum(flags[0]) == 5
+    assert flags[0] == flags[1] == [k in random.Random(7).sample(range(10), 5) for k in range(10)] and sum(flags[0]) == 5
     with pytest.raises(ValueError, match="repeated"):
         manifests.select_examples(rows(spark, {"id": "1"}, {"id": "1"}))
 
@@ -150,7 +291,7 @@ def test_delimited(spark, tmp_path):
 
 def test_indexes(spark, tmp_path):
     cv = write(tmp_path / "cv.tsv", "client_id\tpath\tsentence\nc1\tx.mp3\tকি\n\ty.mp3\t \n\tz.mp3\tখাই\n")
-    times = write(tmp_path / "d.tsv", "clip\tduration[ms]\nx.mp3\t1500\nz.mp3\t2000\n")
+    times = write(tmp_path / "d.tsv", "clip\tduration[ms]\nx.mp3\t1500\n\nz.mp3\t2000\n")
     got = {r["id"]: r for r in files.common_voice(spark, cv, times).collect()}
     assert set(got) == {"x", "z"} and got["x"]["duration_s"] == 1.5 and got["x"]["recording_id"] == "c1" and got["z"]["recording_id"] == "z"
     fl = write(tmp_path / "f.tsv", "1\tx.wav\tRAW\tকি\t32000\tMALE\n")

@@ -95,5 +95,5 @@ def test_bootstrap_ranks_and_settings():
     assert B.ranks(1000, 0.95) == (26, 975) and B.ranks(200, 0.95) == (6, 195) and B.ranks(100, 0.95) == (3, 98)
     for bad in ((99, 0.95, 0), (100, 1.0, 0), (100, 0.95, -1), (True, 0.95, 0)):
         with pytest.raises(ValueError):
-            B.check_settings(*bad)
+            B.Settings(*bad)
     assert next(B.draws(3, 1, 5)) == [(r := random.Random(5)).choice(range(3)), r.choice(range(3)), r.choice(range(3))]
