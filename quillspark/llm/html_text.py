@@ -1,13 +1,18 @@
-"""Main text of web pages by the distribution of text over blocks of lines (operator 9)."""
+"""Main text of web pages by the distribution of text over blocks of lines (operator 9).
+
+Markup is stripped to lines, each line has a weight, and sums of weights over sliding windows tell where text surges
+and dives.  Elements and names only enter as evidence for the weights.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +20,15 @@ from quillspark.llm.storage import table
 
 #: Lines in a window of the distribution.
 WINDOW = 3
-#: Text of a window that tells an article from a stray line, where no element marks the article.
+#: Text of a window that tells an article from a stray line; what a line in an article element weighs beside its text.
 SURGE = 80
+#: Shares of the text: articles of less than the first hold teasers, not the page's text; a line of more than the
+#: second in links is a menu's.
+ARTICLES, LINKED = 1 / 3, 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|textarea|title|select|object|math)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|noscript|svg|iframe|textarea|title|select|object)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][\w:-]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?/][^>]*+>",
@@ -29,7 +37,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Elements that begin and end a line of text.
 BLOCKS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
@@ -42,13 +50,18 @@ NAMES = frozenset(
     "subscribe subscription comment comments disqus respond replies share sharing social related recommended recommendations "
     "widget toolbar pagination pager copyright legal login signup skip".split()
 )
+#: Words that join names in a class or id without saying anything else.
+FILLERS = frozenset(
+    "area bar block box btn button buttons container content div footer form group header inner item items label link links list message module outer "
+    "panel row section slot text title top bottom left right unit wrap wrapper the my js is has".split()
+)
 #: Elements whose lines belong together where no element marks the article.
 CONTAINERS = frozenset("body center div section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an element whose end tag may be left out, and elements that shield it from them.
 _CELL_ENDS = frozenset("caption colgroup tbody td tfoot th thead tr".split())
 ENDED_BY = {
-    "p": BLOCKS - frozenset("body br caption head html legend".split()) | {"hgroup"},
+    "p": BLOCKS - frozenset("body caption head html legend".split()) | {"hgroup"},
     "li": frozenset(["li"]),
     "dd": frozenset(["dd", "dt"]),
     "dt": frozenset(["dd", "dt"]),
@@ -76,43 +89,62 @@ def _ends_parent(out_tag: str, tag: str, around: dict[str, int]) -> bool:
     return tag in TABLE_PARTS if out_tag in ("td", "th", "tr") else tag in BLOCKS and tag not in ENDED_BY or tag in ("li", "dd", "dt", "td", "th", "tr")
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element's tag, role or names say that it isn't part of the article."""
+def _marked(tag: str, attrs: str, inside: bool) -> float:
+    """How sure an element's tag, role or names are that it isn't part of the article: 1, a half or 0.
+
+    A name is sure if the words beside it say nothing (cookie-notice, ad box); with other words (related-work) it is
+    a hint, which counts outside articles only.
+    """
     if tag in ASIDE or (tag == "header" and not inside):
-        return True
+        return 1
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
+    hint = 0.0
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 1
         if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return 1
         elif name == "role":
             if value in ROLES:
-                return True
+                return 1
         else:
-            words = re.split(r"[\s_\-]+", value)
-            if NAMES.intersection(words) or (not inside and "header" in words):
-                return True
-    return False
+            for one in value.split():
+                words = {w for w in re.split(r"[_\-\d]+", one) if w}
+                if words & NAMES or (not inside and words == {"header"}):
+                    if not words - NAMES - FILLERS:
+                        return 1
+                    hint = 0.0 if inside else 0.5
+    return hint
 
 
-def lines(page: str) -> list[tuple[str, int, int, float, int]]:
-    """(text, article, gap, share of link text, container) of each line of a page, markup stripped.
+class Line(NamedTuple):
+    """A line of a page, markup stripped.
 
-    article numbers the outermost article or main element around a line, 0 for none; gap tells whether
-    content that is not the article's stood between this line and the one before; container numbers the
-    innermost container element around a line, 0 for none.
+    article: whether an article or main element holds it; doubted: a name hints that it is none of the article's;
+    gap: other content (menus, adverts) stood before it; linked: share of its text in links; container: number of
+    the innermost container element around it, 0 for none.
     """
-    out: list[tuple[str, int, int, float, int]] = []
+
+    text: str
+    article: bool
+    doubted: bool
+    gap: bool
+    linked: float
+    container: int
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page in order; elements that are surely not the article's leave a gap only."""
+    out: list[Line] = []
     held: list[str] = []
     linked = 0
     in_link = False
-    gap = 0
+    gap = False
     roots: list[str] = []
-    article = articles = 0
+    doubts: list[str] = []  # a doubted element and those of its tag in it
     within: list[tuple[str, int]] = []
     containers = 0
     out_tag, out_depth = "", 0  # the unwanted element that holds the current place
@@ -124,8 +156,9 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, article, gap, min(1.0, linked / len(text)), within[-1][1] if within else 0))
-                gap = 0
+                share = min(1.0, linked / len(text))
+                out.append(Line(text, bool(roots), bool(doubts), gap, share, within[-1][1] if within else 0))
+                gap = False
             held.clear()
             linked = 0
 
@@ -167,10 +200,9 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
             if any(tag == x for x, _ in within):
                 while within.pop()[0] != tag:
                     pass
-            if roots and tag == roots[-1]:
-                roots.pop()
-                if not roots:
-                    article = 0
+            for held_open in (roots, doubts):
+                if held_open and tag == held_open[-1]:
+                    held_open.pop()
             continue
         if tag == "a":
             in_link = True
@@ -181,9 +213,9 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
         if inner:
             inner = _still_open(inner, tag)
             out_tag = out_tag if inner else ""
-        marked = _marked(tag, attrs, bool(roots))
+        sure = _marked(tag, attrs, bool(roots))
         if out_tag:
-            if tag in ("article", "main") and not marked and not roots:
+            if tag in ("article", "main") and sure < 1 and not roots:
                 inner, out_tag, out_depth = [], "", 0  # an unwanted element that was never closed
             elif inner:
                 if tag not in VOID and not attrs.endswith("/"):
@@ -192,22 +224,23 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
             else:
                 out_depth += tag == out_tag and not attrs.endswith("/")
                 continue
-        if marked:
+        if sure == 1:
             if tag not in VOID:
                 end_line()
                 out_tag, out_depth = tag, 1
                 inner = [tag] if tag in ENDED_BY else []
-            gap = 1
+            gap = True
             continue
+        if tag == "br":
+            add(" ")
+        if (sure or (doubts and tag == doubts[-1])) and tag not in VOID and tag not in ENDED_BY:
+            doubts.append(tag)
         if tag in BLOCKS and tag not in VOID:
             around[tag] = around.get(tag, 0) + 1
         if tag in CONTAINERS:
             containers += 1
             within.append((tag, containers))
         if tag in ("article", "main") or "main" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs):
-            if not roots:
-                articles += 1
-                article = articles
             roots.append(tag)
         elif roots and tag == roots[-1]:
             roots.append(tag)
@@ -216,66 +249,70 @@ def lines(page: str) -> list[tuple[str, int, int, float, int]]:
     return out
 
 
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(surge, dive, peak) of each stretch: from a weight behind a window without any to the last one before such a
+    window, and the greatest sum over a window in it."""
+    given = np.asarray(weights, np.int64)
+    some = np.flatnonzero(given)
+    if not len(some):
+        return []
+    sums = np.convolve(given, np.ones(window, np.int64))[: len(given)]  # of a line and those before it
+    first = np.flatnonzero(np.append(True, np.diff(some) > window))
+    last = np.append(first[1:], len(some)) - 1
+    return [(int(some[a]), int(some[b]), int(sums[some[a] : some[b] + window].max())) for a, b in zip(first, last, strict=True)]
+
+
 def main_text(page: str | None) -> str:
-    """The lines between the surge and dive points of the article's text, joined by line feeds.
-
-    A line weighs the length of its text, none if most of it is links; content that is not the article's
-    counts as a window of empty lines.  Sums over WINDOW lines surge above zero where text begins and dive to
-    zero where it ends, so short paragraphs between long ones stay.  Within the article element of most text
-    all stretches belong to it; without such an element, those whose windows reach SURGE, or the one of most
-    text if none does, with every line between the first and the last of them and the stretches of text beside
-    them in the same container.
+    """The lines between the surge and dive points of the page's text, joined by line feeds.
+
+    A line weighs the length of its text, half of it if a name casts doubt on it, none if most of it is links;
+    content that is not the article's counts as a window of empty lines.  If article and main elements hold a fair
+    share of that weight, lines in them weigh SURGE more, whatever links they hold, and others weigh nothing;
+    else these elements (teasers, cards) say nothing.  Of the stretches between surge and dive those whose windows
+    sum to SURGE count, or the one of greatest sum if none does.  Without such elements every line between the first
+    and the last of them stays, and the stretches of text beside them in the same container.
     """
     found = lines(page or "")
     if not found:
         return ""
-    by_article: dict[int, int] = {}
-    for text, article, *_ in found:
-        by_article[article] = by_article.get(article, 0) + len(text)
-    inside = max((a for a in by_article if a), key=lambda a: by_article[a], default=0)
-    if inside:
-        found = [x for x in found if x[1] == inside]
+    plain = [0 if x.linked > LINKED else len(x.text) // (2 if x.doubted else 1) or 1 for x in found]
+    in_articles = sum(w for w, x in zip(plain, found, strict=True) if x.article)
+    trusted = any(x.article for x in found) and in_articles >= ARTICLES * sum(plain)
     weights: list[int] = []
     place: list[int] = []
-    for text, _, gap, links, _ in found:
-        weights += [0] * (WINDOW * gap)
+    for x, weight in zip(found, plain, strict=True):
+        weights += [0] * (WINDOW * x.gap)
         place.append(len(weights))
-        weights.append(len(text) if inside or links <= 0.5 else 0)
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))[: len(weights)]  # of a line and those before it
-    stretch, totals, tops = 0, {}, {}
-    of_place: dict[int, int] = {}
-    for k, weight in enumerate(weights):
-        if weight and (k == 0 or not sums[k - 1]):
-            stretch += 1  # a surge; the dive is where the sum is zero again
-        if sums[k]:
-            of_place[k] = stretch
-            totals[stretch] = totals.get(stretch, 0) + weight
-            tops[stretch] = max(tops.get(stretch, 0), int(sums[k]))
-    if inside:
-        chosen = set(totals)
-    else:
-        chosen = {s for s in totals if tops[s] >= SURGE} or set(sorted(totals, key=lambda s: -totals[s])[:1])
-    sure = [n for n, k in enumerate(place) if weights[k] and of_place.get(k) in chosen]
-    if inside or not sure:
-        return "\n".join(found[n][0] for n in sure)
-    beside = {found[n][4] for n in sure}
-    return "\n".join(x[0] for n, x in enumerate(found) if sure[0] <= n <= sure[-1] or (weights[place[n]] and x[4] in beside))
+        weights.append(weight if not trusted else len(x.text) + SURGE if x.article else 0)
+    parts = stretches(weights)
+    chosen = [p for p in parts if p[2] >= SURGE] or sorted(parts, key=lambda p: (-p[2], p[0]))[:1]
+    between = np.zeros(len(weights), bool)
+    for surge, dive, _ in chosen:
+        between[surge : dive + 1] = True
+    sure = [n for n, k in enumerate(place) if weights[k] and between[k]]
+    if trusted or not sure:
+        return "\n".join(found[n].text for n in sure)
+    beside = {found[n].container for n in sure}
+    kept = [x.text for n, x in enumerate(found) if sure[0] <= n <= sure[-1] or (weights[place[n]] and x.container in beside)]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of pages; row-local, without a shuffle.
 
-    Defined results: null, empty and text-less html give an empty text; null ids and urls stay null; other
-    columns are not read.
+    Defined results: null, empty and text-less html give an empty text; null ids and urls stay null, and ids of any
+    type pass unchanged; repeated rows give repeated results; an empty table gives an empty one; a very long page is
+    one pass over its text; other columns, of any name, are not read.
     """
+    rows = pages.select("page_id", "url", "html")
+    schema = rows.drop("html").schema.add("text", "string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(html=[main_text(x) for x in frame.html]).rename(columns={"html": "text"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([main_text(x) for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=schema.names)
 
-    ids = pages.schema["page_id"].dataType.simpleString()
-    out = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {ids}, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
