@@ -1,32 +1,47 @@
-"""Embedding near-duplicates by hashing to cells of the E8 lattice (operator 7)."""
+"""Embedding near-duplicates by hashing to cells of E8 lattices (operator 7)."""
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components, local_roots
 from quillspark.llm.storage import store, table
 
-TABLES = 5
-#: Factor from unit vectors to lattice units for LENGTH components at cosine ALIKE, and neighbouring cells that each
-#: vector probes.  Shorter vectors and lower thresholds get a smaller one (see projections and similar_vectors).
-SCALE = 7.0
+#: Factor from unit vectors to lattice units for LENGTH components at cosine ALIKE; it grows with the root of the
+#: length, and falls for lower thresholds (see projections and similar_vectors).
+SCALE = 4.5
 LENGTH, ALIKE = 64, 0.95
-PROBES = 3
-#: Members, or guests, of a cell that meet in one block; fuller cells are compared tile by tile.
+#: Neighbouring cells that each vector probes.
+PROBES = 4
+#: Lattices whose points make a cell, two at least: one more for each factor SPREAD of vectors beyond CROWD in a cell.
+LATTICES, CROWD, SPREAD = 2, 50, 200
+#: Share of the pairs at the threshold that meet in a table of LATTICES, halved by each further one (simulated), and
+#: the share that all tables should find.
+THROUGH, FOUND = 0.47, 0.955
+#: Vectors of a block that meet in one task; larger blocks are compared tile by tile.
 TILE = 1024
+#: Leaders that one numpy block looks at.
+COLUMNS = 4096
 MOST_TABLES = 64
-BLOCK = ["salt", "cell", "kind", "x", "y"]
+BLOCK = ["leader", "x", "y"]
 SEED = 8
 
 
+def plan(count: int) -> tuple[int, int]:
+    """(lattices, tables) for a number of vectors: cells multiply with the vectors, tables keep the share found."""
+    lattices = max(LATTICES, math.ceil(math.log(max(1, count / CROWD)) / math.log(SPREAD)))
+    return lattices, math.ceil(math.log(1 - FOUND) / math.log(1 - THROUGH / 2 ** (lattices - LATTICES)))
+
+
 @functools.cache
 def shortest() -> np.ndarray:
     """The 240 shortest vectors of E8: (±1, ±1, 0...) in any places, (±½)^8 with an even number of minuses."""
@@ -56,16 +71,17 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(16)
-def projections(dim: int, tables: int = TABLES, scale: float = SCALE, seed: int = SEED) -> list[np.ndarray]:
-    """For each table a dim x 8 matrix of random orthonormal columns (of rows if dim < 8), scaled.
+def projections(dim: int, lattices: int, tables: int, scale: float = SCALE, seed: int = SEED) -> list[np.ndarray]:
+    """For each table a matrix of random orthonormal columns, eight a lattice (of rows if there are fewer), scaled.
 
-    Eight of dim directions hold 8 / dim of a squared distance, so the scale of vectors shorter than LENGTH falls with
-    the root of their length: close vectors stay as close in lattice units.
+    Eight of dim directions hold 8 / dim of a squared distance, so the scale grows with the root of the length: close
+    vectors stay as close in lattice units, and cells as many, whatever the length.
     """
-    scale *= min(1.0, (max(dim, 8) / LENGTH) ** 0.5)
+    wide = 8 * lattices
+    scale *= (max(dim, wide) / LENGTH) ** 0.5
     out = []
     for t in range(tables):
-        m = np.random.default_rng([seed, dim, t]).normal(size=(max(dim, 8), 8))
+        m = np.random.default_rng([seed, dim, t]).normal(size=(max(dim, wide), wide))
         out.append(np.linalg.qr(m)[0][:dim] * scale)
     return out
 
@@ -73,7 +89,7 @@ def projections(dim: int, tables: int = TABLES, scale: float = SCALE, seed: int
 def _cell_key(points: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit key of lattice points."""
     key = np.full(points.shape[:-1], salt, np.uint64)
-    for k in range(8):
+    for k in range(points.shape[-1]):
         part = (2 * points[..., k]).astype(np.int64).view(np.uint64)
         key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
@@ -86,158 +102,133 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lattice_points(units: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lattice point of each unit vector, and the vector's place from there.
+def lattice_keys(units: np.ndarray, matrix: np.ndarray, probes: int, salt: int) -> np.ndarray:
+    """Keys of the cell that holds each unit vector, then of the neighbouring cells that it probes.
 
-    Sums run component by component, so that a vector has the same cells in whatever company it is looked at.
+    A cell is a point of each lattice; the neighbours are those a shortest vector of one lattice away whose points
+    are nearest.  Sums run component by component, so that a vector has the same cells in whatever company.
     """
-    at = np.zeros((len(units), 8))
+    wide = matrix.shape[1]
+    at = np.zeros((len(units), wide))
     for k in range(units.shape[1]):
         at += units[:, k, None] * matrix[k]
-    own = decode(at)
-    return own, at - own
-
-
-def probed_steps(off: np.ndarray, probes: int) -> np.ndarray:
-    """For places from lattice points, the steps to the cells that are probed."""
     steps = shortest()
-    gain = np.zeros((len(off), len(steps)))
-    for k in range(8):
-        gain += off[:, k, None] * steps[:, k]
-    return steps[np.argpartition(-gain, probes, axis=1)[:, :probes]]
-
-
-def lattice_keys(units: np.ndarray, matrix: np.ndarray, probes: int, salt: int) -> np.ndarray:
-    """Keys of the cell that holds each unit vector, then of those it probes."""
-    own, off = lattice_points(units, matrix)
-    return _cell_key(np.concatenate([own[:, None, :], own[:, None, :] + probed_steps(off, probes)], axis=1), salt)
-
-
-def _cells(reps: DataFrame, tables: int, scale: float, probes: int, kind: str) -> DataFrame:
-    """(rep, copies, salt, cell, own, raw): a row for the cell of each table that holds a vector, and for those it probes.
+    own = np.hstack([decode(at[:, k : k + 8]) for k in range(0, wide, 8)])
+    off = at - own
+    gain = np.zeros((len(units), wide // 8, len(steps)))
+    for k in range(wide):
+        gain[:, k // 8] += off[:, k, None] * steps[:, k % 8]
+    best = np.argpartition(-gain.reshape(len(units), -1), probes, axis=1)[:, :probes]
+    cells = np.repeat(own[:, None, :], probes + 1, axis=1).reshape(len(units), probes + 1, -1, 8)
+    rows = np.arange(len(units))
+    for p in range(probes):
+        cells[rows, p + 1, best[:, p] // len(steps)] += steps[best[:, p] % len(steps)]
+    return _cell_key(cells.reshape(len(units), probes + 1, wide), salt)
+
+
+def _cells(reps: DataFrame, lattices: int, tables: int, scale: float, probes: int) -> DataFrame:
+    """(cell, rep, own): a row for the cell of each table that holds a vector, and for those it probes; ids only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, vectors = part.column(0).to_numpy(), part.column(1).to_pylist()
+                lengths = np.array([len(v) for v in vectors])
+                for dim in np.unique(lengths):
+                    here = np.flatnonzero(lengths == dim)
+                    units = unit_rows([vectors[k] for k in here])
+                    keys = [lattice_keys(units, m, probes, int(dim) * MOST_TABLES + t) for t, m in enumerate(projections(int(dim), lattices, tables, scale))]
+                    cells = np.stack(keys, axis=1)
+                    own = np.broadcast_to(np.arange(probes + 1) == 0, cells.shape)
+                    columns = [cells.ravel(), np.repeat(ids[here], cells[0].size), own.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "rep", "own"])
+
+    return reps.select("rep", "embedding").mapInArrow(run, "cell long, rep long, own boolean")
+
+
+def _met_before(leaders: list[np.ndarray], leader: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs (i, j) of a block's vectors also meet in a block of a smaller leader."""
+    out = np.zeros(len(i), bool)
+    used = np.unique(np.concatenate([i, j]))
+    names = [leaders[k][leaders[k] < leader] for k in used]
+    known, column, counts = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), [len(x) for x in names])
+    shared = np.flatnonzero(counts > 1)
+    at = np.searchsorted(used, i), np.searchsorted(used, j)
+    for lo in range(0, len(shared), COLUMNS):
+        place = np.full(len(known), -1)
+        place[shared[lo : lo + COLUMNS]] = np.arange(len(shared[lo : lo + COLUMNS]))
+        there = place[column] >= 0
+        member = np.zeros((len(used), len(shared[lo : lo + COLUMNS])), np.float32)
+        member[row[there], place[column[there]]] = 1
+        out |= (member @ member.T)[at] > 0
+    return out
 
-    salt is the vectors' length times MOST_TABLES, plus the table's number; raw holds the components as they
-    came (kind is their numpy type); floats take half a double's bytes.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for dim, part in frame.groupby(frame.embedding.map(len)):
-                units = unit_rows(part.embedding.tolist())
-                packed = [np.asarray(v, kind).tobytes() for v in part.embedding]
-                for t, matrix in enumerate(projections(int(dim), tables, scale)):
-                    salt = int(dim) * MOST_TABLES + t
-                    keys = lattice_keys(units, matrix, probes, salt)
-                    for p in range(probes + 1):
-                        yield pd.DataFrame(
-                            {
-                                "rep": part.rep.to_numpy(),
-                                "copies": part.copies.to_numpy(),
-                                "salt": salt,
-                                "cell": keys[:, p],
-                                "own": p == 0,
-                                "raw": packed,
-                            }
-                        )
-
-    return reps.mapInPandas(run, "rep long, copies long, salt long, cell long, own boolean, raw binary")
-
-
-class Meetings:
-    """Which pairs of a block's vectors meet there first, of all the blocks where they meet.
-
-    A pair meets in a table if one of them probes or shares the other's cell.  The first table counts; in it,
-    if each probes the other's cell, the cell of the smaller id.
-    """
+def _compare(threshold: float, kind: str):
+    """Function for mapInArrow over rows sorted by block: for each linked vector, what the block adds.
 
-    def __init__(self, units: np.ndarray, ids: np.ndarray, salt: int, tables: int, scale: float, probes: int):
-        self.units, self.ids, self.salt, self.probes = units, ids, salt, probes
-        self.matrices = projections(units.shape[1], tables, scale)[: salt % MOST_TABLES + 1]
-
-    def first(self, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """Places, in the pairs (i, j), of those that meet first in this block; both: j's cell is i's, else i is a guest."""
-        here = np.arange(len(i))
-        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        x, y = at[: len(i)], at[len(i) :]
-        for t, matrix in enumerate(self.matrices):
-            if not len(here):
-                break
-            own, off = lattice_points(self.units[used], matrix)
-            step = own[y[here]] - own[x[here]]
-            near = np.flatnonzero((step**2).sum(axis=1) == 2)  # others are no neighbours
-            if t + 1 < len(self.matrices):
-                met = ~step.any(axis=1)
-                met[near] = self._probes(off, x[here[near]], step[near]) | self._probes(off, y[here[near]], -step[near])
-            else:
-                near = near[~both[here[near]] & (self.ids[i[here[near]]] < self.ids[j[here[near]]])]
-                met = np.zeros(len(here), bool)
-                met[near] = self._probes(off, y[here[near]], -step[near])
-            here = here[~met]
-        return here
-
-    def _probes(self, off: np.ndarray, rows: np.ndarray, step: np.ndarray) -> np.ndarray:
-        """Whether the vectors in rows probe the cells a step away."""
-        some, at = np.unique(rows, return_inverse=True)
-        if not len(some):
-            return np.zeros(0, bool)
-        return (probed_steps(off[some], self.probes)[at] == step[:, None, :]).all(axis=2).any(axis=1)
-
-
-def _compare(threshold: float, kind: str, tables: int, scale: float, probes: int):
-    """Function for mapInPandas over rows sorted by block: for each linked vector, what the block adds.
-
-    (a, b, linked): vectors linked with a that it meets first in this block, repeats counted, and the
+    (a, b, linked): vectors linked with a that it meets in no block of a smaller leader, repeats counted, and the
     vector that stands for a's links in the block, so rows never outnumber the block's.
     """
 
-    def links(block: pd.DataFrame) -> pd.DataFrame:
+    def links(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        lengths = block.raw.map(len)
+        if lengths.nunique() > 1:  # equal keys of cells of different lengths
+            for _, part in block.groupby(lengths):
+                yield from links(part)
+            return
         units = unit_rows([np.frombuffer(x, kind) for x in block.raw])
-        ids, side, own = block.rep.to_numpy(), block.side.to_numpy(), block.own.to_numpy()
-        copies = block.copies.to_numpy()
-        meetings = Meetings(units, ids, int(block.salt.iloc[0]), tables, scale, probes)
-        whole = bool((side == 3).any())
-        left, right = (np.arange(len(side)), np.flatnonzero(own)) if whole else (np.flatnonzero(side != 1), np.flatnonzero(side == 1))
-        linked, root = np.zeros(len(side)), np.arange(len(side))
-        for s in range(0, len(left), 1024):
-            i, j = np.nonzero(units[left[s : s + 1024]] @ units[right].T >= threshold)
+        ids, copies, tile = block.rep.to_numpy(), block.copies.to_numpy(), block.tile.to_numpy()
+        leaders, leader = [np.asarray(x) for x in block.leaders], int(block.leader.iloc[0])
+        one = block.x.iloc[0] == block.y.iloc[0]
+        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(tile == block.x.iloc[0]), np.flatnonzero(tile == block.y.iloc[0]))
+        linked, root = np.zeros(len(ids)), np.arange(len(ids))
+        for s in range(0, len(left), 512):
+            i, j = np.nonzero(units[left[s : s + 512]] @ units[right].T >= threshold)
             i, j = left[s + i], right[j]
-            good = (i < j) | ~own[i] if whole else ids[i] != ids[j]
-            i, j = i[good], j[good]
-            first = meetings.first(i, j, own[i])
-            i, j = i[first], j[first]
-            linked += np.bincount(i, copies[j], len(side)) + np.bincount(j, copies[i], len(side))
-            root = local_roots(root[i], root[j], len(side))[root]
+            if one:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                first = ~_met_before(leaders, leader, i, j)
+                i, j = i[first], j[first]
+            linked += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+            root = local_roots(root[i], root[j], len(ids))[root]
         some = np.flatnonzero(linked)
-        return pd.DataFrame({"a": ids[some], "b": ids[root[some]], "linked": linked[some].astype(np.int64)})
+        yield pd.DataFrame({"a": ids[some], "b": ids[root[some]], "linked": linked[some].astype(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        for frame in frames:
-            if rest is not None and len(rest):
-                frame = pd.concat([rest, frame], ignore_index=True)
+        for frame in itertools.chain(frames, [None]):
+            last = frame is None
+            frame = rest if last else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if frame is None or not len(frame):
+                continue
             key = frame[BLOCK].to_numpy()
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(frame) else np.zeros(0, int)
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(frame))
-            for s, e in zip(starts[:-1], ends[:-1], strict=True):
+            done = len(starts) if last else len(starts) - 1
+            for s, e in zip(starts[:done], ends[:done], strict=True):
                 if e - s > 1:
-                    yield links(frame.iloc[s:e])
-            rest = frame.iloc[starts[-1] :] if len(starts) else frame
-        if rest is not None and len(rest) > 1:
-            yield links(rest)
+                    yield from links(frame.iloc[s:e])
+            rest = None if last else frame.iloc[starts[-1] :]
 
     return run
 
 
 def similar_vectors(
-    vectors: DataFrame, threshold: float = ALIKE, tables: int = TABLES, scale: float | None = None, probes: int = PROBES
+    vectors: DataFrame, threshold: float = ALIKE, scale: float | None = None, probes: int = PROBES, shape: tuple[int, int] | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors (vec_id, embedding).
 
-    Equal vectors are one class; only class representatives are hashed.  A vector meets those of its own cell
-    and, in the cells it probes, their members; cosines of all that meet are computed in double precision.
-    Cells of more than TILE members or guests (vectors that probe them) are compared tile by tile, each pair of
-    tiles in a block of its own, so nothing is left out and no block grows.  A pair counts in the block where it
-    meets first, so blocks return a sum and a link for each vector, never their pairs.
+    Equal vectors are one class; only class representatives are hashed.  In each table a vector has a cell and
+    probes neighbouring ones; those tables of cells hold ids only.  The smallest id that a cell holds leads it, and
+    the cells of one leader are one block, so that close vectors, which share many cells, meet in few blocks and are
+    sent there once.  Cosines of all that meet are computed in double precision.  A block of more than TILE
+    vectors is compared tile by tile, each pair of tiles in a task's turn of its own, so nothing is left out and no
+    turn grows.  A pair counts in the block of the smallest leader where it meets, so blocks return a sum and a link
+    for each vector, never their pairs.  shape: (lattices of a cell, tables), by the number of vectors if not given.
 
     Defined results: a vector that is null, empty, zero or holds null or non-finite components, or that has no
     vec_id, has no links and is its own component; vectors of different lengths do not link; repeated rows
@@ -252,66 +243,45 @@ def similar_vectors(
         & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
         & F.exists(x, lambda v: v != 0)
     )
-    rows = store(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x, F.coalesce(fine, F.lit(False)).alias("fine")), "vectors")
+    # 128 bits stand for a vector where equal ones are brought together
+    marks = [F.xxhash64(F.lit(k), x).alias(f"h{k}") for k in (1, 2)]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x, *marks, F.coalesce(fine, F.lit(False)).alias("fine"))
     reps = store(
-        rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes"
+        rows.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")),
+        "classes",
     )
+    lattices, tables = shape or plan(reps.count())
     kind = "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
-    cells = store(_cells(reps, tables, scale, probes, kind), "cells")
-    full = (
-        cells.groupBy("salt", "cell")
-        .agg(F.count_if("own").alias("members"), F.count_if(~F.col("own")).alias("guests"))
-        .where("members > 0 and members + guests > 1")
-        .select(
-            "salt",
-            "cell",
-            F.ceil(F.col("members") / TILE).cast("int").alias("tiles"),
-            F.ceil(F.col("guests") / TILE).cast("int").alias("guest_tiles"),
-        )
-    )
-    tiles_here = F.when(F.col("own"), F.col("tiles")).otherwise(F.col("guest_tiles"))
-    met = cells.join(full, ["salt", "cell"]).withColumn("tile", F.pmod(F.xxhash64("rep"), tiles_here).cast("int"))
-
-    def spot(kind: int, host: Column, guest: Column, side: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), host.alias("x"), guest.alias("y"), side.alias("side"))
-
-    zero = F.lit(0)
-    every = F.sequence(zero, F.col("tiles") - 1)
-    among = F.transform(
-        every,
-        lambda o: spot(
-            0,
-            F.least(F.col("tile"), o),
-            F.greatest(F.col("tile"), o),
-            F.when(F.col("tile") == o, 3).when(F.col("tile") < o, 0).otherwise(1),
-        ),
-    )
-    every_guest = F.slice(F.sequence(zero, F.col("guest_tiles")), F.lit(1), F.col("guest_tiles"))
-    hosts = F.transform(every_guest, lambda o: spot(1, F.col("tile"), o, F.lit(1)))
-    guests = F.transform(every, lambda o: spot(1, o, F.col("tile"), F.lit(2)))
-    places = (
-        F.when((F.col("tiles") == 1) & (F.col("guest_tiles") <= 1), F.array(spot(0, zero, zero, F.lit(3))))
-        .when(F.col("own"), F.concat(among, hosts))
-        .otherwise(guests)
-    )
-    blocks = met.select("rep", "copies", "salt", "cell", "own", "raw", F.explode(places).alias("at")).select(
-        "rep", "copies", "salt", "cell", "own", "raw", "at.*"
+    cells = store(_cells(reps, lattices, tables, scale, probes), "cells")
+    led = cells.where("own").groupBy("cell").agg(F.min("rep").alias("leader"))
+    met = store(cells.join(led, "cell").select("leader", "rep").distinct(), "met")
+    sizes = met.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1")
+    there = met.join(sizes, "leader").groupBy("rep").agg(F.collect_list(F.struct("leader", "tiles")).alias("blocks"))
+    raw = F.udf(lambda v: np.asarray(v, kind).tobytes(), "binary", useArrow=True)
+    placed = (
+        reps.join(there, "rep")
+        .select("rep", "copies", raw("embedding").alias("raw"), F.transform("blocks", lambda b: b.leader).alias("leaders"), F.explode("blocks").alias("at"))
+        .withColumn("tile", F.pmod(F.xxhash64("rep"), "at.tiles").cast("int"))
     )
-    compare = _compare(threshold, kind, tables, scale, probes)
-    found = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInPandas(compare, "a long, b long, linked long")
+    other = F.explode(F.sequence(F.lit(0), F.col("at.tiles") - 1)).alias("o")
+    blocks = placed.select("rep", "copies", "raw", "leaders", "tile", "at.leader", other)
+    blocks = blocks.withColumns({"x": F.least("tile", "o"), "y": F.greatest("tile", "o")}).drop("o")
+    found = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInPandas(_compare(threshold, kind), "a long, b long, linked long")
     links = store(found, "links")
     roots = store(connected_components(links.select("a", "b")), "roots")
     others = links.groupBy("a").agg(F.sum("linked").alias("linked"))
     of_rep = (
-        reps.join(others, reps.rep == others.a, "left")
+        reps.select("h1", "h2", "rep", "copies")
+        .join(others, reps.rep == others.a, "left")
         .join(roots, reps.rep == roots.node, "left")
         .select(
-            F.col("embedding").alias("e"),
+            F.col("h1").alias("g1"),
+            F.col("h2").alias("g2"),
             (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    linked = rows.where("fine").join(of_rep, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")
+    linked = rows.where("fine").join(of_rep, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -1,42 +1,12 @@
-"""Cutting lineage through tables in the folder that driver and executors share."""
+"""The given tables, and tables stored to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and return the table read back.
-
-    Everything computed so far survives the loss of any executor, and later uses do not recompute it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_path = path
-    return back
-
+from quillspark.storage import drop, shared_dir, store
 
-def drop(df: DataFrame) -> None:
-    """Delete a stored table that nothing lazy refers to any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "shared_dir", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -226,8 +226,9 @@ def test_embeddings(spark):
 
 
 def test_embeddings_in_tiles(spark, monkeypatch):
-    """A group of near copies over many tiles, with guests: each link counts once, in whatever company it is found."""
+    """A group of near copies over many tiles: each link counts once, in however many blocks and tables it is found."""
     monkeypatch.setattr(lattice, "TILE", 16)
+    monkeypatch.setattr(lattice, "COLUMNS", 3)
     rng = np.random.default_rng(4)
     rows = np.vstack([rng.normal(size=24) + rng.normal(size=(150, 24)) * 0.15, rng.normal(size=(100, 24))])
     vectors = [(500 - k, [float(x) for x in v]) for k, v in enumerate(rows)]
@@ -235,24 +236,49 @@ def test_embeddings_in_tiles(spark, monkeypatch):
     got = {r["vec_id"]: r for r in lattice.similar_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
     v = np.array([x for _, x in vectors])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    meet = np.zeros((len(v), len(v)), bool)
-    for t, table in enumerate(lattice.projections(24)):
+    ids = np.array([i for i, _ in vectors])
+    blocks = [set() for _ in vectors]
+    for t, table in enumerate(lattice.projections(24, *lattice.plan(250))):
         keys = lattice.lattice_keys(v, table, lattice.PROBES, t)
-        meet |= (keys[:, None, :1] == keys[None]).any(axis=2)
+        lead = {}
+        for i, cell in zip(ids.tolist(), keys[:, 0].tolist(), strict=True):
+            lead[cell] = min(i, lead.get(cell, i))
+        for own, cells in zip(blocks, keys.tolist(), strict=True):
+            own |= {lead[c] for c in cells if c in lead}
+    meet = np.array([[not a.isdisjoint(b) for b in blocks] for a in blocks])
     alike = v @ v.T >= 0.95
-    links = ((meet | meet.T) & alike).sum(axis=1) - 1
-    assert [got[i]["n_links"] for i, _ in vectors] == links.tolist()
+    links = (meet & alike).sum(axis=1) - 1
+    assert [got[i]["n_links"] for i in ids.tolist()] == links.tolist()
     assert links.sum() >= 0.9 * (alike.sum() - len(v)) > 10_000
-    matrix = lattice.projections(24, 1)[0]
+    matrix = lattice.projections(24, 2, 1)[0]
     together = lattice.lattice_keys(v, matrix, 3, 7)
     assert all((lattice.lattice_keys(v[k : k + 1], matrix, 3, 7) == together[k]).all() for k in range(len(v)))
 
 
+def test_embedding_cells_follow_the_rows():
+    """Random vectors of any length spread over cells, and more lattices make more of them at the same recall."""
+    assert lattice.plan(10) == lattice.plan(50_000) == (2, 5) and lattice.plan(10**7)[0] == 3 and lattice.plan(10**10)[0] == 4
+    rng = np.random.default_rng(7)
+    for dim in (64, 128, 768):
+        a, b = rng.normal(size=(2, 800, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9505 * a + np.sqrt(1 - 0.9505**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        for count in (50_000, 10**7):
+            lattices, tables = lattice.plan(count)
+            met = np.zeros(800, bool)
+            for m in lattice.projections(dim, lattices, tables):
+                x, y = (lattice.lattice_keys(v, m, lattice.PROBES, 1) for v in (a, b))
+                met |= (x == y[:, :1]).any(axis=1) | (y == x[:, :1]).any(axis=1)
+                assert np.unique(x[:, 0], return_counts=True)[1].max() <= 16 and len(np.unique(x[:, 0])) > 600
+            assert met.mean() >= 0.93
+
+
 def test_embeddings_of_any_length(spark):
     """Pairs just above the threshold are found in short vectors, too, and at a lower threshold."""
     rng = np.random.default_rng(6)
     rows, want = [], {}
-    for dim, cosine in ((16, 0.9501), (24, 0.9501), (32, 0.9501), (64, 0.8501)):
+    for dim, cosine in ((16, 0.9501), (24, 0.9501), (32, 0.9501), (128, 0.9501), (64, 0.8501)):
         a, b = rng.normal(size=(2, 150, dim))
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b -= (a * b).sum(axis=1, keepdims=True) * a
@@ -261,7 +287,7 @@ def test_embeddings_of_any_length(spark):
             want[len(rows)] = dim
             rows.append((len(rows), [float(v) for v in x]))
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for threshold, dims in ((0.95, (16, 24, 32)), (0.85, (64,))):
+    for threshold, dims in ((0.95, (16, 24, 32, 128)), (0.85, (64,))):
         got = lattice.similar_vectors(table.where(F.size("embedding").isin(*dims)), threshold).collect()
         for dim in dims:
             assert np.mean([r["n_links"] > 0 for r in got if want[r["vec_id"]] == dim]) >= 0.93
@@ -305,6 +331,43 @@ def test_html_ends_left_out(page, text):
     assert html_text.main_text(f"<article>{page}</article>") == text
 
 
+def test_html_line_blocks():
+    """Stretches against their definition: weights fewer than a window apart belong together."""
+    rng = random.Random(3)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, rng.randint(1, 90)]) for _ in range(rng.randint(0, 40))]
+        sums = [sum(weights[max(0, k - 2) : k + 1]) for k in range(len(weights))]
+        want, k = [], 0
+        while k < len(weights):
+            if not sums[k]:
+                k += 1
+                continue
+            end = next((e for e in range(k, len(weights)) if not sums[e]), len(weights))
+            want.append((k, max(x for x in range(k, end) if weights[x]), max(sums[k:end])))
+            k = end
+        assert html_text.stretches(weights) == want
+
+
+def test_html_evidence():
+    long = "words of text " * 20
+    text = html_text.main_text
+    assert text(f"<article><p>{long}</p></article><article><p>small one</p></article>") == f"{long.strip()}\nsmall one"
+    page = f"<article><p>{long}<math><mi>x</mi></math></p><div class='related-work'><p>Other work.</p></div><p>a<br>b</p><div class='cookie-notice'>c</div></article>"
+    assert text(page) == f"{long}x\nOther work.\na b"
+    assert text(f"<article><a href=x>A teaser</a></article><div><p>{long}</p><p>{long}</p></div>") == f"{long.strip()}\n{long.strip()}"
+    assert text(f"<article><p>{long}</p></article><div>Imprint and address of the owner of this page, who is told here at some length</div>") == long.strip()
+    assert text(f"<article><p>{long}</p><section class='comments'><p>{long}</p></section><aside>x</aside></article>") == long.strip()
+
+
+def test_html_table(spark):
+    big = 9007199254740993
+    rows = [(big, "u", "<p>x &amp; y</p>", "a"), (None, None, None, None), (1, "v", "", "b"), (1, "v", "", "b"), (2, "w", "<p>" + "long text " * 200_000, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, `text` string").withColumn("n_chars", F.lit("x")).withColumn("a.b", F.lit(1))
+    got = html_text.extract(pages).collect()
+    assert [(r["page_id"], r["url"], r["text"][:5], r["n_chars"]) for r in got] == [(big, "u", "x & y", 5), (None, None, "", 0), (1, "v", "", 0), (1, "v", "", 0), (2, "w", "long ", 1_999_999)]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_backoff(spark, docs):
     given = [r["text"] for r in docs.collect()]
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
