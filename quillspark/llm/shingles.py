@@ -1,7 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles (the pipeline's stage).
-
-MinHash bands only propose groups; every link is decided by the exact similarity of the two shingle sets.
-"""
+"""Sets of word shingles: their fingerprints and exact Jaccard similarity (for operator 8)."""
 
 from __future__ import annotations
 
@@ -14,22 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.components import connected_components
-from quillspark.llm.simhash import keep_rows
-from quillspark.llm.storage import store
-
 SHINGLE = 5
 SIMILAR = 0.8
-#: Bands of so many minima each: sets of similarity 0.8 share a band with probability 0.998.
-BANDS, ROWS = 20, 6
 #: Sets of one proposed group that meet in one task: two tiles of this many.
 TILE = 2048
-#: Shingles that one numpy block holds against all permutations.
-BLOCK = 1024
+#: Shingles that one numpy block hashes, at most 65535.
+BLOCK = 4096
 _RNG = np.random.default_rng(42)
-FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS).astype(np.uint64)
-WEIGHTS = _RNG.integers(0, 2**63, SHINGLE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _RNG.integers(0, 2**63, 4).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _RNG.integers(0, 2**63, 4).astype(np.uint64)
+WEIGHTS = _RNG.integers(0, 2**63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -37,50 +28,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a UTF-8 text's shingles; a shorter text is one shingle, a blank one has none."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and space with \t\n\v\f\r
     if not words:
         return np.zeros(0, np.uint64)
     h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-    size = min(SHINGLE, len(h))
+    size = min(shingle, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
         out = _mixed(out + h[k : len(h) - size + 1 + k] * WEIGHTS[k])
     return np.unique(out)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band from the minima of the set under each permutation."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+def set_print(hashes: np.ndarray) -> np.ndarray:
+    """The 256-bit SimHash of a set of shingles, as four signed words: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(256, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK, None]
-        np.minimum(low, ((part * FACTORS + SHIFTS) >> np.uint64(32)).astype(np.uint32).min(axis=0), out=low)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mixed(key * np.uint64(31) + low[k::ROWS] + np.uint64(1))
-    return key.view(np.int64)
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(id, same binary, keys array<long>) of every row with an id; `same` is equal for equal sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                same, keys = [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
-                    found = shingle_set(text)
-                    same.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    keys.append(band_keys(found))
-                arrays = [part.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "same", "keys"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return rows.mapInArrow(run, "id long, same binary, keys array<long>")
+        bits = np.unpackbits(_mixed(part * FACTORS + SHIFTS).view(np.uint8), axis=1)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes)).view(np.int64)
 
 
 def set_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -119,8 +87,8 @@ def set_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[in
     return out
 
 
-def verified_links(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
-    """sets (id, text), groups (node, component) -> edges (a, b) that connect ids as all similar pairs of a group would.
+def verified_links(sets: DataFrame, groups: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, tile: int | None = None) -> DataFrame:
+    """sets (id, text), groups (id, component) -> edges (a, b) that connect ids as all similar pairs of a group would.
 
     Groups of at most `tile` sets share tasks.  The sets of a larger one fall into tiles by hash and each two
     tiles meet in a task, so no task holds a whole group; a task returns a forest, never all pairs.
@@ -130,7 +98,7 @@ def verified_links(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                packed = [shingle_set(x).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
+                packed = [shingle_set(x, shingle).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
                 arrays = [part.column(0), pa.array(packed, pa.binary()), *part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "packed", "component", "tiles"])
 
@@ -138,13 +106,14 @@ def verified_links(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> Data
         out: list[tuple[int, int]] = []
         for _, part in frame.groupby("component"):
             ids = part.id.to_numpy()
-            out += [(ids[a], ids[b]) for a, b in set_links([np.frombuffer(x, np.uint64) for x in part.packed])]
+            out += [(ids[a], ids[b]) for a, b in set_links([np.frombuffer(x, np.uint64) for x in part.packed], similar)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    tile = tile or TILE
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).alias("tiles"))
     total = groups.count()
     bins = max(1, -(-total // tile))
-    members = groups.join(sizes, "component").select(F.col("node").alias("id"), "component", "tiles")
+    members = groups.join(sizes, "component").select("id", "component", "tiles")
     rows = sets.join(members, "id").select("id", "text", "component", "tiles")
     rows = rows.mapInArrow(hashed, "id long, packed binary, component long, tiles long")
     own = F.pmod(F.xxhash64("id"), "tiles")
@@ -154,36 +123,3 @@ def verified_links(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> Data
     )
     key = F.when(F.col("large"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)))
     return dealt.withColumn("g", key).groupBy("large", "g", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-def proposed_groups(reps: DataFrame) -> DataFrame:
-    """reps (rep, keys) -> (node, component) of sets that share a band with another, directly or through others."""
-    bands = reps.select("rep", F.explode("keys").alias("key"))
-    low = bands.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    return connected_components(bands.join(low, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row of docs that has an id; component_id is the smallest doc_id connected.
-
-    Defined results: equal sets always link, so blank and null texts are one group; repeated rows give repeated
-    results; an id names one document, so texts that share an id may link through it.
-    """
-    prints = store(signatures(docs), "signatures")
-    reps = store(prints.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "sets")
-    groups = store(proposed_groups(reps), "groups")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(groups, F.col("id") == F.col("node"), "left_semi")
-    roots = store(connected_components(verified_links(texts, groups)), "roots")
-    of_set = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of_set, "same").select(F.col("id").alias("doc_id"), "component_id")
-
-
-def first_of_similar(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate component.
-
-    Rows without a doc_id stay, as nothing tells which of them another row repeats.  Of repeated rows that
-    share the smallest doc_id one stays.
-    """
-    found = near_duplicates(docs)
-    keep = store(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "keep")
-    return keep_rows(docs, keep)

@@ -62,9 +62,9 @@ def test_simhash(spark, docs):
                     root[a] = min(root[a], root[b])
     assert component == root and component[64] == component[63]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
-    kept = simhash.first_of_groups(docs)
-    assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*{c for c in component.values()}, None])
+    reps = simhash.fingerprints(docs.where("doc_id is not null")).groupBy("fp").agg(F.min("id").alias("rep"))
+    small = {r["node"]: r["component"] for r in connected_components(simhash.link_fingerprints(reps, most=5)).collect()}
+    assert small == {r: root[r] for r in (x["rep"] for x in reps.collect()) if root[r] != r or r in {root[x["rep"]] for x in reps.collect() if x["rep"] != r}}
 
 
 def brute_similar(given):
@@ -101,17 +101,17 @@ def test_pipeline_near_duplicates(spark, monkeypatch):
     root = brute_similar(dict(enumerate(given)))
     rows = documents(spark, given)
     assert len(set(root.values())) < 60
-    for tile in (shingles.TILE, 3):
-        monkeypatch.setattr(shingles.verified_links, "__defaults__", (tile,))
-        assert {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(rows).collect()} == root
+    for tile, most in ((shingles.TILE, simhash.GROUP), (3, 7)):
+        monkeypatch.setattr(shingles, "TILE", tile)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(rows, most=most).collect()} == root
     kept = corpus_pipeline.near_dedup(spark, rows.unionByName(rows.limit(1)).unionByName(rows.limit(2).withColumn("doc_id", F.lit(None).cast("long"))), "")
     assert kept.columns == rows.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*set(root.values()), None, None])
-    assert shingles.near_duplicates(documents(spark, [])).count() == 0
+    assert simhash.similar_documents(documents(spark, [])).count() == 0
     dense = [np.unique(np.random.default_rng(k).choice(60, 50, replace=False)).astype(np.uint64) for k in range(80)]
     pairs = [(a, b) for a in range(80) for b in range(80) if 5 * len(x := np.intersect1d(dense[a], dense[b])) >= 4 * (100 - len(x))]
-    together = shingles.connected_components(spark.createDataFrame([*pairs, (0, 0)], "a long, b long"))
-    ours = shingles.connected_components(spark.createDataFrame([*shingles.set_links(dense), (0, 0)], "a long, b long"))
+    together = connected_components(spark.createDataFrame([*pairs, (0, 0)], "a long, b long"))
+    ours = connected_components(spark.createDataFrame([*shingles.set_links(dense), (0, 0)], "a long, b long"))
     assert sorted(map(tuple, together.collect())) == sorted(map(tuple, ours.collect())) and together.count()
 
 
@@ -124,6 +124,38 @@ def test_tiles_find_all_pairs():
     assert found == set(map(tuple, np.argwhere(np.bitwise_count(both[:, None] ^ both[None, :]) <= 3).tolist()))
 
 
+def test_groups_of_cells():
+    rng = np.random.default_rng(5)
+    cells = np.unique(rng.integers(0, 12, (200, 3)), axis=0)
+    counts = rng.integers(1, 40, len(cells))
+    counts[7] = 300
+    groups = simhash.deal(cells, counts, 100)
+    assert sorted(k for own, _ in groups for k in own) == list(range(len(cells)))
+    assert all(tiles == 1 or len(own) == 1 for own, tiles in groups) and all(counts[own].sum() <= 100 * tiles for own, tiles in groups)
+    assert max(tiles for _, tiles in groups) == 3
+
+
+def test_wide_prints_find_similar_sets():
+    """Sets at the threshold pass the radius, whatever their size; the comparison finds every such pair."""
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for size in (9, 10, 18, 50, 400, 3000):
+        for _ in range(150):
+            both = rng.integers(0, 2**63, size).astype(np.uint64)
+            other = rng.integers(0, 2**63, size // 9).astype(np.uint64)
+            for own in (both, np.unique(np.concatenate([both[: size - size // 9], other]))):
+                rows.append([*shingles.set_print(np.unique(own)), len(own)])
+            pairs.append((len(rows) - 2, len(rows) - 1))
+    table = np.array(rows, np.int64)
+    found = {(int(i), int(j)) for x, y in simhash.close_sets(table, table, 0.8) for i, j in zip(x, y, strict=True)}
+    assert np.mean([p in found for p in pairs]) > 0.99
+    words = table[:, :4].copy().view(np.uint64)
+    far = np.bitwise_count(words[:, None] ^ words[None])
+    ratio = np.minimum(table[:, None, 4], table[None, :, 4]) / np.maximum(table[:, None, 4], table[None, :, 4])
+    want = (far.sum(axis=2, dtype=int) <= simhash.WIDE_RADIUS) & (far[:, :, 0] <= simhash.FIRST_RADIUS) & (ratio >= 0.8)
+    assert set(map(tuple, np.argwhere(want).tolist())) <= found
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 50, 2000):
