@@ -14,6 +14,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm.exact import chained
 from quillspark.llm.mixing import word_count
@@ -116,14 +117,22 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int =
     weighs no more than others, and the number of buckets follows the number of words.
 
     Defined results: null, empty and blank texts have no words, log_score 0 and a null mean; repeated rows are
-    scored each, and count each; ids may be null; an empty table gives an empty one.  Only doc_id and text are
-    read.  Batches are numbered by their place in the input, so docs must give the same rows in the same
+    scored each, and count each; ids may be null and of any type; an empty table gives an empty one.  Only doc_id and
+    text are read.  n-grams are known by 64-bit hashes: where two share one, their counts add up (for 10**9 distinct
+    n-grams that is expected of 0.03 pairs).  Batches are numbered by their place in the input, so docs must give the same rows in the same
     partitions when read again, as tables do; a batch that differs from the one counted fails the job.
     """
     rows = docs.select("doc_id", "text")
     total = int(rows.agg(F.sum(word_count(F.col("text")))).first()[0] or 0)
     bits = max(3, math.ceil(math.log2(max(1, KEYS_PER_WORD * total / BUCKET_KEYS))))
+    # more partitions than usual where the input asks for them, so that a task's share does not grow with it
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [max(usual, n) for n in (1 << bits, -(-total // BATCH_WORDS))]
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+        return df.repartition(n, key) if n > usual else df
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in batches(frames):
@@ -165,7 +174,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int =
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
-                    pa.array([batch.ids], pa.list_(id_arrow(id_type))),
+                    pa.array([batch.ids], pa.list_(id_kind)),
                     pa.array([_squeeze(batch.lengths.astype(np.uint32))], pa.binary()),
                     pa.array([_squeeze(words)], pa.binary()),
                     pa.array([_squeeze(at.astype(np.uint32))], pa.binary()),
@@ -202,20 +211,17 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, seen: int =
         return pd.DataFrame({"doc_id": pd.Series(batch.ids, dtype="object"), "n_words": lengths, "log_score": by_doc})
 
     counted = rows.mapInArrow(count, "bucket long, batch long, n int, keys binary, counts binary")
-    answers = counted.groupBy("bucket").applyInPandas(total_up, "batch long, bucket long, n int, mark long, sums binary")
+    answers = dealt(counted, parts[0], "bucket").groupBy("bucket").applyInPandas(total_up, "batch long, bucket long, n int, mark long, sums binary")
     held = rows.mapInArrow(texts, f"batch long, ids array<{id_type}>, lengths binary, words binary, at binary")
     scored = (
-        held.groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
+        dealt(held, parts[1], "batch")
+        .groupBy("batch")
+        .cogroup(dealt(answers, parts[1], "batch").groupBy("batch"))
         .applyInPandas(sum_up, f"doc_id {id_type}, n_words long, log_score double")
     )
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
-def id_arrow(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, rounded so that other engines give the same figures."""
     found = score(table(spark, sf_dir, "documents"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,59 +82,55 @@ def _keyed(df: DataFrame, shards: int) -> DataFrame:
 
 
 class DigestIndex:
-    """Sharded minimal perfect hash: slots (shard, slot) hold the full digest and its winner.
+    """Sharded minimal perfect hash of a history: slots (shard, slot) hold the full digest and its winner's locator.
 
     seen: (doc_id, sha) rows of the history.  The winner is the smallest doc_id of a digest, null if it has
     none.  Shards hold SHARD digests on average, however many there are, as digests are uniform.
     """
 
     def __init__(self, seen: DataFrame):
-        weight = F.sum("copies") if "copies" in seen.columns else F.count("*")
-        distinct = store(seen.groupBy("sha").agg(F.min("doc_id").alias("winner"), weight.alias("size")), "digests")
+        distinct = store(seen.groupBy("sha").agg(F.min("doc_id").alias("winner")), "digests")
         self.shards = max(1, -(-distinct.count() // SHARD))
         id_type = distinct.schema["winner"].dataType.simpleString()
 
-        def build(frame: pd.DataFrame) -> pd.DataFrame:
-            moved, slot = place(frame.h.to_numpy(np.int64).view(np.uint64), frame.bucket.to_numpy())
-            return frame.drop(columns="h").assign(
-                moved=moved, slot=slot, slots=len(frame), lead=~frame.bucket.duplicated().to_numpy()
-            )
-
-        self.slots = store(
-            _keyed(distinct.withColumn("h", F.xxhash64("sha")), self.shards)
-            .groupBy("shard")
-            .applyInPandas(
-                build,
-                f"sha string, winner {id_type}, size long, shard long, bucket int, moved long, slot long, slots long, lead boolean",
-            ),
-            "slots",
-        )
+        def build(table: pa.Table) -> pa.Table:
+            moved, slot = place(table["h"].to_numpy().view(np.uint64), table["bucket"].to_numpy())
+            _, first = np.unique(table["bucket"].to_numpy(), return_index=True)
+            lead = np.zeros(len(moved), bool)
+            lead[first] = True
+            made = {"moved": moved, "slot": slot, "slots": np.full(len(moved), len(moved)), "lead": lead}
+            out = table.drop_columns(["h"])
+            for name, values in made.items():
+                out = out.append_column(name, pa.array(values))
+            return out
+
+        keyed = _keyed(distinct.withColumn("h", F.xxhash64("sha")), self.shards).select("sha", "winner", "shard", "bucket", "h")
+        schema = f"sha string, winner {id_type}, shard long, bucket int, moved long, slot long, slots long, lead boolean"
+        self.slots = store(keyed.groupBy("shard").applyInArrow(build, schema), "slots")
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """rows (with sha) plus winner, size and member; a slot counts only if its digest is the row's.
+        """rows (with sha) plus shard, slot, winner and member; a slot counts only if its digest is the row's, byte by byte.
 
         Both joins are equi-joins on uniform keys but for repeats of one digest, whose partition is split
-        at run time, as nothing above needs the rows of a key together.
+        at run time, as nothing above needs the rows of a key together.  shard and slot are null for others.
         """
         moves = self.slots.where("lead").select("shard", "bucket", "moved", "slots")
-        held = self.slots.select("shard", "slot", F.col("sha").alias("slot_sha"), "winner", "size")
+        held = self.slots.select("shard", "slot", F.col("sha").alias("slot_sha"), "winner")
         at = _keyed(rows, self.shards).join(moves, ["shard", "bucket"], "left")
         at = at.withColumn("slot", F.pmod(F.xxhash64("sha", "moved"), "slots")).join(held, ["shard", "slot"], "left")
         member = F.coalesce(F.col("slot_sha") == F.col("sha"), F.lit(False))
-        return at.select(
-            *rows.columns,
-            F.when(member, F.col("winner")).alias("winner"),
-            F.when(member, F.col("size")).alias("size"),
-            member.alias("member"),
-        )
+        own = [F.when(member, F.col(c)).alias(c) for c in ("shard", "slot", "winner")]
+        return at.select(*rows.columns, *own, member.alias("member"))
 
 
 def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, seen_before), one row for each row of docs.
 
-    Without history the digests of docs itself are indexed and every row is looked up there.  With history
-    (doc_id, text), members are repeats of it (kept false, keep_id its winner); the others are grouped
-    separately among themselves.
+    The perfect hash is built of a history's distinct digests and every row of docs is looked up.  Members are the
+    group of their slot; nonmembers are grouped separately, by digest.  With history (doc_id, text), members are
+    repeats of it: kept is false, keep_id the slot's winner.  Without, docs are dealt by a hash of their id, one half
+    being the history of the whole: keep_id is the smallest id of the slot's winner and the rows that met it.
+    group_size counts rows of docs.
 
     Defined results: null text is empty; of rows equal in doc_id and text one is kept; a row without doc_id
     is kept only if no row of its group has one, and then one of the group is; an empty table gives an empty
@@ -145,20 +141,24 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataF
         "rows",
     )
     if history is None:
-        found = DigestIndex(rows).lookup(rows).withColumn("member", F.lit(False))
+        seen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     else:
         seen = history.select("doc_id", digest(F.col("text")).alias("sha"))
-        looked = store(DigestIndex(seen).lookup(rows), "looked")
-        fresh = looked.where("not member").select(*rows.columns)
-        alone = DigestIndex(fresh).lookup(fresh).withColumn("member", F.lit(False))
-        found = looked.where("member").unionByName(alone)
+    looked = store(DigestIndex(seen).lookup(rows), "looked")
+    group = ["shard", "slot", "sha"]
+    sized = looked.groupBy(*group).agg(F.min("doc_id").alias("least"), F.first("winner").alias("of_slot"), F.sum("copies").alias("size"))
+    before = F.lit(history is not None) & F.col("member")
+    keep = F.when(before, F.col("of_slot")).otherwise(F.least("least", "of_slot"))
+    sized = sized.select(*(F.col(c).alias(f"g_{c}") for c in group), "least", "of_slot", "size")
+    same = (F.col("sha") == F.col("g_sha")) & F.col("shard").eqNullSafe(F.col("g_shard")) & F.col("slot").eqNullSafe(F.col("g_slot"))
+    found = looked.join(sized, same)
     return found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
-        F.col("winner").alias("keep_id"),
+        keep.alias("keep_id"),
         F.col("size").alias("group_size"),
-        (~F.col("member") & F.col("doc_id").eqNullSafe(F.col("winner")) & (F.col("nth") == 1)).alias("kept"),
+        (~before & F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        F.col("member").alias("seen_before"),
+        before.alias("seen_before"),
     )
 
 

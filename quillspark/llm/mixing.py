@@ -45,17 +45,17 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap
 
 
 def mix(rows: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, cap: float = 2.0, seed: int = 20) -> DataFrame:
-    """rows, which have __id, __source and __size, plus __source_size, __target and __taken.
+    """rows, which have __id, __source, __size and __mark (a hash of the text), plus __source_size, __target and __taken.
 
-    Each row gets a hash-random key.  A source's keys fall into ranges; range totals give each range its
+    Each row gets a hash-random key of id, size and mark, so rows share a key if they are equal in all of them.  A source's keys fall into ranges; range totals give each range its
     start, and a running sum inside a range gives each row its place in the source's order.  A source's
     budget is the whole part of its target: whole passes over the source, then rows in key order, the row at
     the budget's end in part.  Hot sources only have more ranges, so no task grows with a source.
 
-    Defined results: null ids and sources are values like others; rows equal in id and size are
+    Defined results: null ids and sources are values like others; rows equal in id and text are
     interchangeable; sources without words have target 0; an empty table gives an empty one.
     """
-    keyed = rows.withColumn("__key", F.xxhash64("__id", "__size", F.lit(seed)))
+    keyed = rows.withColumn("__key", F.xxhash64("__id", "__size", "__mark", F.lit(seed)))
     plain = keyed.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"))
     sources = store(source_targets(plain, share, weights, cap), "sources")
 
@@ -85,7 +85,7 @@ def mix(rows: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
         F.col("source_size").alias("__source_size"),
         F.col("target").alias("__target"),
     )
-    inside = Window.partitionBy("__place", "__range").orderBy("__key", "__id", "__size")
+    inside = Window.partitionBy("__place", "__range").orderBy("__key", "__id", "__size", "__mark")
     running = F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     start = running - F.col("__size") + F.col("__range_start")
     budget = F.floor("__target").cast("long")
@@ -100,7 +100,9 @@ def mix(rows: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
 def mixture(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of docs."""
     sizes = store(
-        docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size")),
+        docs.select(
+            F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), F.xxhash64("text").alias("__mark")
+        ),
         "sizes",
     )
     return mix(sizes).select(
@@ -124,7 +126,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     n_chars of a cut row is the length of its text.
     """
     rows = docs.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), F.struct("*").alias("row")
+        F.col("doc_id").alias("__id"),
+        F.col("source").alias("__source"),
+        word_count(F.col("text")).alias("__size"),
+        F.xxhash64("text").alias("__mark"),
+        F.struct("*").alias("row"),
     )
     mixed = mix(rows)
     whole = F.when(F.col("__size") > 0, F.expr("__taken div __size")).otherwise(0)

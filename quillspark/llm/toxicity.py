@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.storage import store, table
 
-#: The chain, in order: a name and the condition on a labelled row.
+#: The chain, in order: a name and the condition on a labelled row.  `labels` tells one category of toxicity, which is
+#: the last link; the link before it is low quality, the one other category that the table knows.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 #: Most labelled documents that the models are fitted on, those of least hash of their id.
 TRAINING_ROWS = 6000
@@ -147,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_rows:
     """The chain, fitted on at most most_rows labelled documents; empty if there are none.
 
     Labels with a null among the categories' columns are left out; of repeated labels of a document any
-    positive one counts.  The sample's words are hashed on the executors; only the sample reaches the driver.
+    positive one counts, and of repeated documents the one of least text hash.  The sample's words are hashed on the
+    executors; only the sample reaches the driver, one row a label.  Labels without a document are no sample, and an
+    empty table of documents or labels gives an empty chain.
     """
     given = labels.select("doc_id", *(F.expr(f"int({rule})").alias(name) for name, rule in categories))
     given = given.na.drop().groupBy("doc_id").agg(*(F.max(name).alias(name) for name, _ in categories))
@@ -171,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_rows:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # at most most_rows rows of a few integers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = known.groupBy("doc_id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = known.mapInPandas(
         hashed, f"doc_id {kind}, hashes binary, dense array<double>, " + ", ".join(f"{n} int" for n in names)
     )
     got = rows.toPandas().sort_values(["doc_id", "hashes"]).reset_index(drop=True)
