@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -10,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.storage import store, table
+from quillspark.llm.storage import table
 
-ROLES = ("system", "user", "assistant")
+#: The last one stands for every other speaker (tools, narrators, speakers without a role).
+ROLES = ("system", "user", "assistant", "other")
 #: Hidden states: the first line of a turn of each role, then further lines.
 STATES = tuple((r, begin) for begin in (True, False) for r in range(len(ROLES)))
 #: Speaker markers by the role that they usually name.
@@ -20,18 +22,25 @@ MARKERS = {
     "system": ("system", "sys", "instructions", "context", "<|system|>", "### system"),
     "user": ("user", "human", "you", "q", "question", "customer", "prompt", "<|user|>", "### instruction", "[inst]"),
     "assistant": ("assistant", "ai", "bot", "a", "answer", "agent", "model", "<|assistant|>", "### response", "[/inst]"),
+    "other": ("tool", "function", "observation", "result", "narrator", "note", "speaker", "<|tool|>", "### tool"),
 }
 MARKER = re.compile(
     r"\s*(?:(?P<tag><\|\w+\|>|###\s*\w+:?|\[/?inst\])\s*|\**(?P<name>[A-Za-z][A-Za-z0-9 _]{0,19}?)\**\s*(?::|>)\**(?:\s+|$))", re.I
 )
 KNOWN = {m: k for k, role in enumerate(ROLES) for m in MARKERS[role]}
 NONE, OTHER = len(ROLES), len(ROLES) + 1
-#: Numbers of values of a line's features: marker, length, ending, opening, place.
-SIZES = (len(ROLES) + 2, 6, 4, 3, 3)
-#: Most conversations that the model is trained on, those of least hash.
-TRAINING = 2000
-#: Turns of a conversation that are parsed together; longer ones go in parts.
-PART = 64
+#: Upper bounds of the bins of a line's length and of a block's (the lines up to the next blank one).
+LINE_BINS = (0, 15, 30, 60, 90, 120, 160, 200, 260, 330)
+BLOCK_BINS = (0, 40, 80, 120, 160, 200, 250, 300, 350, 400, 500, 700, 1000, 1400)
+#: Numbers of values of a line's features: marker and place (first, behind a blank line, other) together, as a turn
+#: needs a marker or a blank line to open; length, ending, opening; length and lines of the block that it opens.
+PLACES = 3
+SIZES = ((len(ROLES) + 2) * PLACES, len(LINE_BINS) + 1, 4, 3, len(BLOCK_BINS) + 2, 7)
+#: Share of the conversations, by hash, that the model may be trained on, and most of them, those of least hash; the
+#: others are held out.
+SHARE, TRAINING = 0.2, 2000
+#: Weights of the even distribution in the features of a line, but for its marker, and in the steps between states.
+DOUBT, RARE = 0.02, 0.0003
 END = "<|end|>"
 
 
@@ -49,18 +58,21 @@ def marker(line: str) -> tuple[int, int]:
 def observe(lines: list[str]) -> np.ndarray:
     """The features of each line as small integers."""
     out = np.zeros((len(lines), len(SIZES)), int)
-    blank = False
-    for k, line in enumerate(lines):
-        value, size = marker(line)
-        rest = line[size:].strip()
+    found = [marker(line) for line in lines]
+    rests = [line[size:].strip() for line, (_, size) in zip(lines, found, strict=True)]
+    length = count = 0
+    for k in range(len(lines) - 1, -1, -1):
+        rest, blank = rests[k], not lines[k].strip()
+        length, count = (0, 0) if blank else (length + len(rest), count + 1)
+        opens = not blank and (k == 0 or not lines[k - 1].strip())
         out[k] = (
-            value,
-            min(5, len(rest) // 60 + (len(rest) > 0)),
+            found[k][0] * PLACES + (0 if k == 0 else 1 if opens else 2),
+            bisect.bisect_left(LINE_BINS, len(rest)),
             0 if not rest else 1 if rest[-1] == "?" else 2 if rest[-1] in ".!:" else 3,
             0 if not rest else 1 if rest[0].isupper() else 2,
-            0 if k == 0 else 1 if blank else 2,
+            1 + bisect.bisect_left(BLOCK_BINS, length) if opens else 0,
+            min(count, 6) if opens else 0,
         )
-        blank = not line.strip()
     return out
 
 
@@ -71,7 +83,9 @@ class RoleModel:
         n = len(STATES)
         self.start = np.ones(n)
         self.step = np.full((n, n), 0.05)
-        self.emit = [np.full((n, size), 0.5) for size in SIZES]
+        self.emit = [np.full((n, size), 0.05 if f else 0.0002) for f, size in enumerate(SIZES)]
+        for k, (role, begin) in enumerate(STATES):  # markers open turns of the role that they name
+            self.emit[0][k, [(role if begin else NONE) * PLACES + p for p in range(PLACES)]] += 2
 
     def fit(self, labelled: list[tuple[list[str], list[int]]]) -> RoleModel:
         """labelled: lines of a transcript and their states."""
@@ -93,8 +107,15 @@ class RoleModel:
                     if other != role:
                         self.step[j, k] = 0
         with np.errstate(divide="ignore"):
-            self.step = np.log(self.step / self.step.sum(axis=1, keepdims=True))
-        self.emit = [np.log(c / c.sum(axis=1, keepdims=True)) for c in self.emit]
+            allowed = self.step > 0
+            even = allowed / allowed.sum(axis=1, keepdims=True)
+            self.step = np.log((1 - RARE) * self.step / self.step.sum(axis=1, keepdims=True) + RARE * even)
+        # a state that is seldom seen looks like lines in general, but for its marker
+        general = [c.sum(axis=0) / c.sum() for c in self.emit]
+        self.emit = [c + 5 * g if f else c for f, (c, g) in enumerate(zip(self.emit, general, strict=True))]
+        shares = [c / c.sum(axis=1, keepdims=True) for c in self.emit]
+        # a feature that was never seen with a state is a hint, no proof; a marker in the wrong place is one
+        self.emit = [np.log((1 - DOUBT) * c + DOUBT / c.shape[1] if f else c) for f, c in enumerate(shares)]
         return self
 
     def decode(self, lines: list[str]) -> list[int]:
@@ -136,14 +157,14 @@ def parse_canonical(text: str) -> list[tuple[str, str]]:
     return re.findall(rf"<\|(\w+)\|>\n(.*?)\n{re.escape(END)}\n", text, re.S)
 
 
-#: Ways in which the query writes conversations as transcripts (system, user, assistant; between turns).
+#: Ways in which the query writes conversations as transcripts (marks of ROLES; between turns).
 STYLES = (
-    ("System: ", "User: ", "Assistant: ", "\n"),
-    ("System: ", "Human: ", "AI: ", "\n\n"),
-    ("Context: ", "Q: ", "A: ", "\n"),
-    ("<|system|> ", "<|user|> ", "<|assistant|> ", "\n"),
-    ("### System: ", "### Instruction: ", "### Response: ", "\n\n"),
-    ("", "", "", "\n\n"),
+    ("System: ", "User: ", "Assistant: ", "Tool: ", "\n"),
+    ("System: ", "Human: ", "AI: ", "Observation: ", "\n\n"),
+    ("Context: ", "Q: ", "A: ", "Note: ", "\n"),
+    ("<|system|> ", "<|user|> ", "<|assistant|> ", "<|tool|> ", "\n"),
+    ("### System: ", "### Instruction: ", "### Response: ", "### Tool: ", "\n\n"),
+    ("", "", "", "", "\n\n"),
 )
 
 
@@ -163,82 +184,101 @@ def transcribe(turns: list[tuple[str, str]], style: int) -> tuple[str, list[int]
     return "\n".join(lines), states
 
 
-def _part() -> Column:
-    return F.floor(F.coalesce("turn", F.lit(0)) / PART).cast("long")
+def conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, style, trained, turns): the ordered turns of each conversation, its transcript's style and whether the
+    model may be trained on it.
 
+    Turns go by number, null first, then role and text.  A role that is none of ROLES, or null, is "other"; a null
+    text is empty.  A row without a conv_id is a conversation of its own.  A conversation is one document: its
+    turns meet in one row.
+    """
+    role = F.coalesce(F.when(F.col("role").isin(*ROLES), F.col("role")), F.lit(ROLES[-1])).alias("role")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("alone")
+    rows = turns.select("conv_id", alone, "turn", role, F.coalesce("text", F.lit("")).alias("text"))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    mark = F.xxhash64("conv_id", "alone")
+    return grouped.select(
+        "conv_id",
+        F.pmod(mark, F.lit(len(STYLES))).cast("int").alias("style"),
+        trained(mark).alias("trained"),
+        F.expr("transform(turns, t -> struct(t.role, t.text))").alias("turns"),
+    )
 
-def sampled_turns(turns: DataFrame, most: int = TRAINING) -> DataFrame:
-    """The rows of turns that belong to `most` parts of conversations, those of least hash.
 
-    Only keys are sorted and sent around; the texts of other conversations are neither shuffled nor collected.
-    """
-    rows = turns.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", "text")
-    keys = rows.select(F.col("conv_id").alias("key"), _part().alias("key_part")).distinct()
-    keys = store(keys.orderBy(F.xxhash64("key", "key_part"), "key", "key_part").limit(most), "talks")
-    # at most `most` keys
-    return rows.join(F.broadcast(keys), F.col("conv_id").eqNullSafe(F.col("key")) & (_part() == F.col("key_part")), "left_semi")
+def trained(mark: Column) -> Column:
+    """Whether a conversation's hash puts it among those that the model may see."""
+    return F.pmod(F.xxhash64(mark, F.lit("training")), F.lit(1000)) < int(SHARE * 1000)
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, style, turns): the ordered turns of each conversation, PART turns at most by number.
+def sampled_turns(turns: DataFrame, most: int = TRAINING) -> DataFrame:
+    """The rows of turns of the `most` conversations, of those that the model may see, of least hash.
 
-    Rows with a null or unknown role are left out of the turns; a null text is empty; a null turn comes first.
+    Only ids are sorted and sent around; the texts of other conversations are neither shuffled nor collected.
     """
-    known = turns.where(F.col("role").isin(*ROLES)).select(
-        "conv_id", _part().alias("part"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")
-    )
-    grouped = known.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    style: Column = F.pmod(F.xxhash64("conv_id", "part"), F.lit(len(STYLES))).cast("int")
-    return grouped.select("conv_id", "part", style.alias("style"), F.expr("transform(turns, t -> struct(t.role, t.text))").alias("turns"))
+    mark = F.xxhash64("conv_id", F.lit(None).cast("long"))
+    seen = turns.where(F.col("conv_id").isNotNull() & trained(mark))
+    keys = seen.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
+    # at most `most` ids
+    return seen.select("conv_id", "turn", "role", "text").join(F.broadcast(keys), "conv_id", "left_semi")
 
 
 def _pairs(turns) -> list[tuple[str, str]]:
     return [(t["role"], t["text"]) for t in turns]
 
 
-def train_roles(talks: DataFrame, most: int = TRAINING) -> RoleModel:
-    """The model of the transcripts of at most `most` conversations."""
-    sample = talks.orderBy(F.xxhash64("conv_id", "part"), "conv_id", "part").limit(most).collect()
+def train_roles(turns: DataFrame, most: int = TRAINING) -> RoleModel:
+    """The model of the transcripts of at most `most` conversations of turns (see sampled_turns).
+
+    Each is seen in all styles; an empty sample leaves the model with what its markers say.
+    """
+    sample = conversations(sampled_turns(turns, most)).orderBy("conv_id").collect()
     labelled = []
     for row in sample:
-        text, states = transcribe(_pairs(row["turns"]), row["style"])
-        labelled.append((text.split("\n") if states else [], states))
+        for style in range(len(STYLES)):
+            text, states = transcribe(_pairs(row["turns"]), style)
+            labelled.append((text.split("\n") if states else [], states))
     return RoleModel().fit(labelled)
 
 
-def format_chats(transcripts: DataFrame, model: RoleModel) -> DataFrame:
-    """transcripts (conv_id, part, transcript) -> plus n_turns, roles and the canonical rendering.
+def format_chats(transcripts: DataFrame, model: RoleModel, column: str = "transcript") -> DataFrame:
+    """transcripts plus n_turns, roles and rendered, the canonical rendering; the column that was parsed goes.
 
-    Row-local.  A null or empty transcript has no turns and renders as empty text.
+    Row-local.  Defined results: a null or empty transcript has no turns and renders as empty text; a long transcript
+    is one pass over its lines; repeated rows give repeated results; an empty table gives an empty one; columns pass
+    unchanged whatever their names, but for those that have our names, which are replaced.  Of equally likely readings
+    the one whose states come first counts.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parsed = [model.parse(t or "") for t in frame.transcript]
-            yield frame.drop(columns="transcript").assign(
-                n_turns=[len(t) for t in parsed],
-                roles=[",".join(r for r, _ in t) for t in parsed],
-                rendered=[render(t) for t in parsed],
-            )
+    @F.pandas_udf("n_turns long, roles string, rendered string")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        found = [model.parse(t or "") for t in texts]
+        rows = [(len(t), ",".join(r for r, _ in t), render(t)) for t in found]
+        return pd.DataFrame(rows, columns=["n_turns", "roles", "rendered"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in transcripts.schema if f.name != "transcript")
-    return transcripts.mapInPandas(run, f"{kinds}, n_turns long, roles string, rendered string")
+    quoted = column.replace("`", "``")
+    names = ("n_turns", "roles", "rendered")
+    kept = [c for c in transcripts.columns if c not in (column, *names)]
+    own = transcripts.select(*(F.col(f"`{c.replace('`', '``')}`") for c in kept), parsed(F.col(f"`{quoted}`")).alias("__parsed"))
+    return own.withColumns({n: F.col("__parsed")[n] for n in names}).drop("__parsed")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, written as transcripts, parsed and rendered; right tells whether the turns came back."""
+    """All conversations, written as transcripts, parsed and rendered; right tells whether the turns came back, trained
+    whether the model may have seen them."""
     turns = table(spark, sf_dir, "conversations")
-    talks = conversations(turns)
-    model = train_roles(conversations(sampled_turns(turns)))
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            told = [_pairs(t) for t in frame.turns]
-            yield frame[["conv_id", "part"]].assign(
-                transcript=[transcribe(t, s)[0] for t, s in zip(told, frame["style"], strict=True)],
-                truth=[render([(r, x.strip("\n")) for r, x in t]) for t in told],
+    model = train_roles(turns)
+
+    @F.pandas_udf("transcript string, truth string")
+    def written(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for talks, styles in batches:
+            told = [_pairs(t) for t in talks]
+            yield pd.DataFrame(
+                {
+                    "transcript": [transcribe(t, s)[0] for t, s in zip(told, styles, strict=True)],
+                    "truth": [render([(r, x.strip("\n")) for r, x in t]) for t in told],
+                }
             )
 
-    kind = talks.schema["conv_id"].dataType.simpleString()
-    written = talks.mapInPandas(write, f"conv_id {kind}, part long, transcript string, truth string")
-    return format_chats(written, model).withColumn("right", F.col("rendered") == F.col("truth")).drop("truth")
+    talks = conversations(turns).select("conv_id", "style", "trained", written("turns", "style").alias("w"))
+    found = format_chats(talks.select("conv_id", "style", "trained", "w.transcript", "w.truth"), model)
+    return found.withColumn("right", F.col("rendered") == F.col("truth")).drop("truth")

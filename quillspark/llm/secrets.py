@@ -9,7 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +17,18 @@ from quillspark.llm.forest import Forest
 from quillspark.llm.storage import table
 
 #: A run of key-like characters with a digit or behind an assignment.
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-.]{12,}")
+RUN = re.compile(r"[A-Za-z0-9_+/=\-.]{12,}")
 ASSIGNED = re.compile(r"[:=]\s*[\"'`]?$")
-#: Characters of the text before a candidate that are looked at.
+#: Any value, of any length and characters, that is assigned to a secret's name, follows a scheme or stands in a link.
+VALUE = re.compile(
+    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|credentials?)"
+    r"[\w-]{0,40}[\"'`\])]{0,3}\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}"
+    r"(?:\"(?P<double>[^\"\n]{1,400})\"|'(?P<single>[^'\n]{1,400})'|`(?P<back>[^`\n]{1,400})`|(?P<bare>[^\s\"'`,;]{1,400}))"
+    r"|\b(?:bearer|basic)\s{1,3}(?P<scheme>[A-Za-z0-9._~+/=-]+)"
+    r"|://[^/\s:@]{0,100}:(?P<link>[^/\s@]{1,200})@",
+    re.I,
+)
+#: Characters of the text before and behind a candidate that are looked at.
 NEAR = 60
 #: Labelled findings that the forest is trained on.
 FINDINGS = 4000
@@ -27,7 +36,7 @@ FINDINGS = 4000
 SECRET_WORDS = frozenset("token key apikey secret password passwd pwd auth authorization bearer credential credentials access private client".split())
 OTHER_WORDS = frozenset(
     "commit sha md5 sha1 sha256 checksum digest hash uuid guid id revision etag build version image example sample placeholder test "
-    "url link path file isbn order invoice".split()
+    "url link path file isbn order invoice none null true false required optional enter reset forgot minimum characters str string".split()
 )
 DICTIONARY = frozenset(
     "about above after again all also and any are back because been before being between both build but call can change class code come "
@@ -40,6 +49,10 @@ DICTIONARY = frozenset(
 FORMATS = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|sk_test_|pk_live_|xox[abp]-|AIza|glpat-|npm_|eyJ)")
 
 
+#: Signs of a value that stands for another one.
+PLACEHOLDER = re.compile(r"^[\W_]*$|^(.)\1*$|x{4,}|\*{3,}|\.{3}|^[<{\[$%]|[>}\]%]$|[(]|change_?me|your|example|placeholder|redacted|dummy|insert|todo|environ|getenv")
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -61,13 +74,14 @@ def coverage(text: str) -> float:
     return covered / letters if letters else 0.0
 
 
-def features(candidate: str, before: str, path: str) -> list[float]:
-    """Numbers that describe a candidate, the words before it and the path or source it comes from."""
+def features(candidate: str, before: str, path: str, behind: str = "") -> list[float]:
+    """Numbers that describe a candidate, the words before and behind it and the path or source it comes from."""
     n = len(candidate)
     kinds = [_kind(c) for c in candidate]
     changes = Counter(zip(kinds, kinds[1:], strict=False))
     near = re.findall(r"[a-z0-9]+", before.lower())[-6:]
     parts = {p for w in near for p in (w, *w.split("_"))}
+    after = set(re.findall(r"[a-z0-9]+", behind.lower())[:4])
     low = candidate.lower()
     vowels = sum(c in "aeiou" for c in low)
     letters = sum(c.isalpha() for c in candidate)
@@ -94,26 +108,55 @@ def features(candidate: str, before: str, path: str) -> list[float]:
         len(set(low)) / n,
         float(bool(re.search(r"test|example|doc|sample|readme", path.lower()))),
         float(bool(re.search(r"\.env|config|settings|secret|credential", path.lower()))),
+        float(len(after & SECRET_WORDS)),
+        float(len(after & OTHER_WORDS)),
+        float(bool(re.search(r"[\"'`]$", before))),
+        float(len({k for k in kinds})),
+        float(bool(PLACEHOLDER.search(low))),
+        float(len(set(re.findall(r"[a-z]+", low)) & (OTHER_WORDS | SECRET_WORDS))),
+        letters / n,
     ]
 
 
-def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(start, candidate): key-like runs that have a digit, or a value assigned to something."""
-    for m in CANDIDATE.finditer(text):
+def candidates(text: str) -> list[tuple[int, str]]:
+    """(start, candidate) in order: values of secrets' names, schemes and links, of any length, and key-like runs that
+    have a digit or are assigned to something."""
+    out = []
+    for m in VALUE.finditer(text):
+        value = m[m.lastgroup]
+        bare = value.rstrip(").]}>") if m.lastgroup == "bare" and not PLACEHOLDER.search(value.lower()) else value
+        if bare:
+            out.append((m.start(m.lastgroup), bare))
+    held = [(a, a + len(x)) for a, x in out]
+    k = 0
+    for m in RUN.finditer(text):
         found = m[0]
         lead = len(found) - len(found.lstrip("=.-/+"))
         found = found.strip("=.-/+") if not found.endswith("==") else found[lead:].rstrip(".-/+")
-        if len(found) >= 12:
-            start = m.start() + lead
-            if any(c.isdigit() for c in found) or ASSIGNED.search(text[max(0, start - 8) : start]):
-                yield start, found
+        start = m.start() + lead
+        while k < len(held) and held[k][1] <= start:
+            k += 1
+        if len(found) < 12 or (k < len(held) and held[k][0] < start + len(found)):
+            continue
+        if any(c.isdigit() for c in found) or ASSIGNED.search(text[max(0, start - 8) : start]):
+            out.append((start, found))
+    return sorted(out)
 
 
-def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """(candidate, text before, path, 1 if a secret) made by rule, half of each label.
+def described(text: str, path: str) -> list[tuple[int, str, list[float]]]:
+    """(start, candidate, features) of a text's candidates."""
+    out = []
+    for start, found in candidates(text):
+        end = start + len(found)
+        out.append((start, found, features(found, text[max(0, start - NEAR) : start], path, text[end : end + NEAR])))
+    return out
+
 
-    Secrets are random keys of common shapes in contexts that name them; the others are digests, UUIDs,
-    version strings, paths, links, addresses, long numbers, placeholders and words.
+def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, tuple[int, int] | None]]:
+    """(text, path, (start, length) of its secret or None) made by rule, half with a secret.
+
+    Secrets are random keys of common shapes and short passwords in contexts that name them; the others are digests,
+    UUIDs, version strings, paths, links, addresses, long numbers, placeholders, references and words.
     """
     rng = random.Random(seed)
     low, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
@@ -121,6 +164,12 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
     some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     word = lambda: rng.choice(sorted(DICTIONARY)) if rng.random() < 0.5 else some(low, rng.randint(2, 9))
     words = lambda n: " ".join(word() for _ in range(n))
+
+    def password() -> str:
+        """A word or two in odd letters, digits and signs, as people choose them."""
+        base = "".join(rng.choice([c, c, c.upper(), {"a": "4", "e": "3", "o": "0", "i": "1", "s": "5"}.get(c, c)]) for c in word() + rng.choice(["", word()]))
+        return base + some("0123456789", rng.randint(1, 4)) + rng.choice(["", "!", "#", "&3", "$$", "!@#"])
+
     out = []
     for k in range(count):
         quote = rng.choice(['"', "'", "", '"'])
@@ -134,15 +183,23 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
                     lambda: some(mixed + "+/", 43) + "=",
                     lambda: "eyJ" + some(mixed, 33) + "." + some(mixed, 40) + "." + some(mixed + "-_", 43),
                     lambda: some(mixed + "-_", rng.randint(14, 24)),
+                    lambda: some(mixed + "!@#$%^&*", rng.randint(8, 16)),
+                    password,
+                    password,
                 ]
             )()
             name = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth", "client_secret", "apikey", "private_key"])
             before = f"{words(4)} {name}{rng.choice([' = ', '=', ': ', ' : '])}{quote}"
             if FORMATS.match(secret) and rng.random() < 0.5:
                 before = words(5) + " " + quote
-            if rng.random() < 0.1:
-                before = f"{words(3)} authorization: bearer "
-            out.append((secret, before, rng.choice(["", ".env", "config.py", "src7", "notes.txt"]), 1))
+            behind = quote + rng.choice(["", " ", ",", "\n"]) + rng.choice(["", words(3)])
+            if rng.random() < 0.1 and len(secret) > 16:
+                before, behind = f"{words(3)} authorization: bearer ", " " + words(2)
+            elif rng.random() < 0.1 and not re.search(r"[/@\s]", secret):
+                before, behind = f"{words(3)} {rng.choice(['postgres', 'https', 'amqp'])}://{word()}:", f"@{word()}.{word()}/{word()}"
+            elif quote == "" and re.search(r"[,;]", secret):
+                before, behind = before + '"', '"' + behind
+            out.append((before + secret + behind, rng.choice(["", ".env", "config.py", "src7", "notes.txt"]), (len(before), len(secret))))
         else:
             number = some("0123456789", rng.randint(12, 19))
             uuid = "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))
@@ -160,44 +217,76 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
                     lambda: ("".join(word() for _ in range(4))[:40] + str(rng.randint(0, 9)), words(5) + " "),
                     lambda: (f"mail{rng.randint(0, 9)}.{word()}.example.com", words(4) + " " + word() + "@"),
                     lambda: (f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", words(4) + " date "),
+                    lambda: (rng.choice(STAND_INS)(word, rng), f"{words(2)} {rng.choice(['password', 'token', 'secret', 'api_key', 'auth'])}{rng.choice([': ', ' = ', '=', ' := '])}{quote}"),
+                    lambda: (word(), f"{words(2)} {rng.choice(['password', 'token', 'secret', 'auth', 'credentials'])}: {quote}"),
                 ]
             )()
-            out.append((candidate, before, rng.choice(["", "README.md", "tests/data", "src3", "index.html"]), 0))
+            behind = (quote if quote and before.endswith(quote) else "") + rng.choice([" ", "\n", ", "]) + words(3)
+            out.append((before + candidate + behind, rng.choice(["", "README.md", "tests/data", "src3", "index.html"]), None))
     return out
 
 
-def train_forest(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    """The forest, fitted on labelled findings (candidate, text before, path, label)."""
-    findings = labelled_findings() if findings is None else findings
-    x = np.array([features(c, b, p) for c, b, p, _ in findings])
-    return Forest().fit(x, np.array([y for *_, y in findings], float))
+#: What stands where a secret would, made of a word.
+STAND_INS = (
+    lambda word, rng: "*" * rng.randint(3, 12),
+    lambda word, rng: "x" * rng.randint(3, 12),
+    lambda word, rng: f"<{word()}>",
+    lambda word, rng: f"${{{word().upper()}_{word().upper()}}}",
+    lambda word, rng: f"${word().upper()}",
+    lambda word, rng: f"{{{{ {word()} }}}}",
+    lambda word, rng: f"os.environ.get({word().upper()})",
+    lambda word, rng: f"{word()}.{word()}()",
+    lambda word, rng: rng.choice(["None", "null", "true", "false", "str", "string", "required", "optional", "changeme", "example", "redacted", "TODO", "your-password"]),
+    lambda word, rng: f"YOUR_{word().upper()}_HERE",
+    lambda word, rng: str(rng.randint(0, 99)),
+    lambda word, rng: f"{word()}_{word()}",
+)
+
+
+def train_forest(findings: list[tuple[str, str, tuple[int, int] | None]] | None = None) -> Forest:
+    """The forest, fitted on labelled findings (text, path, span of its secret or None), made by rule if none are given.
+
+    Each candidate of a text is one example: a secret if it lies within the span.
+    """
+    x, y = [], []
+    for text, path, span in labelled_findings() if findings is None else findings:
+        for start, found, described_by in described(text, path):
+            x.append(described_by)
+            y.append(float(span is not None and start < span[0] + span[1] and span[0] < start + len(found)))
+    return Forest().fit(np.array(x), np.array(y))
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, length, candidate, probability, is_secret), a row for each candidate of docs.
 
     docs has doc_id, text and source (the path).  start and length count code points.  Row-local.
-    Defined results: null and empty texts have no candidates; a null source is an empty path; repeated rows
-    give repeated results; an empty table gives an empty one; other columns are not read.
+    Defined results: null and empty texts have no candidates; a null source is an empty path; ids of any type, null
+    too, pass unchanged; repeated rows give repeated results; a very long text is one pass over it, with a row for
+    each of its candidates; an empty table gives an empty one; other columns, of any name, are not read.
     """
     forest = forest or train_forest()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, x = [], []
-            for doc_id, text, source in zip(frame.doc_id, frame.text, frame.source, strict=True):
-                for start, found in candidates(text or ""):
-                    rows.append((doc_id, start, len(found), found))
-                    x.append(features(found, text[max(0, start - NEAR) : start], source or ""))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "candidate"])
-            out["probability"] = forest.probability(np.array(x)) if x else np.zeros(0)
-            yield out
-
-    found = docs.select("doc_id", "text", "source").mapInPandas(
-        run, f"doc_id {kind}, start long, length long, candidate string, probability double"
-    )
-    return found.withColumn("is_secret", F.col("probability") >= threshold)
+    rows = docs.select("doc_id", "text", "source")
+    schema = rows.select("doc_id").schema.add("start", "long").add("length", "long").add("candidate", "string").add("probability", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for k, (text, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for one in described(text or "", source or ""):
+                    owner.append(k)
+                    found.append(one)
+            p = forest.probability(np.array([x for *_, x in found])) if found else np.zeros(0)
+            starts, words = [a for a, _, _ in found], [x for _, x, _ in found]
+            columns = [
+                batch.column(0).take(pa.array(owner, pa.int64())),
+                pa.array(starts, pa.int64()),
+                pa.array([len(x) for x in words], pa.int64()),
+                pa.array(words, pa.string()),
+                pa.array(p),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumn("is_secret", F.col("probability") >= threshold)
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "<secret>") -> str:
