@@ -96,8 +96,8 @@ def _cell_key(points: np.ndarray, salt: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def unit_rows(vectors: list) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
+    x = np.array(vectors, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -147,56 +147,84 @@ def _cells(reps: DataFrame, lattices: int, tables: int, scale: float, probes: in
     return reps.select("rep", "embedding").mapInArrow(run, "cell long, rep long, own boolean")
 
 
-def _met_before(leaders: list[np.ndarray], leader: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether pairs (i, j) of a block's vectors also meet in a block of a smaller leader."""
-    out = np.zeros(len(i), bool)
-    used = np.unique(np.concatenate([i, j]))
-    names = [leaders[k][leaders[k] < leader] for k in used]
-    known, column, counts = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(used)), [len(x) for x in names])
-    shared = np.flatnonzero(counts > 1)
-    at = np.searchsorted(used, i), np.searchsorted(used, j)
-    for lo in range(0, len(shared), COLUMNS):
-        place = np.full(len(known), -1)
-        place[shared[lo : lo + COLUMNS]] = np.arange(len(shared[lo : lo + COLUMNS]))
-        there = place[column] >= 0
-        member = np.zeros((len(used), len(shared[lo : lo + COLUMNS])), np.float32)
-        member[row[there], place[column[there]]] = 1
-        out |= (member @ member.T)[at] > 0
-    return out
+class Rows:
+    """Vectors in blocks as arrays: unit rows, ids, copies, tiles, and each one's leaders (flat, with edges)."""
+
+    def __init__(self, frame: pd.DataFrame, kind: str):
+        raw = np.frombuffer(b"".join(frame.raw), kind).reshape(len(frame), -1)
+        self.units = unit_rows(raw)
+        self.ids, self.copies, self.tile = (frame[c].to_numpy() for c in ("rep", "copies", "tile"))
+        self.edges = np.cumsum([0, *map(len, frame.leaders)])
+        self.leaders = np.concatenate([*frame.leaders])
+
+    def met_before(self, leader: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs (i, j) of a block's rows also meet in a block of a smaller leader."""
+        out = np.zeros(len(i), bool)
+        used = np.flatnonzero(np.bincount(np.concatenate([i, j])))
+        parts = [self.leaders[self.edges[k] : self.edges[k + 1]] for k in used]
+        names, row = np.concatenate(parts), np.repeat(np.arange(len(used)), [len(x) for x in parts])
+        names, row = names[names < leader], row[names < leader]
+        known, column, counts = np.unique(names, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(counts > 1)
+        if not len(shared):
+            return out
+        spot = np.zeros(used[-1] + 1, np.int64)
+        spot[used] = np.arange(len(used))
+        for lo in range(0, len(shared), COLUMNS):
+            some = shared[lo : lo + COLUMNS]
+            place = np.full(len(known), -1)
+            place[some] = np.arange(len(some))
+            there = place[column] >= 0
+            member = np.zeros((len(used), len(some)), np.float32)
+            member[row[there], place[column[there]]] = 1
+            out |= (member @ member.T)[spot[i], spot[j]] > 0
+        return out
+
+    def links(self, s: int, e: int, leader: int, x: int, y: int, threshold: float) -> tuple[np.ndarray, ...] | None:
+        """(a, b, linked) of the block in rows s to e."""
+        one = x == y
+        here = np.arange(s, e)
+        left, right = (here, here) if one else (here[self.tile[s:e] == x], here[self.tile[s:e] == y])
+        found_i, found_j = [], []
+        for at in range(0, len(left), 512):
+            i, j = np.nonzero(self.units[left[at : at + 512]] @ self.units[right].T >= threshold)
+            i, j = left[at + i], right[j]
+            if one:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                first = ~self.met_before(leader, i, j)
+                found_i.append(i[first] - s)
+                found_j.append(j[first] - s)
+        if not found_i:
+            return None
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        copies = self.copies[s:e]
+        linked = np.bincount(i, copies[j], e - s) + np.bincount(j, copies[i], e - s)
+        root = local_roots(i, j, e - s)
+        some = np.flatnonzero(linked)
+        return self.ids[s + some], self.ids[s + root[some]], linked[some].astype(np.int64)
 
 
 def _compare(threshold: float, kind: str):
-    """Function for mapInArrow over rows sorted by block: for each linked vector, what the block adds.
+    """Function for mapInPandas over rows sorted by block: for each linked vector, what the block adds.
 
     (a, b, linked): vectors linked with a that it meets in no block of a smaller leader, repeats counted, and the
     vector that stands for a's links in the block, so rows never outnumber the block's.
     """
 
-    def links(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        lengths = block.raw.map(len)
-        if lengths.nunique() > 1:  # equal keys of cells of different lengths
-            for _, part in block.groupby(lengths):
-                yield from links(part)
+    def links(blocks: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        lengths = blocks.raw.map(len).to_numpy()
+        if (lengths != lengths[0]).any():  # vectors of different lengths never link
+            for n in np.unique(lengths):
+                part = blocks[lengths == n].reset_index(drop=True)
+                yield from links(part, *_blocks(part))
             return
-        units = unit_rows([np.frombuffer(x, kind) for x in block.raw])
-        ids, copies, tile = block.rep.to_numpy(), block.copies.to_numpy(), block.tile.to_numpy()
-        leaders, leader = [np.asarray(x) for x in block.leaders], int(block.leader.iloc[0])
-        one = block.x.iloc[0] == block.y.iloc[0]
-        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(tile == block.x.iloc[0]), np.flatnonzero(tile == block.y.iloc[0]))
-        linked, root = np.zeros(len(ids)), np.arange(len(ids))
-        for s in range(0, len(left), 512):
-            i, j = np.nonzero(units[left[s : s + 512]] @ units[right].T >= threshold)
-            i, j = left[s + i], right[j]
-            if one:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                first = ~_met_before(leaders, leader, i, j)
-                i, j = i[first], j[first]
-            linked += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-            root = local_roots(root[i], root[j], len(ids))[root]
-        some = np.flatnonzero(linked)
-        yield pd.DataFrame({"a": ids[some], "b": ids[root[some]], "linked": linked[some].astype(np.int64)})
+        rows = Rows(blocks, kind)
+        key = blocks[BLOCK].to_numpy()
+        made = [rows.links(s, e, *key[s].tolist(), threshold) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1]
+        made = [m for m in made if m is not None]
+        if made:
+            yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("a", "b", "linked"), zip(*made, strict=True), strict=True)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -205,18 +233,22 @@ def _compare(threshold: float, kind: str):
             frame = rest if last else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if frame is None or not len(frame):
                 continue
-            key = frame[BLOCK].to_numpy()
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            ends = np.append(starts[1:], len(frame))
+            starts, ends = _blocks(frame)
             done = len(starts) if last else len(starts) - 1
-            for s, e in zip(starts[:done], ends[:done], strict=True):
-                if e - s > 1:
-                    yield from links(frame.iloc[s:e])
-            rest = None if last else frame.iloc[starts[-1] :]
+            if done:
+                yield from links(frame.iloc[: ends[done - 1]], starts[:done], ends[:done])
+            rest = None if last else frame.iloc[starts[-1] :].reset_index(drop=True)
 
     return run
 
 
+def _blocks(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Where each block of rows in block order starts and ends."""
+    key = frame[BLOCK].to_numpy()
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+    return starts, np.append(starts[1:], len(frame))
+
+
 def similar_vectors(
     vectors: DataFrame, threshold: float = ALIKE, scale: float | None = None, probes: int = PROBES, shape: tuple[int, int] | None = None
 ) -> DataFrame:
