@@ -27,10 +27,10 @@ PIECE = 256
 #: Pieces that are packed together.
 BATCH = 2048
 END_ID = 1
-#: Bytes of text that are tokenized at a time.
-SLICE = 16_000_000
+#: Bytes of text whose distinct words are looked up at a time, and words whose ids are spread out at a time.
+SLICE, SPREAD = 6_000_000, 250_000
 #: Pre-tokens whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def difference(sizes: np.ndarray, ways: int) -> list[list[int]]:
@@ -141,8 +141,11 @@ class WordIds:
             return self.piece(text[:-1]) + self.piece(text[-1])
         return b"".join([self.piece(x) for x in PRETOKEN.findall(text)])
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, edges): the ids of text k are ids[edges[k]:edges[k + 1]]; null counts as empty."""
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first, ids, edges) of runs of about SPREAD words: the ids of text first + k are ids[edges[k]:edges[k + 1]].
+
+        Each distinct word of the texts is looked up once; ids are spread out run by run.  Null counts as empty.
+        """
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -151,11 +154,17 @@ class WordIds:
         at = coded.indices.to_numpy()
         lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts = np.cumsum(lengths) - lengths
-        each = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
-        offsets = lists.offsets.to_numpy()
-        return ids, ends[offsets - offsets[0]]
+        known = np.frombuffer(b"".join(own), "<u4")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SPREAD, "right")) - 1)
+            here = at[offsets[first] : offsets[last]]
+            each = lengths[here]
+            ends = np.concatenate([[0], np.cumsum(each)])
+            ids = known[np.repeat(starts[here] - ends[:-1], each) + np.arange(ends[-1])]
+            yield first, ids, ends[offsets[first : last + 1] - offsets[first]]
+            first = last
 
 
 _encoders: dict[str, WordIds] = {}
@@ -234,16 +243,16 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             id_arrow = batch.column(0).type
             for part in slices(batch):
                 names = part.column(0).to_pylist()
-                ids, edges = ids_of(part.column(1))
-                for k, doc_id in enumerate(names):
-                    raw = ids[edges[k] : edges[k + 1]].tobytes() + end
-                    tokens = len(raw) // 4
-                    view = memoryview(raw)
-                    for start, length in cuts(tokens):
-                        crc = zlib.crc32(view[4 * start : 4 * (start + length)])
-                        pending.append((doc_id, start, length, crc, tokens))
-                    if len(pending) >= BATCH:
-                        yield flush()
+                for first, ids, edges in ids_of(part.column(1)):
+                    for k, doc_id in enumerate(names[first : first + len(edges) - 1]):
+                        raw = ids[edges[k] : edges[k + 1]].tobytes() + end
+                        tokens = len(raw) // 4
+                        view = memoryview(raw)
+                        for start, length in cuts(tokens):
+                            crc = zlib.crc32(view[4 * start : 4 * (start + length)])
+                            pending.append((doc_id, start, length, crc, tokens))
+                        if len(pending) >= BATCH:
+                            yield flush()
         if pending:
             yield flush()
 

@@ -23,7 +23,7 @@ TRAINING_ROWS = 6000
 SELECTED = 1024
 FOLDS = 5
 PREFIXES = (3, 4, 5, 6)
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 
