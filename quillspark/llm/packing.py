@@ -23,7 +23,7 @@ from quillspark.llm.storage import table
 
 WINDOW = 2048
 #: What is left of a document behind its full windows is cut into pieces of at most this many tokens.
-PIECE = 256
+PIECE = 512
 #: Pieces that are packed together.
 BATCH = 2048
 END_ID = 1
