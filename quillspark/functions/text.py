@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,11 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: The characters at which Python's str.split() splits, the zero-width marks, Bengali digits, and the
-#: repairs of a vowel letter that was typed as its parts.
+#: repairs of Bengali letters that were typed as their parts: vowel letters (sequences that the Unicode Standard asks
+#: not to use), khanda ta, letters with a nukta (which NFC takes apart), and vowel and other signs typed twice.
 PY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 ZERO_WIDTH = r"[​‌‍﻿]"
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
-REPAIRS = {"অা": "আ"}
+REPAIRS = {
+    "\u0985\u09be": "\u0986",
+    "\u098b\u09c3": "\u09e0",
+    "\u098c\u09e2": "\u09e1",
+    "\u09a4\u09cd\u200d": "\u09ce",
+    "\u09a1\u09bc": "\u09dc",
+    "\u09a2\u09bc": "\u09dd",
+    "\u09af\u09bc": "\u09df",
+    "\u09ac\u09bc": "\u09b0",
+}
+TWICE = re.compile("([\u0981-\u0983\u09bc\u09be-\u09c4\u09c7\u09c8\u09cb-\u09cd\u09d7])\\1+")
 NORMALIZER_VERSION = "1.1.0+subset"
 CODE_SWITCH_VERSION = "1.0.0+subset"
 
@@ -23,7 +35,7 @@ def repair(text: str | None) -> str | None:
     """NFC, then the Bengali repairs; what neither built-in function nor regular expression offers."""
     if text is None:
         return None
-    text = unicodedata.normalize("NFC", text)
+    text = unicodedata.normalize("NFC", TWICE.sub(r"\1", unicodedata.normalize("NFC", text)))
     for wrong, right in REPAIRS.items():
         text = text.replace(wrong, right)
     return text
@@ -34,6 +46,11 @@ def nfc_repaired(texts: pd.Series) -> pd.Series:
     return texts.map(repair, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def casefolded(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
@@ -67,7 +84,7 @@ def normalize_for(domain: Column, text: Column) -> Column:
 
 def script_counts(text: Column) -> dict[str, Column]:
     """Numbers of Bengali letters and marks, ASCII letters, digits and other non-space characters (after NFC)."""
-    given = F.regexp_replace(nfc_repaired(text), PY_SPACE, "")
+    given = F.regexp_replace(nfc(text), PY_SPACE, "")
 
     def count(keep: str) -> Column:
         return F.length(F.regexp_replace(given, keep, "")).cast("long")

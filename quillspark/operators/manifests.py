@@ -231,3 +231,46 @@ def numbered_rows(df: DataFrame, order: list) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__start"))
     return inside.join(starts, "__part").withColumn("place", F.col("__start") + F.col("__row") - 1).drop("__part", "__row", "__start")
+
+
+ROLES = {"train": ("train",), "eval": ("dev", "test")}
+
+
+def role_problems(segments: DataFrame, registry: DataFrame, role: str) -> DataFrame:
+    """(manifest, problem): why manifests must not be used for a role (train, eval); none if all may.
+
+    segments (manifest, manifest_pos, source, split, ...): a name must belong to one manifest, the split to the role,
+    and the license must allow it.
+    """
+    if role not in ROLES:
+        raise ValueError(f"a role is one of {sorted(ROLES)}")
+    heads = segments.select("manifest", "manifest_pos", "source", "split").distinct()
+    twice = heads.groupBy("manifest").count().where("count > 1").select("manifest", F.lit("several manifests of one name").alias("problem"))
+    split = heads.where(~F.col("split").isin(*ROLES[role])).select("manifest", F.concat(F.lit(f"not for {role}: "), "split").alias("problem"))
+    license_ = license_state(heads, registry, training=role == "train").where("problem is not null").select("manifest", "problem")
+    return twice.unionByName(split).unionByName(license_).distinct()
+
+
+def training_preflight(train: DataFrame, evaluation: DataFrame, registry: DataFrame, **selection) -> tuple[DataFrame, DataFrame]:
+    """The examples of a training run and of its evaluation, once every gate is passed (ValueError otherwise).
+
+    Manifests must fit their role and license; in both sides together no item and no audio window may repeat, also
+    not under another path of the same digest.
+    """
+    for df, role in ((train, "train"), (evaluation, "eval")):
+        require_empty(role_problems(df, registry, role).select(F.concat_ws(": ", "manifest", "problem").alias("p")), f"unusable manifests for {role}", "p")
+    begin = F.coalesce("start_s", F.lit(0.0))
+    both = train.select("source", "id", F.coalesce("audio_sha256", "audio").alias("file"), begin.alias("begin"), "duration_s")
+    both = both.unionByName(evaluation.select("source", "id", F.coalesce("audio_sha256", "audio").alias("file"), begin.alias("begin"), "duration_s"))
+    require_empty(duplicates(both, "source", "id"), "repeated ids")
+    require_empty(duplicates(both, "file", "begin", "duration_s"), "repeated windows", "file")
+    return select_examples(train, **selection), select_examples(evaluation, **{k: v for k, v in selection.items() if k not in ("fraction", "seed")})
+
+
+def experiment_table(runs: DataFrame, base: str) -> DataFrame:
+    """runs (run, hours, steps, wer, cer) plus wer_delta and cer_delta against the run named base, in order of wer."""
+    own = runs.where(F.col("run") == base).select(F.col("wer").alias("__wer"), F.col("cer").alias("__cer"))
+    require_empty(runs.groupBy("run").count().where("count > 1"), "repeated runs", "run")
+    rows = runs.crossJoin(F.broadcast(own))  # one row
+    deltas = {f"{m}_delta": F.col(m) - F.col(f"__{m}") for m in ("wer", "cer")}
+    return rows.withColumns(deltas).drop("__wer", "__cer").orderBy(F.col("wer").asc_nulls_last(), "run")

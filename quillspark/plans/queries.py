@@ -9,7 +9,7 @@ from quillspark.functions import text as T
 from quillspark.functions.distance import long_word_distance, words
 from quillspark.operators import bootstrap as B
 from quillspark.operators import intervals, leakage, manifests, scoring, segments
-from quillspark.plans import report
+from quillspark.plans import evaluation, report
 
 #: Stands for a word that no text holds.
 GONE = "\x01\x01\x01"
@@ -225,6 +225,17 @@ def report_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.matrix(systems, slices, _licenses(spark), there, rated).select("system", "slice", "mode", "pending", "word_errors", "words", "wer")
 
 
+def evaluation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as segments, roles as slices of different domains, scored with intervals over five recordings each."""
+    domain = F.when(F.col("role") == "user", "code-switch").when(F.col("role") == "assistant", "long-form").otherwise("read")
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.lit("base").alias("system"), F.col("role").alias("slice"), domain.alias("domain"), (F.col("conv_id") % 5).alias("recording_id"), F.coalesce("text", F.lit("")).alias("reference")
+    )
+    pairs = turns.withColumn("hypothesis", corrupted(F.col("reference")))
+    cells = evaluation.score_cells(pairs, long_texts=True)
+    return cells.select("system", "slice", "segments", "recordings", "wer", "cer", "norm_wer", "norm_cer", "wer_lower", "wer_upper", "cer_lower", "cer_upper")
+
+
 def duplicate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order keys that repeat among the line items."""
     return manifests.duplicates(_table(spark, sf_dir, "lineitem"), "l_orderkey")
@@ -241,7 +252,7 @@ QUERIES = {
     for f in (
         score_benchmark, score_by_source, bootstrap_by_source, normalize_documents, code_switch_documents, script_profile, leakage_overlaps,
         leakage_verdict, union_regions, plan_regions, confidence_filter, filter_summary, merge_windows, collapse_conversations, select_examples,
-        timestamp_sample, total_hours, segment_violations, license_gate, report_matrix, duplicate_orders, order_key_differences,
+        timestamp_sample, total_hours, segment_violations, license_gate, report_matrix, evaluation_cells, duplicate_orders, order_key_differences,
     )
 }
 
@@ -289,6 +300,7 @@ r AS (SELECT user_id, region, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY user_
 """
 
 _DRAWS = ",".join(f"({r},{b})" for r, row in enumerate(B.draws(20, 1000, 0)) for b in row)
+_DRAWS_5 = ",".join(f"({r},{b})" for r, row in enumerate(B.draws(5, 1000, 0)) for b in row)
 _LOW, _HIGH = B.ranks(1000, 0.95)
 _LICENSES = ", ".join(f"('{a}', '{b}')" for a, b in LICENSES)
 _TEXT = "coalesce(text, '')"
@@ -392,6 +404,20 @@ SELECT "system", slice, CASE WHEN slice = 'de' THEN 'long-form-vad' ELSE 'bounde
        WHEN NOT ("system" = 'base' OR slice = 'en') THEN 'predictions unavailable' END AS pending,
   CASE WHEN p THEN word_errors END AS word_errors, CASE WHEN p THEN words END AS words, CASE WHEN p THEN word_errors / words END AS wer
 FROM (SELECT *, ("system" = 'base' OR slice = 'en') AND slice IN ('en', 'de') AS p FROM y, c) LEFT JOIN l ON l.id = slice""",
+    "evaluation_cells": f"""
+WITH t AS (SELECT role AS slice, conv_id % 5 AS block, {_TEXT} AS text, {_normal(_TEXT)} AS n FROM conversations),
+u AS (SELECT *, CASE WHEN slice = 'user' THEN replace(lower(n), 'ß', 'ss') ELSE n END AS m FROM t),
+k AS (SELECT slice, block, count(*) AS s, sum({_gone('text')}) AS e, sum({_n_words('text')}) AS w, sum(length({_collapsed('text')})) AS c,
+        sum({_n_words('m')}) AS nw, sum(length(m)) AS nc FROM u GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY block) - 1 AS place FROM k),
+d(resample, place) AS (VALUES {_DRAWS_5}),
+r AS (SELECT slice, resample, sum(e) / sum(nw) AS wer, 3 * sum(e) / sum(nc) AS cer FROM d JOIN b USING (place) GROUP BY ALL),
+q AS (SELECT slice, wer, cer, row_number() OVER (PARTITION BY slice ORDER BY wer) AS pw, row_number() OVER (PARTITION BY slice ORDER BY cer) AS pc FROM r),
+l AS (SELECT slice, max(wer) FILTER (pw = {_LOW}) AS wer_lower, max(wer) FILTER (pw = {_HIGH}) AS wer_upper,
+        max(cer) FILTER (pc = {_LOW}) AS cer_lower, max(cer) FILTER (pc = {_HIGH}) AS cer_upper FROM q GROUP BY slice)
+SELECT 'base' AS "system", slice, sum(s)::BIGINT AS segments, count(*) AS recordings, sum(e) / sum(w) AS wer, 3 * sum(e) / sum(c) AS cer,
+  sum(e) / sum(nw) AS norm_wer, 3 * sum(e) / sum(nc) AS norm_cer, any_value(wer_lower) AS wer_lower, any_value(wer_upper) AS wer_upper,
+  any_value(cer_lower) AS cer_lower, any_value(cer_upper) AS cer_upper FROM b JOIN l USING (slice) GROUP BY slice""",
     "duplicate_orders": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",
     "order_key_differences": """
 SELECT coalesce(a.o_orderkey, b.l_orderkey) AS o_orderkey, CASE WHEN b.l_orderkey IS NULL THEN 'left' ELSE 'right' END AS side

@@ -10,11 +10,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.provenance import redact
 from quillspark.sources.files import SEGMENT_FIELDS
 
 
-def write_atomic(files: dict[str, str]) -> None:
-    """Write all texts or none: each goes to a temporary neighbour, then all are renamed, with backups meanwhile."""
+def write_atomic(files: dict[str, str], inputs: tuple[str, ...] = ()) -> None:
+    """Write all texts or none: each goes to a temporary neighbour, then all are renamed, with backups meanwhile.
+
+    No output may be one of the inputs, also not by a link or another name.
+    """
+    read = {os.path.realpath(p).casefold() for p in inputs}
+    for p in files:
+        if os.path.realpath(p).casefold() in read or any(os.path.exists(i) and os.path.exists(p) and os.path.samefile(i, p) for i in inputs):
+            raise ValueError(f"{p} is an input")
     if len({os.path.realpath(p).casefold() for p in files}) != len(files):
         raise ValueError("two outputs are the same file")
     for p in files:
@@ -53,9 +61,19 @@ def manifest_lines(segments: DataFrame, header: dict) -> DataFrame:
     return head.unionByName(segments.select("pos", F.to_json(F.struct(*SEGMENT_FIELDS)).alias("value"))).orderBy("pos")
 
 
+def transcription_json(merged: DataFrame, recording: str, context: dict) -> str:
+    """One recording's merged segments and warnings, with the redacted context of the run, as JSON text."""
+    rows = merged.where(F.col("recording") == recording).orderBy("pos").collect()
+    segments = [{k: r[k] for k in ("start_s", "end_s", "text", "timing_precision")} for r in rows]
+    warnings = list(dict.fromkeys(w for r in rows for w in r["warnings"]))
+    told = {"recording": recording, "text": " ".join(s["text"] for s in segments if s["text"]), "segments": segments, "warnings": warnings, "run_context": redact(context)}
+    return json.dumps(told, ensure_ascii=False, indent=2, allow_nan=False)
+
+
 def prediction_lines(hypotheses: DataFrame, header: dict) -> DataFrame:
+    """(pos, value): the header record without credentials, then a record for each hypothesis."""
     spark = hypotheses.sparkSession
-    head = spark.createDataFrame([(-1, json.dumps({"predictions": header}, ensure_ascii=False))], "pos long, value string")
+    head = spark.createDataFrame([(-1, json.dumps({"predictions": redact(header)}, ensure_ascii=False))], "pos long, value string")
     return head.unionByName(hypotheses.select("pos", F.to_json(F.struct("id", "hypothesis")).alias("value"))).orderBy("pos")
 
 

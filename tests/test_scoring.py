@@ -97,3 +97,22 @@ def test_bootstrap_ranks_and_settings():
         with pytest.raises(ValueError):
             B.Settings(*bad)
     assert next(B.draws(3, 1, 5)) == [(r := random.Random(5)).choice(range(3)), r.choice(range(3)), r.choice(range(3))]
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        ("\u0985\u09be\u09ae\u09bf।", "\u0986\u09ae\u09bf"),
+        ("\u098b\u09c3", "\u09e0"),
+        ("\u0989\u09a4\u09cd\u200d\u09b8", "\u0989\u09ce\u09b8"),
+        ("\u09a8\u09bf\u09af\u09bc\u09c7", "\u09a8\u09bf\u09df\u09c7"),
+        ("\u09ac\u09a1\u09bc", "\u09ac\u09dc"),
+        ("\u0995\u09c7\u09be", "\u0995\u09cb"),
+        ("\u09af\u09c1\u09c1\u09a6\u09cd\u09cd\u09a7", "\u09af\u09c1\u09a6\u09cd\u09a7"),
+        ("৳১০০", "100"),
+        ("২+২", "2 2"),
+    ],
+)
+def test_bengali_repairs(spark, given, expected):
+    df = spark.createDataFrame([(given,), (expected,)], "t string").select(normalize(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [expected] * 2
