@@ -40,8 +40,8 @@ def word_distance(left: Column, right: Column) -> Column:
     return F.when(fits, F.levenshtein(*coded)).otherwise(F.raise_error(F.lit("too many distinct words"))).cast("long")
 
 
-def distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
-    """Levenshtein distance by bit vectors over whole rows of the table, as integers of any length."""
+def whole_distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
+    """Levenshtein distance by bit vectors over whole columns of the table, as integers of any length."""
     if not left or not right:
         return len(left) + len(right)
     places: dict[Hashable, int] = {}
@@ -66,6 +66,59 @@ def distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
     return score
 
 
+def banded_distance(left: Sequence[Hashable], right: Sequence[Hashable], bound: int) -> int | None:
+    """Levenshtein distance if it is at most `bound`, else None: bit vectors over a band around the diagonal.
+
+    Bit t of a column's vectors is row (column - bound + t), so the band moves down a row with each column.  The
+    distance is followed along the band's lower edge until that meets the last row, then along that row.
+    """
+    rows, width = len(left), 2 * bound + 1
+    if abs(rows - len(right)) > bound:
+        return None
+    full = (1 << width) - 1
+    lowest = 1 << width - 1
+    places: dict[Hashable, int] = {}
+    for k, x in enumerate(left):
+        places[x] = places.get(x, 0) | 1 << k + bound + 1  # row k + 1 is bit k + 1 + bound of column 0
+    # column 0: rises below row 0; what is above row 0 stays flat and out of reach
+    up, down = full & ~((1 << bound + 1) - 1), 0
+    score = min(bound, rows)
+    for column, x in enumerate(right, 1):
+        match = places.get(x, 0) >> column & full
+        # the band of the column before, moved down by a row; what enters is one more than the row above it
+        up_before, down_before = up >> 1 | lowest, down >> 1
+        cross = (((match & up_before) + up_before) ^ up_before | match | down_before) & full
+        plus = (down_before | ~(cross | up_before)) & full
+        minus = cross & up_before
+        bottom = column + bound
+        if bottom <= rows:
+            score += 0 if cross & lowest else 1
+        else:
+            last = 1 << rows - column + bound
+            score += 1 if plus & last else 0
+            score -= 1 if minus & last else 0
+        plus_in, minus_in = plus << 1 | 1, minus << 1
+        up = (minus_in | ~(cross | plus_in)) & full
+        down = plus_in & cross & full
+    return score if score <= bound else None
+
+
+def distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
+    """Levenshtein distance: what both begin and end with goes, then a band around the diagonal is widened until it
+    holds the distance, so that texts of few differences take time that grows with their length."""
+    least = min(len(left), len(right))
+    head = next((k for k in range(least) if left[k] != right[k]), least)
+    tail = next((k for k in range(least - head) if left[-1 - k] != right[-1 - k]), least - head)
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+    bound = 64
+    while 4 * bound < len(left):
+        found = banded_distance(left, right, bound)
+        if found is not None:
+            return found
+        bound *= 4
+    return whole_distance(left, right)
+
+
 @F.pandas_udf(LongType())
 def long_char_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """char_distance of long texts, in time that grows with the product of the lengths over the machine word."""

@@ -214,6 +214,14 @@ def license_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.license_state(groups, _licenses(spark), training=True)
 
 
+def role_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why manifests of documents, one a language and split, must not be trained on."""
+    docs = _table(spark, sf_dir, "documents")
+    split = F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split")
+    heads = docs.select(F.concat_ws("-", "lang", split).alias("manifest"), (F.col("doc_id") % 10 == 1).cast("int").alias("manifest_pos"), F.col("lang").alias("source"), split)
+    return manifests.role_problems(heads, _licenses(spark), "train")
+
+
 def report_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two systems by the languages as slices; the tuned system only has English predictions."""
     counts = _word_counts(spark, sf_dir).groupBy(F.col("lang").alias("slice")).agg(F.sum("word_errors").alias("word_errors"), F.sum("words").alias("words"))
@@ -252,7 +260,7 @@ QUERIES = {
     for f in (
         score_benchmark, score_by_source, bootstrap_by_source, normalize_documents, code_switch_documents, script_profile, leakage_overlaps,
         leakage_verdict, union_regions, plan_regions, confidence_filter, filter_summary, merge_windows, collapse_conversations, select_examples,
-        timestamp_sample, total_hours, segment_violations, license_gate, report_matrix, evaluation_cells, duplicate_orders, order_key_differences,
+        timestamp_sample, total_hours, segment_violations, license_gate, role_gate, report_matrix, evaluation_cells, duplicate_orders, order_key_differences,
     )
 }
 
@@ -396,6 +404,15 @@ g AS (SELECT lang AS source, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train'
 SELECT source, split, segments, status, CASE WHEN status IS NULL THEN 'not registered' WHEN status = 'excluded' THEN 'excluded'
   WHEN split <> 'train' THEN 'not a training split' WHEN status = 'eval-only' THEN 'for evaluation only' END AS problem
 FROM g LEFT JOIN l ON l.id = g.source""",
+    "role_gate": f"""
+WITH l(id, status) AS (VALUES {_LICENSES}),
+h AS (SELECT DISTINCT lang || '-' || CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS manifest, doc_id % 10 = 1 AS p, lang AS source,
+        CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents),
+g AS (SELECT h.*, status FROM h LEFT JOIN l ON l.id = source)
+SELECT manifest, 'several manifests of one name' AS problem FROM h GROUP BY manifest HAVING count(*) > 1
+UNION SELECT manifest, 'not for train: ' || split FROM h WHERE split <> 'train'
+UNION SELECT manifest, CASE WHEN status IS NULL THEN 'not registered' WHEN status = 'excluded' THEN 'excluded' WHEN split <> 'train' THEN 'not a training split'
+  ELSE 'for evaluation only' END FROM g WHERE status IS NULL OR status = 'excluded' OR split <> 'train' OR status = 'eval-only'""",
     "report_matrix": f"""
 WITH l(id, status) AS (VALUES {_LICENSES}), y("system") AS (VALUES ('base'), ('tuned')),
 c AS (SELECT lang AS slice, sum({_gone(_collapsed(_TEXT))})::BIGINT AS word_errors, sum({_n_words(_TEXT)})::BIGINT AS words FROM documents GROUP BY lang)

@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.functions.distance import distance
+from quillspark.functions.distance import banded_distance, distance, whole_distance
 from quillspark.functions.text import bengali_fraction, collapse_spaces, normalize, script_counts
 from quillspark.operators import bootstrap as B
 from quillspark.operators import scoring
@@ -35,6 +35,24 @@ def test_bit_vector_distance(a, b):
     assert distance(a, b) == plain(a, b)
 
 
+@given(st.text("abc", max_size=14), st.text("abc", max_size=14), st.integers(1, 6))
+def test_banded_distance(a, b, bound):
+    want = plain(a, b)
+    assert banded_distance(a, b, bound) == (want if want <= bound else None) and whole_distance(a, b) == want
+
+
+def test_distance_of_long_texts():
+    rng = random.Random(4)
+    for edits in (0, 1, 50, 300, 1500):
+        a = [rng.randrange(5) for _ in range(6000)]
+        b = list(a)
+        for _ in range(edits):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = [rng.randrange(5) for _ in range(rng.randint(0, 2))]
+        assert distance(a, b) == whole_distance(a, b)
+    assert distance("x" * 5000, "x" * 4000) == 1000 and distance("", "ab") == 2
+
+
 @pytest.mark.parametrize("long_texts", [False, True])
 def test_score_cases(spark, long_texts):
     rows = [(k, r, h) for k, (rs, hs, *_) in enumerate(CASES) for r, h in zip(rs, hs, strict=True)]
