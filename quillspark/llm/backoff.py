@@ -25,8 +25,10 @@ ALPHA = 0.4
 #: Count from which an n-gram of two or more words is seen: more than the occurrence that is scored.
 SEEN = 2
 #: Words of a batch of documents, and n-grams of a hash bucket on average.
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 2_000_000
 BUCKET_KEYS = 2_000_000
+#: Rows whose words are hashed at a time, and n-grams whose keys are computed at a time.
+ROWS, BLOCK = 1000, 131_072
 #: Distinct n-grams of a batch for each of its words, as assumed to size the buckets.
 KEYS_PER_WORD = 2
 
@@ -43,6 +45,14 @@ def _loose(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _chain(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """chained, block by block, so that its intermediate arrays are short."""
+    out = np.empty(len(seeds), np.uint64)
+    for at in range(0, len(seeds), BLOCK):
+        out[at : at + BLOCK] = chained(seeds[at : at + BLOCK], values[at : at + BLOCK])
+    return out
+
+
 class Batch:
     """Documents as word hashes."""
 
@@ -51,15 +61,15 @@ class Batch:
 
     def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For n = 1..order: n, the places (of last words) that have n words of one document, and their keys."""
-        starts = np.cumsum(self.lengths) - self.lengths
-        depth = np.arange(len(self.hashes)) - np.repeat(starts, self.lengths)
+        starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        depth = np.arange(len(self.hashes), dtype=np.int32) - np.repeat(starts, self.lengths)
         key = self.hashes
         for n in range(1, order + 1):
             if n > 1:
-                key = np.concatenate([key[:1], chained(key[:-1], self.hashes[1:])])
+                key = np.concatenate([key[:1], _chain(key[:-1], self.hashes[1:])])
             places = np.flatnonzero(depth >= n - 1)
             # the order is part of the key, so that all orders share the buckets
-            yield n, places, chained(key[places], np.full(len(places), n, np.uint64))
+            yield n, places, _chain(key[places], np.broadcast_to(np.uint64(n), len(places)))
 
 
 def batches(frames: Iterator[pa.RecordBatch], words: int = BATCH_WORDS) -> Iterator[tuple[int, Batch]]:
@@ -71,8 +81,8 @@ def batches(frames: Iterator[pa.RecordBatch], words: int = BATCH_WORDS) -> Itera
     hashes: list[np.ndarray] = []
     held = 0
     for frame in frames:
-        for at in range(0, len(frame), 2000):
-            part = frame.slice(at, 2000)
+        for at in range(0, len(frame), ROWS):
+            part = frame.slice(at, ROWS)
             texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
             lists = pc.ascii_split_whitespace(texts)
             coded = lists.flatten().dictionary_encode()
