@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import CODE_SWITCH_VERSION, NORMALIZER_VERSION, normalize_for
 from quillspark.operators import leakage, scoring
 from quillspark.operators.bootstrap import Settings, draws, ranks
-from quillspark.plans.report import cell_text, matrix, render_licenses
-from quillspark.sources.files import strict_object
+from quillspark.plans.report import LONG_FORM, SHORT, cell_text, matrix, render_licenses
+from quillspark.sources.files import read_manifests, read_predictions, strict_object
+from quillspark.sources.prepare import exists
 from quillspark.sources.sinks import write_atomic
 
 CELL = ["system", "slice"]
@@ -256,6 +257,58 @@ def write_report(report: dict, folder: str, inputs: tuple[str, ...] = ()) -> tup
     return paths
 
 
-def evaluate(spark: SparkSession, spec_text: str, segments: DataFrame, predictions: DataFrame, licenses: DataFrame, folder: str, context: dict, inputs: tuple[str, ...] = (), training: dict[str, DataFrame] | None = None) -> tuple[str, str]:
-    """The whole path from a specification to the written report."""
-    return write_report(build_report(Spec.parse(spec_text), segments, predictions, licenses, context, training), folder, inputs)
+SEGMENTS = ["slice", "manifest", "manifest_pos", "pos", "id", "source", "split", "domain", "recording_id", "text", "audio_sha256", "manifest_sha256"]
+
+
+def read_inputs(spark: SparkSession, spec: Spec, base: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], tuple[str, ...]]:
+    """(segments, predictions, training segments by system, paths read) of what a specification names below base.
+
+    Files that are missing leave their cells pending, but for training manifests, without which no audit is complete.
+    Predictions must name their system and the manifest of their slice.
+    """
+    root = base.rstrip("/")
+    empty = "manifest string, manifest_pos int, pos long, id string, source string, split string, domain string, recording_id string, text string, audio_sha256 string, manifest_sha256 string"
+    segments = spark.createDataFrame([], f"slice string, {empty}").select(*SEGMENTS)
+    predictions = spark.createDataFrame([], "system string, slice string, id string, hypothesis string, predictions_sha256 string")
+    paths: list[str] = []
+
+    def manifest(name: str, place: int, label: str) -> DataFrame | None:
+        path = f"{root}/{name}"
+        paths.append(path)
+        if not exists(spark, path):
+            return None
+        return read_manifests(spark, path).withColumns({"slice": F.lit(label), "manifest_pos": F.lit(place)}).select(*SEGMENTS)
+
+    for s in spec.slices:
+        found = manifest(s.manifest, 0, s.name)
+        segments = segments if found is None else segments.unionByName(found)
+    names = {r["slice"]: r["manifest"] for r in segments.select("slice", "manifest").distinct().collect()}
+    training: dict[str, DataFrame] = {}
+    for y in spec.systems:
+        for place, name in enumerate(y.train_manifests or (spec.train_manifests if y.training_audit == "required" else ())):
+            found = manifest(name, place, "")
+            if found is None:
+                raise ValueError(f"training manifest {name} is missing")
+            training[y.name] = found if y.name not in training else training[y.name].unionByName(found)
+        for slice_, name in y.predictions.items():
+            path = f"{root}/{name}"
+            paths.append(path)
+            if not exists(spark, path):
+                continue
+            read = read_predictions(spark, path)
+            head = read.select("system", "manifest").distinct().collect()
+            if [(h["system"], h["manifest"]) for h in head] != [(y.name, names.get(slice_))]:
+                raise ValueError(f"{path} is not of {y.name} on {names.get(slice_)}")
+            predictions = predictions.unionByName(read.select("system", F.lit(slice_).alias("slice"), "id", "hypothesis", "predictions_sha256"))
+    return segments, predictions, training, tuple(paths)
+
+
+def runs(spec: Spec) -> list[dict]:
+    """What must be transcribed for a report: a run for each system and slice that is not declared pending, once each."""
+    out = {}
+    for y in spec.systems:
+        for s in spec.slices:
+            if s.name not in y.pending_slices:
+                mode = y.inference_modes.get(s.name, LONG_FORM if s.domain == "long-form" else SHORT)
+                out[y.name, s.name] = {"system": y.name, "slice": s.name, "manifest": s.manifest, "predictions": y.predictions.get(s.name), "model_id": y.model_id, "mode": mode}
+    return list(out.values())

@@ -97,3 +97,35 @@ def test_transcription_json(spark):
     assert (told["text"], told["warnings"], told["run_context"]) == ("a b", ["w"], {"token": "[redacted]"}) and len(told["segments"]) == 2
     lines = [r["value"] for r in sinks.prediction_lines(spark.createDataFrame([(0, "i", "h")], "pos long, id string, hypothesis string"), {"system": "s", "token": "t"}).collect()]
     assert json.loads(lines[0]) == {"predictions": {"system": "s", "token": "[redacted]"}} and json.loads(lines[1]) == {"id": "i", "hypothesis": "h"}
+
+
+def lines(path, *records):
+    path.write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in records), encoding="utf-8")
+
+
+def test_report_from_files(spark, tmp_path):
+    from quillspark.__main__ import report
+
+    def segment(i, text, digest):
+        return {"id": i, "audio": f"{i}.wav", "text": text, "duration_s": 2.0, "recording_id": f"r{i}", "audio_sha256": digest * 64}
+
+    head = {"name": "m", "source": "s", "split": "test", "domain": "read", "version": "1"}
+    lines(tmp_path / "m.jsonl", {"manifest": head}, segment("a", "এক দুই", "a"), segment("b", "তিন", "b"))
+    lines(tmp_path / "t.jsonl", {"manifest": head | {"name": "t", "split": "train"}}, segment("c", "চার", "c"))
+    lines(tmp_path / "p.jsonl", {"predictions": {"system": "tuned", "manifest": "m"}}, {"id": "a", "hypothesis": "এক"}, {"id": "b", "hypothesis": "তিন", "more": 1})
+    fields = dict(id="s", name="n", url="u", license="l", access="open", status="approved", domain="read", version="1", notes="", confidence="high")
+    (tmp_path / "l.toml").write_text("[[licenses]]\n" + "\n".join(f'{k} = "{v}"' for k, v in fields.items()))
+    spec = {"name": "r", "title": "R", "slices": [{"name": "s1", "manifest": "m.jsonl"}, {"name": "s2", "manifest": "gone.jsonl", "domain": "long-form"}]}
+    system = {"name": "tuned", "model_kind": "fine_tuned", "training_audit": "required", "train_manifests": ["t.jsonl"], "predictions": {"s1": "p.jsonl"}}
+    (tmp_path / "spec.json").write_text(json.dumps(spec | {"systems": [system]}))
+    given = [str(tmp_path / "spec.json"), str(tmp_path), str(tmp_path / "l.toml")]
+    (tmp_path / "out").mkdir()
+    _, data = report(spark, *given, str(tmp_path / "out"))
+    cells = {c["slice"]: c for c in json.loads(open(data, encoding="utf-8").read())["cells"]}
+    assert (cells["s1"]["norm_wer"], cells["s1"]["leakage"], cells["s2"]["pending"]) == (1 / 3, "CLEAN", "manifest unavailable")
+    assert len(cells["s1"]["input_hashes"]["manifest"]) == 64
+    found = evaluation.runs(evaluation.Spec.parse((tmp_path / "spec.json").read_text()))
+    assert [(r["slice"], r["mode"]) for r in found] == [("s1", "bounded-short"), ("s2", "long-form-vad")]
+    lines(tmp_path / "p.jsonl", {"predictions": {"system": "other", "manifest": "m"}}, {"id": "a", "hypothesis": "x"})
+    with pytest.raises(ValueError, match="is not of tuned"):
+        report(spark, *given, str(tmp_path / "out"))
