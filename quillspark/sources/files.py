@@ -230,8 +230,13 @@ def slr53(spark: SparkSession, tsv: str, wavs: DataFrame) -> DataFrame:
     return _segments(joined, id=F.col("stem"), audio=F.col("audio"), text=F.col("text"), duration_s=F.col("duration_s"), recording_id=F.col("speaker"), speaker=F.col("speaker"))
 
 
-def loop_jsonl(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """JSONL index with id, audio_filepath, duration and text; absolute paths below root become relative."""
+def loop_jsonl(spark: SparkSession, path: str, root: str = "", split: str = "test") -> DataFrame:
+    """JSONL index with id, audio_filepath, duration and text; absolute paths below root become relative.
+
+    Its rows are whole recordings, so they are for evaluation only.
+    """
+    if split == "train":
+        raise ValueError("whole recordings are for evaluation only; training needs aligned segments")
     base = root.rstrip("/") + "/" if root else ""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,8 +294,8 @@ def kaldi(spark: SparkSession, text: str, wav_scp: str, segments: str | None = N
     )
 
 
-def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, stem, duration_s, sha256) of WAV files."""
+def wav_durations(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, stem, duration_s, sha256) of WAV files, in all folders below path if recursive."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -300,11 +305,34 @@ def wav_durations(spark: SparkSession, path: str) -> DataFrame:
                     lengths.append(w.getnframes() / w.getframerate())
             yield frame.drop(columns="content").assign(duration_s=lengths)
 
-    rows = contents(spark, path).withColumn("sha256", F.sha2("content", 256)).select("path", "content", "sha256")
+    if recursive:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]")
+        given = reader.load(path).select("path", "content")
+    else:
+        given = contents(spark, path)
+    rows = given.withColumn("sha256", F.sha2("content", 256)).select("path", "content", "sha256")
     return rows.mapInPandas(run, "path string, sha256 string, duration_s double").withColumn("stem", stem(F.col("path")))
 
 
+def _below(spark: SparkSession, root: str) -> Column:
+    """A file's path relative to root, whatever form the store gives it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/") + "/"
+    path = F.regexp_replace(F.col("path"), r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "")
+    return F.when(F.startswith(path, F.lit(full)), F.substring(path, len(full) + 1, 1 << 20)).otherwise(F.raise_error(F.concat(F.lit("outside the root: "), path)))
+
+
 def file_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, sha256) of all files below root."""
+    """(path, sha256) of all files below root, paths relative to it; a root without files is an error."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select("path", F.sha2("content", 256).alias("sha256"))
+    if not found.select("path").limit(1).count():
+        raise ValueError(f"no files below {root}")
+    return found.select(_below(spark, root).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def wav_index(spark: SparkSession, root: str) -> DataFrame:
+    """(stem, audio, duration_s, sha256) of the WAV files below root, as slr53 asks for; a stem must be there once."""
+    lengths = wav_durations(spark, f"{root.rstrip('/')}/", recursive=True)
+    found = lengths.select("stem", _below(spark, root).alias("audio"), "duration_s", "sha256")
+    require_empty(found.groupBy("stem").count().where("count > 1"), "repeated file stems", "stem")
+    return found

@@ -306,6 +306,51 @@ def test_indexes(spark, tmp_path):
         files.strict_object('{"a": {"b": 1, "b": 2}}')
 
 
+def test_audio_files(spark, tmp_path):
+    import hashlib
+    import wave
+
+    for name, seconds in (("sub/u1.wav", 1), ("u2.WAV", 2)):
+        path = tmp_path / "w" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with wave.open(str(path), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(8000)
+            w.writeframes(b"\0\0" * 8000 * seconds)
+    (tmp_path / "w" / "note.txt").write_text("x")
+    root = str(tmp_path / "w")
+    index = files.wav_index(spark, root)
+    assert {(r["stem"], r["audio"], r["duration_s"]) for r in index.collect()} == {("u1", "sub/u1.wav", 1.0), ("u2", "u2.WAV", 2.0)}
+    tsv = write(tmp_path / "s.tsv", "u1\tsp1\tকি\nu2\tsp2\t \n")
+    assert [(r["id"], r["audio"], r["duration_s"], r["recording_id"]) for r in files.slr53(spark, tsv, index).collect()] == [("u1", "sub/u1.wav", 1.0, "sp1")]
+    hashes = {r["path"]: r["sha256"] for r in files.file_hashes(spark, root).collect()}
+    assert set(hashes) == {"sub/u1.wav", "u2.WAV", "note.txt"} and hashes["note.txt"] == hashlib.sha256(b"x").hexdigest()
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="no files"):
+        files.file_hashes(spark, str(tmp_path / "empty"))
+    with pytest.raises(ValueError, match="evaluation only"):
+        files.loop_jsonl(spark, tsv, split="train")
+
+
+def test_windows_and_numbers(spark):
+    from quillspark.operators.intervals import real_time_factor
+
+    given = [(None, 2.0, 2.0005, 2.0005), (None, None, 3.0, 3.0), (1.0, 1.0005, 2.0, 1.0), (1.0, None, 2.5, 1.5), (0.0, 0.5, 2.0, 0.5)]
+    df = spark.createDataFrame([("a", *g) for g in given], "audio string, start_s double, duration_s double, actual_s double, want double")
+    assert all(abs(r["got"] - r["want"]) < 1e-9 for r in df.withColumn("got", manifests.validate_window()).collect())
+    for bad in ((None, 1.0, 2.0), (2.0, 1.0, 2.0), (3.0, None, 2.0), (-1.0, 1.0, 2.0), (1.0, 1.5, 2.0), (None, 1.0, None), (0.0, 0.0, 2.0)):
+        with pytest.raises(Exception, match="does not fit a"):
+            spark.createDataFrame([("a", *bad)], "audio string, start_s double, duration_s double, actual_s double").select(manifests.validate_window()).collect()
+    numbers = spark.createDataFrame([(x,) for x in ("1_0", " 2.5 ", "1d", "1e3", "nan", "", None)], "t string")
+    assert [r[0] for r in numbers.select(manifests.parse_number(F.col("t"))).collect()] == [10.0, 2.5, None, 1000.0, None, None, None]
+    assert spark.range(1).select(real_time_factor(F.lit(1.0), F.lit(4.0))).first()[0] == 0.25
+    registry = spark.createDataFrame([("b", "pending"), ("a", "pending"), ("c", "approved")], "id string, status string")
+    assert [r["id"] for r in manifests.sources_of(registry).collect()] == ["c", "a", "b"] and manifests.sources_of(registry, "approved").count() == 1
+    ids = spark.createDataFrame([("r2",), ("r1",), ("r2",)], "recording_id string")
+    assert [r[0] for r in manifests.recording_ids(ids).collect()] == ["r1", "r2"]
+
+
 def test_licenses_and_report(spark):
     fields = dict(id="s", name="n", url="u", license="l", access="open", status="eval-only", domain="read", version="1", notes="", confidence="high")
     text = "[[licenses]]\n" + "\n".join(f'{k} = "{v}"' for k, v in fields.items())
