@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ PREFIXES = (3, 4, 5, 6)
 REMEMBERED = 150_000
 
 WORDS = re.compile(r"[^\W\d_]+")
+UPPER = regex.compile(r"\p{Uppercase}+")
 
 
 def word_features(word: str) -> list[int]:
@@ -34,11 +36,10 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) for x in forms]
 
 
-def shape(text: str, words: int) -> list[float]:
-    """Features of a text beside its words."""
+def shape(text: str, words: int, letters: int) -> list[float]:
+    """Features of a text beside its words, of which it has so many distinct ones and so many letters in all."""
     n = max(1, len(text))
-    letters = sum(map(len, WORDS.findall(text)))
-    upper = sum(map(str.isupper, text))
+    upper = sum(map(len, UPPER.findall(text)))
     lines = text.split("\n")
     return [
         np.log1p(words),
@@ -140,8 +141,9 @@ def fit_chain(rows: list[np.ndarray], dense: np.ndarray, labels: np.ndarray, fol
 
 def featurize(text: str | None) -> tuple[set[str], list[float]]:
     text = text or ""
-    words = set(WORDS.findall(text.lower()))
-    return words, shape(text, len(words))
+    found = WORDS.findall(text)
+    words = {w.lower() for w in set(found)}
+    return words, shape(text, len(words), sum(map(len, found)))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_rows: int = TRAINING_ROWS) -> list[Linear]:
