@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,41 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted as stored tables are."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
+def publish(spark: SparkSession, source: str | None, target: str) -> None:
+    """Move a folder as a whole, as a file stream asks for; without a source make an empty one, without its folder do nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if source is None:
+        system.mkdirs(place)
+        return
+    own = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if system.exists(own) and not system.rename(own, place):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
