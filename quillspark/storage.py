@@ -43,6 +43,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def store_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As store, dealt to buckets by a column: a join or group by it needs no shuffle of this side.
+
+    There are as many buckets as spark.sql.shuffle.partitions says, so that the other side is dealt alike.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quillspark_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, deleted as stored tables are."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
