@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.storage import drop, held, publish, scratch, shared_dir, store
+from quillspark.storage import drop, held, publish, scratch, shared_dir, store, store_bucketed
 
-__all__ = ["drop", "held", "publish", "scratch", "shared_dir", "store", "table"]
+__all__ = ["drop", "held", "publish", "scratch", "shared_dir", "store", "store_bucketed", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
