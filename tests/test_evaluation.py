@@ -77,6 +77,25 @@ def test_redaction():
     told = provenance.redact({"apiKey": "x", "AWSSecretAccessKey": "x", "my-token": "x", "tokens": 3, "empty_password": "", "deep": [{"Cookie": "c", "note": "X-Api-Key: abc"}]})
     assert told == {"apiKey": "[redacted]", "AWSSecretAccessKey": "[redacted]", "my-token": "[redacted]", "tokens": 3, "empty_password": "", "deep": [{"Cookie": "[redacted]", "note": "X-Api-Key: [redacted]"}]}
     assert provenance.redact_text("see https://me:pw@host/a?sig=1&b=2 now") == "see https://[redacted]@host/a?sig=[redacted]&b=2 now"
+    for raw, told in {
+        "Authorization: Bearer abc\nkeep: this": "Authorization: [redacted]\nkeep: this",
+        "sent ('x-goog-api-key : k') ok": "sent ('x-goog-api-key: [redacted]",
+        "note: no secret here": "note: no secret here",
+        "s3://u:p@host/x?AWSSecretAccessKey=1#token=2&page=3": "s3://[redacted]@host/x?AWSSecretAccessKey=[redacted]#token=[redacted]&page=3",
+        "a?api%5Fkey=1 b": "a?api%5Fkey=[redacted] b",
+        "mail me@host at 10:30": "mail me@host at 10:30",
+        "": "",
+    }.items():
+        assert provenance.redact_text(raw) == told
+    for raw, told in {
+        "run --token --seed 3": "run --token '[redacted]' 3",
+        "run --api_key": "run --api_key",
+        "X=1 SECRET= run": "X=1 'SECRET=[redacted]' run",
+        "run 'https://a:b@c/d'": "run 'https://[redacted]@c/d'",
+        "run --tokens 3": "run --tokens 3",
+    }.items():
+        assert provenance.redact_command(raw) == told
+    assert provenance.redact({"Token": 0, "auth": None, "password": [1]}) == {"Token": 0, "auth": None, "password": "[redacted]"}
     hidden = provenance.redact_command("HF_TOKEN=abc run --api-key k1 --seed 3 --password=p 'a b'")
     assert hidden == "'HF_TOKEN=[redacted]' run --api-key '[redacted]' --seed 3 '--password=[redacted]' 'a b'"
     assert provenance.redact({"command": "run --token t"}) == {"command": "run --token '[redacted]'"}
