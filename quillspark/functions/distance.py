@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Hashable, Sequence
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -66,68 +69,119 @@ def whole_distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
     return score
 
 
-def banded_distance(left: Sequence[Hashable], right: Sequence[Hashable], bound: int) -> int | None:
-    """Levenshtein distance if it is at most `bound`, else None: bit vectors over a band around the diagonal.
+#: Symbols that are compared at a time along a diagonal, and symbols of the pairs that are taken together.
+STRIDE, TOGETHER = 32, 4_000_000
+#: Nanoseconds that a diagonal of a wave, a column of bit vectors and a row of such a column take, about.
+DIAGONAL_NS, COLUMN_NS, ROW_NS = 80, 2_500, 0.1
 
-    Bit t of a column's vectors is row (column - bound + t), so the band moves down a row with each column.  The
-    distance is followed along the band's lower edge until that meets the last row, then along that row.
+
+def _joined(arrays: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays one behind the other, each closed by STRIDE ends, and where each begins."""
+    sizes = np.array([len(x) + STRIDE for x in arrays])
+    starts = np.cumsum(sizes) - sizes
+    out = np.full(int(sizes.sum()), end, np.uint32)
+    for x, at in zip(arrays, starts.tolist(), strict=True):
+        out[at : at + len(x)] = x
+    return out, starts
+
+
+def waves(lefts: list[np.ndarray], rights: list[np.ndarray]) -> np.ndarray:
+    """Levenshtein distances of pairs of arrays of symbols by furthest points; -1 for a pair for which bit vectors would be
+    faster.
+
+    After e edits each diagonal of a pair holds the furthest row that it reaches.  The diagonals of all pairs that are
+    not at their end advance together, those that match by STRIDE symbols at a time, so a pair takes time that grows
+    with its length and the square of its distance.
     """
-    rows, width = len(left), 2 * bound + 1
-    if abs(rows - len(right)) > bound:
-        return None
-    full = (1 << width) - 1
-    lowest = 1 << width - 1
-    places: dict[Hashable, int] = {}
-    for k, x in enumerate(left):
-        places[x] = places.get(x, 0) | 1 << k + bound + 1  # row k + 1 is bit k + 1 + bound of column 0
-    # column 0: rises below row 0; what is above row 0 stays flat and out of reach
-    up, down = full & ~((1 << bound + 1) - 1), 0
-    score = min(bound, rows)
-    for column, x in enumerate(right, 1):
-        match = places.get(x, 0) >> column & full
-        # the band of the column before, moved down by a row; what enters is one more than the row above it
-        up_before, down_before = up >> 1 | lowest, down >> 1
-        cross = (((match & up_before) + up_before) ^ up_before | match | down_before) & full
-        plus = (down_before | ~(cross | up_before)) & full
-        minus = cross & up_before
-        bottom = column + bound
-        if bottom <= rows:
-            score += 0 if cross & lowest else 1
-        else:
-            last = 1 << rows - column + bound
-            score += 1 if plus & last else 0
-            score -= 1 if minus & last else 0
-        plus_in, minus_in = plus << 1 | 1, minus << 1
-        up = (minus_in | ~(cross | plus_in)) & full
-        down = plus_in & cross & full
-    return score if score <= bound else None
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (lefts, rights))
+    a, a_at = _joined(lefts, 0xFFFFFFFF)
+    b, b_at = _joined(rights, 0xFFFFFFFE)
+    a_strides, b_strides = sliding_window_view(a, STRIDE), sliding_window_view(b, STRIDE)
+    least = COLUMN_NS * m + ROW_NS * n * m
+    out = np.full(len(n), -1, np.int64)
+    pair, spent, edits = np.arange(len(n)), np.zeros(len(n)), 0
+    low, size, reached = np.zeros(len(n), np.int64), np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+    while len(pair):
+        begin, every = np.cumsum(size) - size, np.arange(int(size.sum()))
+        own = np.repeat(np.arange(len(pair)), size)
+        a_row = a_at[pair][own]
+        b_row = (b_at[pair] + low - begin)[own] + every
+        live = np.flatnonzero(a[a_row + reached] == b[b_row + reached])
+        while len(live):
+            at = reached[live]
+            other = a_strides[a_row[live] + at] != b_strides[b_row[live] + at]
+            first = other.argmax(axis=1)
+            whole = ~other[np.arange(len(live)), first]
+            reached[live] = at + np.where(whole, STRIDE, first)
+            live = live[whole]
+        goal = (m - n)[pair] - low
+        done = (goal >= 0) & (goal < size)
+        done[done] = reached[(begin + goal)[done]] >= n[pair[done]]
+        out[pair[done]] = edits
+        spent += DIAGONAL_NS * size
+        going = np.flatnonzero(~done & (spent <= least[pair]))
+        # two unreached diagonals stand on both sides of each pair's
+        padded = np.full(int(size.sum()) + 4 * len(pair), -1, np.int64)
+        lead = begin + 4 * np.arange(len(pair)) + 2
+        padded[(lead - begin)[own] + every] = reached
+        after = np.maximum(-n[pair], low - 1)
+        wide = np.minimum(m[pair], low + size) - after + 1
+        own = np.repeat(going, wide[going])
+        diagonal = np.arange(len(own)) - np.repeat(np.cumsum(wide[going]) - wide[going], wide[going]) + after[own]
+        at = (lead - low)[own] + diagonal
+        best = np.maximum(padded[at], padded[at + 1]) + 1
+        best[best == 0] = -1
+        reached = np.minimum(np.minimum(np.maximum(best, padded[at - 1]), n[pair][own]), m[pair][own] - diagonal)
+        pair, spent, low, size, edits = pair[going], spent[going], after[going], wide[going], edits + 1
+    return out
+
+
+def coded(sides: list[Sequence[Hashable]]) -> list[np.ndarray]:
+    """Symbols as numbers: code points of texts, else numbers of distinct symbols."""
+    numbers: defaultdict[Hashable, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    if all(isinstance(x, str) for x in sides):
+        return [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in sides]
+    return [np.fromiter(map(numbers.__getitem__, x), np.uint32, len(x)) for x in sides]
+
+
+def distances(lefts: Sequence[Sequence[Hashable]], rights: Sequence[Sequence[Hashable]]) -> list[int]:
+    """Levenshtein distances of pairs: waves of furthest points over pairs of TOGETHER symbols at a time, and bit vectors
+    for pairs of many differences."""
+    out = [0] * len(lefts)
+    unequal = [k for k, (a, b) in enumerate(zip(lefts, rights, strict=True)) if a != b]
+    while unequal:
+        taken, size = 0, 0
+        while taken < len(unequal) and (not taken or size < TOGETHER):
+            size += len(lefts[unequal[taken]]) + len(rights[unequal[taken]])
+            taken += 1
+        some, unequal = unequal[:taken], unequal[taken:]
+        sides = coded([lefts[k] for k in some] + [rights[k] for k in some])
+        found = waves(sides[:taken], sides[taken:])
+        for at, (k, told) in enumerate(zip(some, found.tolist(), strict=True)):
+            out[k] = whole_distance(sides[at].tolist(), sides[taken + at].tolist()) if told < 0 else told
+    return out
 
 
 def distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
-    """Levenshtein distance: what both begin and end with goes, then a band around the diagonal is widened until it
-    holds the distance, so that texts of few differences take time that grows with their length."""
-    least = min(len(left), len(right))
-    head = next((k for k in range(least) if left[k] != right[k]), least)
-    tail = next((k for k in range(least - head) if left[-1 - k] != right[-1 - k]), least - head)
-    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
-    bound = 64
-    while 4 * bound < len(left):
-        found = banded_distance(left, right, bound)
-        if found is not None:
-            return found
-        bound *= 4
-    return whole_distance(left, right)
+    """Levenshtein distance of one pair."""
+    return distances([left], [right])[0]
+
+
+def _of_pairs(left: pd.Series, right: pd.Series, split: bool) -> pd.Series:
+    pairs = [(a, b) if a is not None and b is not None else None for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    there = [[x.split() for x in p] if split else p for p in pairs if p]
+    told = iter(distances([a for a, _ in there], [b for _, b in there]))
+    return pd.Series([next(told) if p else None for p in pairs], dtype="Int64")
 
 
 @F.pandas_udf(LongType())
 def long_char_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """char_distance of long texts, in time that grows with the product of the lengths over the machine word."""
-    return pd.Series([None if a is None or b is None else distance(a, b) for a, b in zip(left, right, strict=True)], dtype="Int64")
+    """char_distance of texts of any length."""
+    return _of_pairs(left, right, split=False)
 
 
 @F.pandas_udf(LongType())
 def long_word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """word_distance of long texts."""
-    return pd.Series(
-        [None if a is None or b is None else distance(a.split(), b.split()) for a, b in zip(left, right, strict=True)], dtype="Int64"
-    )
+    """word_distance of texts of any length."""
+    return _of_pairs(left, right, split=True)

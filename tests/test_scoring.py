@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.functions.distance import banded_distance, distance, whole_distance
+from quillspark.functions.distance import coded, distance, distances, waves, whole_distance
 from quillspark.functions.text import bengali_fraction, collapse_spaces, normalize, script_counts
 from quillspark.operators import bootstrap as B
 from quillspark.operators import scoring
@@ -35,10 +35,31 @@ def test_bit_vector_distance(a, b):
     assert distance(a, b) == plain(a, b)
 
 
-@given(st.text("abc", max_size=14), st.text("abc", max_size=14), st.integers(1, 6))
-def test_banded_distance(a, b, bound):
-    want = plain(a, b)
-    assert banded_distance(a, b, bound) == (want if want <= bound else None) and whole_distance(a, b) == want
+
+
+@given(st.lists(st.tuples(st.text("abé", max_size=40), st.text("abé", max_size=40)), min_size=1, max_size=8))
+def test_waves(pairs):
+    sides = coded([a for a, _ in pairs] + [b for _, b in pairs])
+    for told, (a, b) in zip(waves(sides[: len(pairs)], sides[len(pairs) :]).tolist(), pairs, strict=True):
+        assert told in (plain(a, b), -1) and whole_distance(a, b) == plain(a, b)
+    assert distances(*zip(*pairs, strict=True)) == [plain(a, b) for a, b in pairs]
+
+
+def test_waves_follow_long_matches():
+    rng = random.Random(12)
+    pairs = []
+    for size, edits in ((300, 3), (4000, 40), (30_000, 25), (0, 0)):
+        a = [rng.choice("abcdefgh ") for _ in range(size)]
+        b = list(a)
+        for _ in range(edits):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choices("xyz", k=rng.randint(0, 2))
+        pairs.append((a, b))
+    pairs.append((list("ab") * 2000, list("cd") * 2000))  # too many differences
+    want = [whole_distance(a, b) for a, b in pairs]
+    texts = coded(["".join(a) for a, _ in pairs] + ["".join(b) for _, b in pairs])
+    assert waves(texts[:5], texts[5:]).tolist() == want[:4] + [-1]
+    assert distances(*zip(*pairs, strict=True)) == want
 
 
 def test_distance_of_long_texts():
