@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.generator import Words, marks, rows_of_choices
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -45,10 +47,8 @@ def ranks(resamples: int, confidence: float) -> tuple[int, int]:
 
 def draws(blocks: int, resamples: int, seed: int):
     """For each resample the block numbers drawn, from one seeded generator."""
-    rng = random.Random(seed)
-    numbers = range(blocks)
-    for _ in range(resamples):
-        yield [rng.choice(numbers) for _ in numbers]
+    for rows in rows_of_choices(Words(seed), blocks, resamples):
+        yield from rows.tolist()
 
 
 def block_sums(counts: DataFrame, block: str = "block_id", errors: str = "word_errors", lengths: str = "words") -> DataFrame:
@@ -56,23 +56,44 @@ def block_sums(counts: DataFrame, block: str = "block_id", errors: str = "word_e
     return counts.groupBy(F.col(block).alias("block_id")).agg(F.sum(errors).alias("errors"), F.sum(lengths).alias("length"))
 
 
-def resampled(sums: DataFrame, resamples: int = 1000, seed: int = 0) -> DataFrame:
+#: Draws that a task makes.
+DRAWS = 50_000_000
+
+
+def resampled(sums: DataFrame, resamples: int = 1000, seed: int = 0, draws_a_task: int = DRAWS) -> DataFrame:
     """(resample, rate): the pooled rate of each draw of as many blocks as there are, with replacement.
 
     The rate is a ratio of sums, so only block sums are drawn, never segments.  The seeded generator is one
-    sequence, and its draws must be those of any other user of the seed, so they run in one task, over one row a
-    block in order of block id: about blocks x resamples draws, of which a task makes some two million a second.
+    sequence, and its draws must be those of any other user of the seed.  One task runs through its words, which is
+    the fast part, and writes its state down for every stretch of resamples; each stretch is drawn and summed by a
+    task of its own, which holds the sums of all blocks, 16 bytes a block.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def stretches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         frame = frame.sort_values("block_id", kind="stable")
         if len(frame) < 2:
             raise ValueError("a block bootstrap needs two blocks at least")
-        errors, length = frame.errors.to_numpy(), frame.length.to_numpy()
-        rates = [float(errors[d].sum() / length[d].sum()) for d in map(np.array, draws(len(frame), resamples, seed))]
-        return pd.DataFrame({"resample": np.arange(resamples), "rate": rates})
-
-    return sums.groupBy(F.lit(0).alias("all")).applyInPandas(run, "resample int, rate double")
+        held = [frame[c].to_numpy().astype(np.int64).tobytes() for c in ("errors", "length")]
+        step = max(1, draws_a_task // len(frame))
+        for first, own, state in marks(seed, len(frame), resamples, step):
+            yield pd.DataFrame([(first, own, state, *held)], columns=["first", "own", "state", "errors", "length"])
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from stretches(pd.concat(list(frames)))
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first, own, state, *held in frame.itertuples(index=False):
+                errors, length = (np.frombuffer(x, np.int64) for x in held)
+                at = first
+                for rows in rows_of_choices(Words(state=state), len(errors), own):
+                    rates = errors[rows].sum(axis=1) / length[rows].sum(axis=1)
+                    yield pd.DataFrame({"resample": np.arange(at, at + len(rows)), "rate": rates})
+                    at += len(rows)
+
+    one = sums.select("block_id", "errors", "length").coalesce(1)
+    parts = one.mapInPandas(packed, "first int, own int, state binary, errors binary, length binary")
+    return parts.repartition("first").mapInPandas(drawn, "resample int, rate double")
 
 
 def bootstrap_interval(counts: DataFrame, block: str = "block_id", errors: str = "word_errors", lengths: str = "words", resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.generator import sample_flags
 from quillspark.functions.text import is_blank, normalize
 from quillspark.operators.scoring import require_empty
 from quillspark.storage import store
@@ -174,16 +174,17 @@ def sources_of(registry: DataFrame, status: str | None = None) -> DataFrame:
 
 
 def sampled_places(spark: SparkSession, count: int, fraction: float, seed: int) -> DataFrame:
-    """(place): a seeded sample of round(fraction * count) places out of count.
+    """(place): a seeded sample of round(fraction * count) places out of count, those of random.Random(seed).sample.
 
-    The seeded generator is one sequence, so one executor task draws it and writes it in blocks; the driver holds none.
+    The seeded generator is one sequence, so one executor task reads its words in blocks and flags places, a byte each;
+    it writes them in blocks, and the driver holds none.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in frames:
-            drawn = np.array(random.Random(seed).sample(range(count), round(fraction * count)), np.int64)
-            for at in range(0, len(drawn), 100_000):
-                yield pd.DataFrame({"place": drawn[at : at + 100_000]})
+            flags = sample_flags(seed, count, round(fraction * count))
+            for at in range(0, count, 1_000_000):
+                yield pd.DataFrame({"place": np.flatnonzero(flags[at : at + 1_000_000]) + at})
 
     return spark.range(0, 1, 1, 1).mapInPandas(run, "place long")
 
