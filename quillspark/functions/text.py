@@ -61,6 +61,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, PY_SPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """text.strip() of Python."""
+    return F.regexp_replace(text, rf"\A{PY_SPACE}+|{PY_SPACE}+\z", "")
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(collapse_spaces(text), F.lit("")) == ""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize
 from quillspark.operators.scoring import first_values, require_empty
+from quillspark.storage import store
 
 KINDS = ("id", "text", "audio")
 #: Rank in results.
@@ -29,8 +30,8 @@ def with_file_hashes(segments: DataFrame, files: DataFrame, check: bool = True)
     return joined.withColumn("audio_sha256", F.coalesce("__sha", F.lower("audio_sha256"))).drop("__sha")
 
 
-def keyed(segments: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """(kind, mark, key, place, label): segments (manifest, manifest_pos, pos, id, source, text, audio_sha256) by each key.
+def keyed(segments: DataFrame, kinds: tuple[str, ...] = KINDS, group: str | None = None) -> DataFrame:
+    """(kind, mark, key, place, label; group if asked for): segments (manifest, manifest_pos, pos, id, source, text, audio_sha256) by each key.
 
     One pass over the rows gives all kinds; texts are normalised only if asked for.  mark is a digest of the key, so
     that shuffles carry no texts.  Digests are compared without regard to letter case.
@@ -44,20 +45,48 @@ def keyed(segments: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
         "file": lambda: F.col("file_key").cast("string"),
     }
     pairs = F.array(*(F.struct(F.lit(kind).alias("kind"), keys[kind]().alias("key")) for kind in kinds))
-    rows = segments.select(F.explode(pairs).alias("k"), F.struct("manifest_pos", "pos").alias("place"), F.concat_ws(":", "manifest", "id").alias("label"))
-    return rows.where("k.key is not null").select("k.kind", F.sha2("k.key", 256).alias("mark"), "k.key", "place", "label")
+    own = [] if group is None else [F.col(group).alias("group")]
+    rows = segments.select(*own, F.explode(pairs).alias("k"), F.struct("manifest_pos", "pos").alias("place"), F.concat_ws(":", "manifest", "id").alias("label"))
+    return rows.where("k.key is not null").select(*(["group"] if own else []), "k.kind", F.sha2("k.key", 256).alias("mark"), "k.key", "place", "label")
 
 
-def shared_keys(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+class KeyIndex:
+    """Segments by key, stored once: whatever audits use them, a row's text is normalised one time.
+
+    An index of several groups, say the slices of a report, keeps the group of each row.
+    """
+
+    def __init__(self, segments: DataFrame, kinds: tuple[str, ...] = KINDS, group: str | None = None):
+        self.kinds, self.group = kinds, group
+        self.rows = store(keyed(segments, kinds, group), "keys")
+
+    def of(self, value: object) -> KeyIndex:
+        """The index of one group."""
+        one = object.__new__(KeyIndex)
+        one.kinds, one.group, one.rows = self.kinds, None, self.rows.where(F.col("group").eqNullSafe(F.lit(value))).drop("group")
+        return one
+
+
+def indexed(segments: DataFrame | KeyIndex, kinds: tuple[str, ...]) -> KeyIndex:
+    """An index of the kinds; one that was made before must hold them."""
+    if not isinstance(segments, KeyIndex):
+        return KeyIndex(segments, kinds)
+    if set(segments.kinds) != set(kinds):
+        raise ValueError(f"the index holds {segments.kinds}, not {kinds}")
+    return segments
+
+
+def shared_keys(train: DataFrame | KeyIndex, evaluation: DataFrame | KeyIndex, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(kind, mark) of the keys that both sides have: flags with map-side combine, so a hot key is one row a task."""
-    sides = [keyed(df, kinds).select("kind", "mark", F.lit(own).alias("own")) for df, own in ((train, 1), (evaluation, 2))]
+    sides = [indexed(df, kinds).rows.select("kind", "mark", F.lit(own).alias("own")) for df, own in ((train, 1), (evaluation, 2))]
     flags = sides[0].unionByName(sides[1]).groupBy("kind", "mark").agg(F.bit_or("own").alias("sides"))
     return flags.where("sides = 3").select("kind", "mark")
 
 
-def overlap_rows(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def overlap_rows(train: DataFrame | KeyIndex, evaluation: DataFrame | KeyIndex, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(kind, key, side, place, label): each segment that shares a key with the other side, a row of its own."""
-    both = keyed(train, kinds).withColumn("side", F.lit("train")).unionByName(keyed(evaluation, kinds).withColumn("side", F.lit("eval")))
+    train, evaluation = indexed(train, kinds), indexed(evaluation, kinds)
+    both = train.rows.withColumn("side", F.lit("train")).unionByName(evaluation.rows.withColumn("side", F.lit("eval")))
     return both.join(shared_keys(train, evaluation, kinds), ["kind", "mark"], "left_semi").drop("mark")
 
 
@@ -81,22 +110,30 @@ def coverage(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return one[0].crossJoin(one[1]).withColumn("coverage", F.when(total > 0, (F.col("train_hashed") + F.col("eval_hashed")) / total))
 
 
-def verdict(train: DataFrame, evaluation: DataFrame, kinds: tuple[str, ...] = KINDS, reviewed: DataFrame | None = None) -> DataFrame:
+def verdict(
+    train: DataFrame,
+    evaluation: DataFrame,
+    kinds: tuple[str, ...] = KINDS,
+    reviewed: DataFrame | None = None,
+    keys: tuple[KeyIndex, KeyIndex] | None = None,
+) -> DataFrame:
     """One row: counts by kind, coverage and the state INCOMPLETE, CLEAN, REVIEWED or OVERLAP, in this precedence.
 
     reviewed (key, reason) approves an audit whose overlaps are of kind text only and whose set of keys is that of
-    the reviews.
+    the reviews.  keys: indexes of both sides, if they are there already.
     """
-    shared = shared_keys(train, evaluation, kinds)
+    shared = shared_keys(*(keys or (train, evaluation)), kinds)
+    if reviewed is not None:
+        shared = store(shared, "shared")
     counts = shared.groupBy().agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_overlaps") for k in ("file", *KINDS)))
     row = counts.crossJoin(coverage(train, evaluation))
     complete = F.lit(set(KINDS) <= set(kinds)) & (F.col("train_total") > 0) & (F.col("eval_total") > 0) & (F.col("coverage") == 1)
     hard = F.col("file_overlaps") + F.col("id_overlaps") + F.col("audio_overlaps")
     approved = F.lit(False)
     if reviewed is not None:
-        keys = shared.where("kind = 'text'").select("mark")
+        found = shared.where("kind = 'text'").select("mark")
         given = reviewed.select(F.sha2("key", 256).alias("mark"))
-        differing = keys.exceptAll(given.distinct()).unionByName(given.distinct().exceptAll(keys)).agg(F.count("*").alias("unmatched"))
+        differing = found.exceptAll(given.distinct()).unionByName(given.distinct().exceptAll(found)).agg(F.count("*").alias("unmatched"))
         row = row.crossJoin(differing)
         approved = (hard == 0) & (F.col("unmatched") == 0)
     state = (
@@ -116,12 +153,15 @@ def require_no_leakage(train: DataFrame, evaluation: DataFrame, kinds: tuple[str
             require_empty(df.where(~F.col("split").isin(*splits)), told, "manifest")
     if reviewed is not None:
         require_empty(reviewed.where("reason is null or trim(reason) = ''"), "reviews without a reason", "key")
-    found = verdict(train, evaluation, kinds, reviewed)
+    names = train.groupBy("manifest").agg(F.count_distinct("manifest_pos").alias("n"))
+    require_empty(names.where("n > 1"), "several training manifests of one name", "manifest")
+    keys = (KeyIndex(train, kinds), KeyIndex(evaluation, kinds))
+    found = verdict(train, evaluation, kinds, reviewed, keys)
     row = found.first()
     if row["state"] == "INCOMPLETE":
         raise ValueError(f"incomplete audit: {row['train_hashed']}/{row['train_total']} and {row['eval_hashed']}/{row['eval_total']} digests known")
     if row["state"] == "OVERLAP":
-        names = first_values(overlap_rows(train, evaluation, kinds), "key")
+        names = first_values(overlap_rows(*keys, kinds), "key")
         raise ValueError(f"train and evaluation overlap: {names}")
     if row["state"] == "CLEAN" and reviewed is not None and reviewed.limit(1).count():
         raise ValueError("stale review decisions")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.generator import sample_flags
 from quillspark.functions.text import is_blank, normalize
+from quillspark.operators.leakage import overlap_rows, require_no_leakage, with_file_hashes
 from quillspark.operators.scoring import require_empty
 from quillspark.storage import store
 
@@ -252,24 +254,66 @@ def role_problems(segments: DataFrame, registry: DataFrame, role: str) -> DataFr
     return twice.unionByName(split).unionByName(license_).distinct()
 
 
-def training_preflight(train: DataFrame, evaluation: DataFrame, registry: DataFrame, **selection) -> tuple[DataFrame, DataFrame]:
+def clamped_windows(segments: DataFrame) -> DataFrame:
+    """segments (audio, audio_sha256, start_s, duration_s, actual_s) plus begin_s and window_s: what a window takes of its file."""
+    return segments.withColumns({"begin_s": F.coalesce("start_s", F.lit(0.0)), "window_s": validate_window()})
+
+
+def repeated_windows(segments: DataFrame) -> DataFrame:
+    """(audio_sha256, begin_s, window_s, n): windows that several segments take, also under other paths of a file's bytes.
+
+    Windows are compared as they are clamped to the file's end, so lengths that differ within the tolerance are one.
+    """
+    return duplicates(clamped_windows(segments), "audio_sha256", "begin_s", "window_s")
+
+
+def training_preflight(
+    train: DataFrame,
+    development: DataFrame,
+    registry: DataFrame,
+    files: DataFrame,
+    held_out: DataFrame | None = None,
+    language: str = "bn",
+    reviewed: DataFrame | None = None,
+    **selection,
+) -> tuple[DataFrame, DataFrame]:
     """The examples of a training run and of its evaluation, once every gate is passed (ValueError otherwise).
 
-    Manifests must fit their role and license; in both sides together no item and no audio window may repeat, also
-    not under another path of the same digest.
+    Gates: manifests fit their role and license, development ones are of split dev, names are distinct over all sides,
+    rows are in the language; files (audio, file_key, sha256, actual_s) have every audio, with the declared digest, and
+    windows fit them; among the examples of a side no window repeats; development and held-out rows share no id, audio or
+    file; training shares nothing with either but texts that reviewed (key, reason) approves.
     """
-    for df, role in ((train, "train"), (evaluation, "eval")):
+    sides = {"train": train, "dev": development} | ({"held out": held_out} if held_out is not None else {})
+    if development.limit(1).count() == 0:
+        raise ValueError("training needs development manifests")
+    require_empty(development.where("NOT split <=> 'dev'"), "development manifests must be of split dev", "manifest")
+    for side, df in sides.items():
+        role = "train" if side == "train" else "eval"
         require_empty(role_problems(df, registry, role).select(F.concat_ws(": ", "manifest", "problem").alias("p")), f"unusable manifests for {role}", "p")
-    begin = F.coalesce("start_s", F.lit(0.0))
-    both = train.select("source", "id", F.coalesce("audio_sha256", "audio").alias("file"), begin.alias("begin"), "duration_s")
-    both = both.unionByName(evaluation.select("source", "id", F.coalesce("audio_sha256", "audio").alias("file"), begin.alias("begin"), "duration_s"))
-    require_empty(duplicates(both, "source", "id"), "repeated ids")
-    require_empty(duplicates(both, "file", "begin", "duration_s"), "repeated windows", "file")
-    return select_examples(train, **selection), select_examples(evaluation, **{k: v for k, v in selection.items() if k not in ("fraction", "seed")})
+        require_empty(df.where(~F.col("language").eqNullSafe(F.lit(language))), f"{side} rows in another language than {language}", "manifest")
+    heads = reduce(DataFrame.unionByName, (df.select("manifest").distinct().withColumn("side", F.lit(k)) for k, df in sides.items()))
+    require_empty(duplicates(heads, "manifest"), "manifests of one name on several sides", "manifest")
+    lengths = files.select(F.col("audio"), "actual_s")
+    known = {k: store(clamped_windows(with_file_hashes(df, files).join(lengths, "audio")), k.replace(" ", "-")) for k, df in sides.items()}
+    examples = []
+    for side in ("train", "dev"):
+        own = {k: v for k, v in selection.items() if side == "train" or k not in ("fraction", "seed")}
+        chosen = select_examples(known[side].drop("begin_s", "window_s", "file_key"), **own)
+        require_empty(repeated_windows(chosen), f"repeated windows among the {side} examples, under any path", "audio_sha256")
+        examples.append(chosen.drop("actual_s"))
+    if held_out is not None:
+        hard = overlap_rows(known["dev"], known["held out"], ("file", "id", "audio"))
+        require_empty(hard, "development and held-out manifests overlap", "key")
+    evaluation = reduce(DataFrame.unionByName, (df for k, df in known.items() if k != "train"))
+    require_no_leakage(known["train"], evaluation, ("file", "id", "text", "audio"), reviewed)
+    return examples[0], examples[1]
 
 
 def experiment_table(runs: DataFrame, base: str) -> DataFrame:
     """runs (run, hours, steps, wer, cer) plus wer_delta and cer_delta against the run named base, in order of wer."""
+    if runs.where(F.col("run") == base).limit(1).count() == 0:
+        raise ValueError(f"no run is named {base}")
     own = runs.where(F.col("run") == base).select(F.col("wer").alias("__wer"), F.col("cer").alias("__cer"))
     require_empty(runs.groupBy("run").count().where("count > 1"), "repeated runs", "run")
     rows = runs.crossJoin(F.broadcast(own))  # one row

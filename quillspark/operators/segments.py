@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspark.functions.text import is_blank, strip
 from quillspark.operators.intervals import invalid_interval, plan_chunks
+from quillspark.operators.scoring import require_empty
+from quillspark.storage import store
 
 EPS = 1e-6
 #: The warnings of a merge.
@@ -77,27 +80,34 @@ def filter_summary(segments: DataFrame, *keys: str, limits: Limits = Limits()) -
     return judged.withColumn("summary", text)
 
 
+def invalid_word(start: Column, end: Column) -> Column:
+    """Whether a word's times are missing, negative or reversed; it may take no time."""
+    fine = start.isNotNull() & end.isNotNull() & ~F.isnan(start) & ~F.isnan(end) & (start >= 0) & (end >= start) & (end < float("inf"))
+    return ~F.coalesce(fine, F.lit(False))
+
+
 def rebase(segments: DataFrame) -> DataFrame:
     """Decoder output (asked_start_s, asked_end_s, start_s, end_s, text, words) as chunks of a recording.
 
     The decoder counts from the start of the audio that it was asked for.  window_start_s and window_end_s are the
     segment's bounds in the recording, widened to its words' extremes; words stay local, counted from the window's
-    start.  If a segment has text but no word that is not blank, it has no word times.  A segment beyond the audio
-    that was asked for is an error.
+    start.  If a segment has text but no word that is not blank, it has no word times.  A segment or word without an
+    extent, and a segment beyond the audio that was asked for, are errors.
     """
     w = F.col("words")
-    spoken = F.trim(F.coalesce("text", F.lit("")))
-    timed = (spoken == "") | F.exists(w, lambda x: F.trim(x.word) != "")
+    spoken = strip(F.coalesce("text", F.lit("")))
+    timed = (spoken == "") | F.exists(w, lambda x: ~is_blank(x.word))
     told = segments.withColumns({"text": spoken, "words": F.when(F.coalesce(timed, F.lit(False)), w).otherwise(F.slice(w, 1, 0))})
     low = F.least("start_s", F.array_min(F.transform("words", lambda x: x.start_s)))
     high = F.greatest("end_s", F.array_max(F.transform("words", lambda x: x.end_s)))
     placed = told.withColumns({"__low": low, "__high": high})
+    bent = invalid_interval(F.col("start_s"), F.col("end_s")) | F.coalesce(F.exists("words", lambda x: invalid_word(x.start_s, x.end_s)), F.lit(False))
     outside = F.col("__high") > F.col("asked_end_s") - F.col("asked_start_s") + EPS
     moved = F.transform("words", lambda x: x.withField("start_s", x.start_s - F.col("__low")).withField("end_s", x.end_s - F.col("__low")))
     return placed.withColumns(
         {
             "window_start_s": F.col("asked_start_s") + F.col("__low"),
-            "window_end_s": F.when(outside, F.raise_error(F.lit("a segment lies outside its audio"))).otherwise(F.col("asked_start_s") + F.col("__high")),
+            "window_end_s": F.when(bent, F.raise_error(F.lit("a segment or word needs an extent"))).when(outside, F.raise_error(F.lit("a segment lies outside its audio"))).otherwise(F.col("asked_start_s") + F.col("__high")),
             "words": moved,
         }
     ).drop("__low", "__high", "asked_start_s", "asked_end_s", "start_s", "end_s")
@@ -237,7 +247,8 @@ def long_form(speech: DataFrame, decode: Callable[[DataFrame], DataFrame], key:
     """
     chunks = plan_chunks(speech, key, duration="duration_s", **plan)
     asked = chunks.select(key, "chunk", F.col("start_s").alias("asked_start_s"), F.col("end_s").alias("asked_end_s"))
-    placed = rebase(decode(asked))
+    placed = store(rebase(decode(asked)), "placed")
+    require_empty(chunk_violations(placed).where("size(violations) > 0").select(F.concat_ws(": ", F.col(key).cast("string"), F.array_join("violations", ", ")).alias("p")), "decoder segments break their contract", "p")
     kept = judge(placed, limits).where("kept")
     order = F.row_number().over(Window.partitionBy(key).orderBy("window_start_s", "chunk", "window_end_s"))
     ready = kept.select(key, order.alias("pos"), F.col("window_start_s").alias("start_s"), F.col("window_end_s").alias("end_s"), "text", "words")

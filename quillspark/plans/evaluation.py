@@ -158,13 +158,15 @@ def audits(spec: Spec, segments: DataFrame, training: dict[str, DataFrame]) -> D
     """
     spark = segments.sparkSession
     out = []
+    every = leakage.KeyIndex(segments, group="slice") if any(y.name in training for y in spec.systems) else None
     for y in spec.systems:
+        own = leakage.KeyIndex(training[y.name]) if y.name in training else None
         for s in spec.slices:
             state = {"required": "INCOMPLETE"}.get(y.training_audit, y.training_audit)
             if y.name in training:
                 reviews = [(k, r) for k, r in y.text_decisions.get(s.name, {}).items()]
                 reviewed = spark.createDataFrame(reviews, "key string, reason string") if reviews else None
-                state = leakage.verdict(training[y.name], segments.where(F.col("slice") == s.name), reviewed=reviewed).first()["state"]
+                state = leakage.verdict(training[y.name], segments.where(F.col("slice") == s.name), reviewed=reviewed, keys=(own, every.of(s.name))).first()["state"]
             out.append((y.name, s.name, state))
     return spark.createDataFrame(out, "system string, slice string, leakage string")
 
@@ -203,6 +205,8 @@ def build_report(spec: Spec, segments: DataFrame, predictions: DataFrame, licens
         r["input_hashes"] = {"manifest": r.pop("manifest_sha256") or "unknown", "predictions": there or "unknown"}
         if r["pending"] and there:
             raise ValueError(f"predictions for {r['system']} on {r['slice']}, which is pending: {r['pending']}")
+        if not r["pending"] and r["model_kind"] == "unknown":
+            raise ValueError(f"{r['system']} on {r['slice']} is scored, so its kind of model must be declared")
         if not r["pending"] and r["model_kind"] == "fine_tuned" and r["leakage"] not in ("CLEAN", "REVIEWED"):
             raise ValueError(f"{r['system']} on {r['slice']} needs an audit without overlaps, not {r['leakage']}")
     systems = {y.name: k for k, y in enumerate(spec.systems)}

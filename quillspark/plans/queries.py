@@ -244,6 +244,17 @@ def evaluation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("system", "slice", "segments", "recordings", "wer", "cer", "norm_wer", "norm_cer", "wer_lower", "wer_upper", "cer_lower", "cer_upper")
 
 
+def duplicate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audio windows of a file a user: windows that repeat once they are clamped to the file's end."""
+    start = (F.col("event_id") % 20).cast("double")
+    actual = (30 + F.col("user_id") % 5).cast("double")
+    told = F.when(F.col("event_id") % 3 == 1, actual - start + 0.0004).when(F.col("event_id") % 3 == 2, 5.0)
+    rows = _table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u/"), "user_id").alias("audio"), F.sha2(F.col("user_id").cast("string"), 256).alias("audio_sha256"), start.alias("start_s"), told.alias("duration_s"), actual.alias("actual_s")
+    )
+    return manifests.repeated_windows(rows)
+
+
 def duplicate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order keys that repeat among the line items."""
     return manifests.duplicates(_table(spark, sf_dir, "lineitem"), "l_orderkey")
@@ -260,7 +271,7 @@ QUERIES = {
     for f in (
         score_benchmark, score_by_source, bootstrap_by_source, normalize_documents, code_switch_documents, script_profile, leakage_overlaps,
         leakage_verdict, union_regions, plan_regions, confidence_filter, filter_summary, merge_windows, collapse_conversations, select_examples,
-        timestamp_sample, total_hours, segment_violations, license_gate, role_gate, report_matrix, evaluation_cells, duplicate_orders, order_key_differences,
+        timestamp_sample, total_hours, segment_violations, license_gate, role_gate, report_matrix, evaluation_cells, duplicate_windows, duplicate_orders, order_key_differences,
     )
 }
 
@@ -435,6 +446,10 @@ l AS (SELECT slice, max(wer) FILTER (pw = {_LOW}) AS wer_lower, max(wer) FILTER
 SELECT 'base' AS "system", slice, sum(s)::BIGINT AS segments, count(*) AS recordings, sum(e) / sum(w) AS wer, 3 * sum(e) / sum(c) AS cer,
   sum(e) / sum(nw) AS norm_wer, 3 * sum(e) / sum(nc) AS norm_cer, any_value(wer_lower) AS wer_lower, any_value(wer_upper) AS wer_upper,
   any_value(cer_lower) AS cer_lower, any_value(cer_upper) AS cer_upper FROM b JOIN l USING (slice) GROUP BY slice""",
+    "duplicate_windows": """
+WITH w AS (SELECT sha256(user_id::VARCHAR) AS audio_sha256, (event_id % 20)::DOUBLE AS begin_s, (30 + user_id % 5)::DOUBLE AS actual,
+             CASE event_id % 3 WHEN 1 THEN 30 + user_id % 5 - event_id % 20 + 0.0004::DOUBLE WHEN 2 THEN 5.0::DOUBLE END AS told FROM events)
+SELECT audio_sha256, begin_s, least(coalesce(told, actual - begin_s), actual - begin_s) AS window_s, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1""",
     "duplicate_orders": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",
     "order_key_differences": """
 SELECT coalesce(a.o_orderkey, b.l_orderkey) AS o_orderkey, CASE WHEN b.l_orderkey IS NULL THEN 'left' ELSE 'right' END AS side

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import collapse_spaces
+from quillspark.functions.text import collapse_spaces, strip
 from quillspark.operators import leakage, manifests
 from quillspark.operators.scoring import require_empty
 from quillspark.sources import files, sinks
@@ -40,7 +40,7 @@ def build_manifest(rows: DataFrame, header: Header, durations: DataFrame | None
     """
     kinds = dict(x.strip().split(" ") for x in manifests.SEGMENT.split(","))
     known = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in SEGMENT_FIELDS))
-    known = known.withColumn("text", F.trim("text")).where(F.coalesce(collapse_spaces(F.col("text")), F.lit("")) != "")
+    known = known.withColumn("text", strip(F.col("text"))).where(F.coalesce(collapse_spaces(F.col("text")), F.lit("")) != "")
     require_empty(known.where("start_s is not null and duration_s is null"), "aligned segments need a length")
     require_empty(known.where(~F.coalesce(manifests.relative_audio_path(F.col("audio")), F.lit(False))), "audio outside the root")
     if durations is not None:

@@ -154,6 +154,10 @@ def test_rebase(spark):
     assert [[(w["start_s"], w["end_s"]) for w in r["words"]] for r in got] == [[(0.0, 1.5), (1.5, 3.0)], [(0.0, 0.5), (0.5, 1.0)], []]
     with pytest.raises(Exception, match="outside its audio"):
         rebase(decoded(spark, (9.0, 10.5, "x", []))).collect()
+    for wrong in ((-1.0, 2.0, "x", []), (5.0, 2.0, "x", []), (1.0, float("nan"), "x", []), (1.0, 3.0, "x", [(2.0, 1.0, "a", 1.0)]), (1.0, 3.0, "x", [(None, 1.0, "a", 1.0)])):
+        with pytest.raises(Exception, match="needs an extent"):
+            rebase(decoded(spark, wrong)).collect()
+    assert rebase(decoded(spark, (1.0, 3.0, "\t ab\u2003\n", []))).first()["text"] == "ab"
     assert not any(r["violations"] for r in chunk_violations(rebase(given)).collect())
     bad = rebase(decoded(spark, (1.0, 3.0, "x", [(2.0, 2.5, "a", 1.5), (1.0, 1.5, "b", 1.0)]))).withColumn("no_speech_prob", F.lit(2.0))
     assert [len(r["violations"]) for r in chunk_violations(bad).collect()] == [3]
@@ -172,6 +176,8 @@ def test_long_form(spark):
     got = long_form(talk, decode)
     row = got["transcripts"].first()
     assert (row["chunks"], row["forced_splits"], row["text"]) == (3, 3, "part 0 part 2") and got["dropped"].count() == 1
+    with pytest.raises(ValueError, match="no_speech_prob"):
+        long_form(talk, lambda asked: decode(asked).withColumn("no_speech_prob", F.lit(2.0)))
 
 
 def test_confidence(spark):

@@ -54,25 +54,45 @@ def test_build_manifest(spark):
 
 
 def test_preflight(spark):
-    schema = manifests.SEGMENT + ", manifest string, manifest_pos int, source string, split string"
+    schema = manifests.SEGMENT + ", manifest string, manifest_pos int, source string, split string, pos long"
 
-    def side(name, split, *ids, source="common_voice_bn", pos=0):
-        rows = [(i, f"{i}.wav", "কি", 2.0, "r", None, None, "bn", f"h{i}", name, pos, source, split) for i in ids]
+    def side(name, split, *ids, source="common_voice_bn", pos=0, start=None, length=2.0, language="bn", text="কি {}"):
+        rows = [(i, f"{i.rstrip('+')}.wav", text.format(i), length, "r", start, None, language, None, name, pos, source, split, k) for k, i in enumerate(ids)]
         return spark.createDataFrame(rows, schema)
 
+    def files(**other):
+        rows = [(f"{i}.wav", f"k{i}", other.get(f"sha{i}", f"h{i}"), other.get(f"len{i}", 2.0)) for i in "1234"]
+        return spark.createDataFrame(rows, "audio string, file_key string, sha256 string, actual_s double")
+
     licenses = spark.createDataFrame(LICENSES, "id string, status string")
-    a, b = manifests.training_preflight(side("t", "train", "1", "2"), side("e", "test", "3"), licenses)
+    train, dev, held = side("t", "train", "1", "2"), side("e", "dev", "3"), side("h", "test", "4")
+    a, b = manifests.training_preflight(train, dev, licenses, files(), held)
     assert (a.count(), b.count()) == (2, 1)
+    long_crops = side("t", "train", "1", start=0.5, length=1.5).unionByName(side("t", "train", "1+", start=0.5, length=1.5004))
     wrong = [
-        (side("t", "test", "1"), side("e", "test", "3"), "not for train"), (side("t", "train", "1"), side("e", "train", "3"), "not for eval"),
-        (side("t", "train", "1", source="fleurs_bn"), side("e", "test", "3"), "evaluation only"), (side("t", "train", "1"), side("e", "test", "1"), "repeated ids"),
-        (side("t", "train", "1").unionByName(side("t", "train", "2", pos=1)), side("e", "test", "3"), "several manifests"),
-        (side("t", "train", "1"), side("e", "test", "3").withColumn("audio_sha256", F.lit("h1")), "repeated windows"),
+        ((side("t", "test", "1"), dev, files()), "not for train"),
+        ((train, side("e", "test", "3"), files()), "split dev"),
+        ((train, dev.limit(0), files()), "needs development"),
+        ((train, side("t", "dev", "3"), files()), "several sides"),
+        ((side("t", "train", "1", language="en"), dev, files()), "another language"),
+        ((train, dev, files().where("audio <> '2.wav'")), "missing audio"),
+        ((train.withColumn("audio_sha256", F.lit("zz")), dev, files()), "does not match"),
+        ((train, dev, files(len1=5.0)), "does not fit"),
+        ((train, dev, files(sha2="h1")), "repeated windows"),
+        ((long_crops, dev, files()), "repeated windows"),
+        ((train, dev, files(sha4="h3"), held), "held-out manifests overlap"),
+        ((train, dev, files(sha3="h1")), "overlap"),
+        ((side("t", "train", "1", text="এক"), side("e", "dev", "3", text="এক।"), files()), "overlap"),
     ]
-    for train, evaluation, told in wrong:
-        with pytest.raises(ValueError, match=told):
-            manifests.training_preflight(train, evaluation, licenses)
+    for (train_, dev_, *more), told in wrong:
+        with pytest.raises(Exception, match=told):
+            manifests.training_preflight(train_, dev_, licenses, *more)
+    reviews = spark.createDataFrame([("এক", "a greeting")], "key string, reason string")
+    texts = (side("t", "train", "1", text="এক"), side("e", "dev", "3", text="এক।"))
+    assert manifests.training_preflight(*texts, licenses, files(), reviewed=reviews)[0].count() == 1
+    with pytest.raises(ValueError, match="stale"):
+        manifests.training_preflight(train, dev, licenses, files(), reviewed=reviews)
     runs = spark.createDataFrame([("base", 1.0, 10, 0.5, 0.2), ("new", 2.0, 20, 0.25, 0.1)], "run string, hours double, steps int, wer double, cer double")
     assert [(r["run"], r["wer_delta"]) for r in manifests.experiment_table(runs, "base").collect()] == [("new", -0.25), ("base", 0.0)]
-
-
+    with pytest.raises(ValueError, match="no run"):
+        manifests.experiment_table(runs, "other")
