@@ -1,25 +1,26 @@
 """Readers of transcript index files: strict delimited text, header-line JSONL, Kaldi tables, WAV lengths.
 
-Files come through Spark's binaryFile source, so any store that Spark reads will do; each file is parsed by one
-task, which keeps its record order.  Rows carry line, the physical line at which a record starts.
+Index files come through Spark's text source (see lines), so any store that Spark reads will do, and a file is as many
+tasks as it has splits.  Rows carry line, the physical line at which a record starts.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import json
+import re
 import tomllib
 import wave
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import collapse_spaces, is_blank, stem
 from quillspark.operators.manifests import SEGMENT, key_differences, parse_number
 from quillspark.operators.scoring import require_empty
+from quillspark.sources.lines import PART, numbered_lines, quoted_records
 
 SEGMENT_FIELDS = [x.strip().split(" ")[0] for x in SEGMENT.split(",")]
 
@@ -28,52 +29,39 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _decoded(content: bytes) -> str:
-    return content.decode("utf-8-sig")
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha): the SHA-256 of each file's bytes; of a folder of parts, that of its parts' digests in order.
+
+    A single file is read whole by Spark's binaryFile source here, so it must be below 2 GB.
+    """
+    found = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha"))
+    parts = found.groupBy(F.regexp_replace("file", PART, "").alias("path")).agg(F.array_sort(F.collect_list(F.struct("file", "sha")))["sha"].alias("shas"))
+    return parts.select("path", F.when(F.size("shas") == 1, F.col("shas")[0]).otherwise(F.sha2(F.array_join("shas", ""), 256)).alias("sha"))
 
 
 def delimited_rows(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
     """(path, line, fields): strict quoting, a byte-order mark skipped, quoted line breaks kept."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame.path, frame.content, strict=True):
-                reader = csv.reader(io.StringIO(_decoded(content), newline=""), delimiter=delimiter, strict=True)
-                rows, line = [], 1
-                try:
-                    for fields in reader:
-                        rows.append((name, line, fields))
-                        line = reader.line_num + 1
-                except csv.Error as e:
-                    raise ValueError(f"{name}:{line}: {e}") from e
-                yield pd.DataFrame(rows, columns=["path", "line", "fields"])
-
-    return contents(spark, path).mapInPandas(run, "path string, line long, fields array<string>")
+    return quoted_records(spark, path, delimiter)
 
 
 def named_rows(spark: SparkSession, path: str, required: list[str], delimiter: str = "\t", skip_blank: bool = False) -> DataFrame:
     """(path, line, row map) of a table with a header line: unique names, the required ones, exact widths."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame.path, frame.content, strict=True):
-                reader = csv.reader(io.StringIO(_decoded(content), newline=""), delimiter=delimiter, strict=True)
-                header = next(reader, [])
-                if len(set(header)) != len(header) or not set(required) <= set(header):
-                    raise ValueError(f"{name}: the header must hold {required}, each name once")
-                rows, line = [], reader.line_num + 1
-                try:
-                    for fields in reader:
-                        if fields or not skip_blank:
-                            if len(fields) != len(header):
-                                raise ValueError(f"{name}:{line}: {len(fields)} fields, not {len(header)}")
-                            rows.append((name, line, dict(zip(header, fields, strict=True))))
-                        line = reader.line_num + 1
-                except csv.Error as e:
-                    raise ValueError(f"{name}:{line}: {e}") from e
-                yield pd.DataFrame(rows, columns=["path", "line", "row"])
-
-    return contents(spark, path).mapInPandas(run, "path string, line long, row map<string,string>")
+    records = quoted_records(spark, path, delimiter)
+    heads = records.groupBy("path").agg(F.min_by("fields", "line").alias("header"), F.min("line").alias("head"))
+    # Spark reads no empty files, but lists them
+    names = [(re.sub("^file:/+", "file:/", x),) for x in spark.read.format("binaryFile").load(path).inputFiles()]
+    listed = spark.createDataFrame(names, "path string").select(F.regexp_replace("path", PART, "").alias("path")).distinct()
+    require_empty(listed.join(heads, "path", "left_anti"), "files without a header", "path")
+    missing = F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), F.col("header"))
+    fine = (F.size(F.array_distinct("header")) == F.size("header")) & (F.size(missing) == 0)
+    wrong = F.raise_error(F.concat("path", F.lit(f": the header must hold {required}, each name once")))
+    checked = heads.select("path", F.when(fine, F.col("header")).otherwise(wrong).alias("header"), "head")
+    rows = checked.join(records, "path").where("line > head")
+    if skip_blank:
+        rows = rows.where("size(fields) > 0")
+    sizes = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.size("fields").cast("string"), F.lit(" fields, not "), F.size("header").cast("string"))
+    fit = F.when(F.size("fields") == F.size("header"), F.map_from_arrays("header", "fields")).otherwise(F.raise_error(sizes))
+    return rows.select("path", "line", fit.alias("row"))
 
 
 def strict_object(text: str) -> dict:
@@ -93,21 +81,31 @@ def strict_object(text: str) -> dict:
     return found
 
 
-def _records(name: str, content: bytes) -> Iterator[tuple[int, dict]]:
-    """Lines end at line feeds only; other Unicode line separators belong to the text."""
-    for number, line in enumerate(_decoded(content).split("\n"), 1):
-        if line.strip():
-            try:
-                yield number, strict_object(line.removesuffix("\r"))
-            except ValueError as e:
-                raise ValueError(f"{name}:{number}: {e}") from e
+def _object(name: str, line: int, text: str) -> dict:
+    try:
+        return strict_object(text)
+    except ValueError as e:
+        raise ValueError(f"{name}:{line}: {e}") from e
+
+
+def headed_records(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(path, sha, head, line, pos, value) of JSONL texts whose first record holds only the key: head is its value as JSON text,
+    value a record's line, pos its place from 0.
+
+    Every file is read by as many tasks as it has splits; headers are a row a text.
+    """
+    lines = numbered_lines(spark, path)
 
+    @F.udf("string")
+    def head(name: str, text: str) -> str:
+        found = _object(name, 1, text) if text is not None else {}
+        if set(found) != {key}:
+            raise ValueError(f"{name}: the first record must hold only {key}")
+        return json.dumps(found[key], ensure_ascii=False)
 
-def _headed(content: bytes, name: str, key: str) -> tuple[dict, list[tuple[int, dict]]]:
-    records = list(_records(name, content))
-    if not records or set(records[0][1]) != {key}:
-        raise ValueError(f"{name}: the first record must hold only {key}")
-    return records[0][1][key], records[1:]
+    first = digests(spark, path).join(lines.where("nth = 1").select("path", "value"), "path", "left")
+    heads = first.select("path", "sha", head("path", "value").alias("head"))
+    return heads.join(lines.where("nth > 1"), "path").select("path", "sha", "head", "line", (F.col("nth") - 2).alias("pos"), "value")
 
 
 MANIFEST = "manifest string, manifest_file string, manifest_sha256 string, source string, split string, domain string, version string, pos long, " + SEGMENT
@@ -116,23 +114,23 @@ MANIFEST = "manifest string, manifest_file string, manifest_sha256 string, sourc
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Segments of manifest files with their header's fields and their order; unknown fields are errors."""
     header = {"name", "source", "split", "domain", "version", "language", "checksum"}
+    columns = [x.strip().split(" ")[0] for x in MANIFEST.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content, sha in zip(frame.path, frame.content, frame.sha, strict=True):
-                head, records = _headed(content, name, "manifest")
+            rows = []
+            for name, sha, raw, line, pos, text in frame[["path", "sha", "head", "line", "pos", "value"]].itertuples(index=False):
+                head = json.loads(raw)
                 if not set(head) <= header or not {"name", "source", "split", "domain", "version"} <= set(head):
                     raise ValueError(f"{name}: wrong manifest fields")
-                rows = []
-                for pos, (line, r) in enumerate(records):
-                    if not set(r) <= set(SEGMENT_FIELDS):
-                        raise ValueError(f"{name}:{line}: unknown fields {sorted(set(r) - set(SEGMENT_FIELDS))}")
-                    r.setdefault("language", head.get("language", "bn"))
-                    own = [r.get(c) for c in SEGMENT_FIELDS]
-                    rows.append((head["name"], name, sha, head["source"], head["split"], head["domain"], head["version"], pos, *own))
-                yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in MANIFEST.split(",")])
+                r = _object(name, line, text)
+                if not set(r) <= set(SEGMENT_FIELDS):
+                    raise ValueError(f"{name}:{line}: unknown fields {sorted(set(r) - set(SEGMENT_FIELDS))}")
+                r.setdefault("language", head.get("language", "bn"))
+                rows.append((head["name"], name, sha, head["source"], head["split"], head["domain"], head["version"], pos, *(r.get(c) for c in SEGMENT_FIELDS)))
+            yield pd.DataFrame(rows, columns=columns)
 
-    return contents(spark, path).withColumn("sha", F.sha2("content", 256)).mapInPandas(run, MANIFEST)
+    return headed_records(spark, path, "manifest").mapInPandas(run, MANIFEST)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -140,18 +138,19 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content, sha in zip(frame.path, frame.content, frame.sha, strict=True):
-                head, records = _headed(content, name, "predictions")
-                rows, seen = [], set()
-                for line, r in records:
-                    if not isinstance(r.get("id"), str) or not isinstance(r.get("hypothesis"), str) or r["id"] in seen:
-                        raise ValueError(f"{name}:{line}: id and hypothesis must be strings, ids unique")
-                    seen.add(r["id"])
-                    rows.append((head["system"], head["manifest"], sha, r["id"], r["hypothesis"]))
-                yield pd.DataFrame(rows, columns=["system", "manifest", "predictions_sha256", "id", "hypothesis"])
+            rows = []
+            for name, sha, raw, line, text in frame[["path", "sha", "head", "line", "value"]].itertuples(index=False):
+                head, r = json.loads(raw), _object(name, line, text)
+                if not isinstance(r.get("id"), str) or not isinstance(r.get("hypothesis"), str):
+                    raise ValueError(f"{name}:{line}: id and hypothesis must be strings, ids unique")
+                rows.append((name, line, head["system"], head["manifest"], sha, r["id"], r["hypothesis"]))
+            yield pd.DataFrame(rows, columns=["path", "line", "system", "manifest", "predictions_sha256", "id", "hypothesis"])
 
-    schema = "system string, manifest string, predictions_sha256 string, id string, hypothesis string"
-    return contents(spark, path).withColumn("sha", F.sha2("content", 256)).mapInPandas(run, schema)
+    schema = "path string, line long, system string, manifest string, predictions_sha256 string, id string, hypothesis string"
+    told = headed_records(spark, path, "predictions").mapInPandas(run, schema)
+    nth = F.row_number().over(Window.partitionBy("path", "id").orderBy("line"))
+    twice = F.raise_error(F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": ids must be unique")))
+    return told.withColumn("__nth", nth).select("system", "manifest", "predictions_sha256", F.when(F.col("__nth") == 1, F.col("id")).otherwise(twice).alias("id"), "hypothesis")
 
 
 LICENSE = (
@@ -241,20 +240,20 @@ def loop_jsonl(spark: SparkSession, path: str, root: str = "", split: str = "tes
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame.path, frame.content, strict=True):
-                rows = []
-                for line, r in _records(name, content):
-                    if not {"id", "audio_filepath", "duration", "text"} <= set(r):
-                        raise ValueError(f"{name}:{line}: missing fields")
-                    audio = r["audio_filepath"]
-                    if audio.startswith("/"):
-                        if not base or not audio.startswith(base):
-                            raise ValueError(f"{name}:{line}: audio outside the root")
-                        audio = audio.removeprefix(base)
-                    rows.append((r["id"], audio, r["text"], float(r["duration"]), r["id"], None, None, r.get("language", "bn"), r.get("audio_sha256")))
-                yield pd.DataFrame(rows, columns=SEGMENT_FIELDS)
-
-    return contents(spark, path).mapInPandas(run, SEGMENT)
+            rows = []
+            for name, line, text in frame[["path", "line", "value"]].itertuples(index=False):
+                r = _object(name, line, text)
+                if not {"id", "audio_filepath", "duration", "text"} <= set(r):
+                    raise ValueError(f"{name}:{line}: missing fields")
+                audio = r["audio_filepath"]
+                if audio.startswith("/"):
+                    if not base or not audio.startswith(base):
+                        raise ValueError(f"{name}:{line}: audio outside the root")
+                    audio = audio.removeprefix(base)
+                rows.append((r["id"], audio, r["text"], float(r["duration"]), r["id"], None, None, r.get("language", "bn"), r.get("audio_sha256")))
+            yield pd.DataFrame(rows, columns=SEGMENT_FIELDS)
+
+    return numbered_lines(spark, path).mapInPandas(run, SEGMENT)
 
 
 def kaldi_pairs(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:

@@ -16,33 +16,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import is_blank
+
 INSIDE = re.compile(r'(?:[^"]|"")*')
 
 
+#: Parts of a folder that Spark wrote are one text, in order of their names.
+PART = r"/part-\d+[^/]*$"
+
+
 def _split_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, at, value): lines by split; at grows by one from line to line of a split."""
-    place = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "path"), ("file_block_start", "block"))]
-    lines = spark.read.text(path, lineSep="\n").select(*place, F.monotonically_increasing_id().alias("at"), "value")
-    mark = (F.col("block") == 0) & F.startswith("value", F.lit("\ufeff"))
-    return lines.withColumn("value", F.when(mark, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
+    """(path, block, at, value): lines by split; blocks sort as they stand in a text, at grows by one from line to line.
+
+    path is the file, or the folder of which it is a part.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    block = F.concat(file, F.lit("#"), F.lpad(start.cast("string"), 20, "0"))
+    mark = (start == 0) & F.startswith("value", F.lit("\ufeff"))
+    value = F.when(mark, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    lines = spark.read.text(path, lineSep="\n")
+    return lines.select(F.regexp_replace(file, PART, "").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("at"), value.alias("value"))
 
 
-def _starts(lines: DataFrame) -> DataFrame:
-    """(path, block, first, before): where at begins in a split, and the lines of its file before it; one row a split."""
-    splits = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+def _starts(lines: DataFrame, at: str = "at", before: str = "before") -> DataFrame:
+    """(path, block, first, before): where at begins in a split, and the lines of its text before it; one row a split."""
+    splits = lines.groupBy("path", "block").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return splits.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return splits.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value): lines end at line feeds only, a byte-order mark and a carriage return at a line's end are left out.
+    """(path, line, nth, value): the lines that are not blank, with their number in the text and among such lines, from 1.
 
-    Only one row a split is counted and joined; lines are not sorted or shuffled while those rows are few.
+    Lines end at line feeds only; a byte-order mark and a carriage return at a line's end are left out.  Only rows of a
+    split are counted and joined; lines are not sorted or shuffled while those rows are few.
     """
     lines = _split_lines(spark, path)
+    kept = lines.where(~is_blank(F.col("value"))).withColumn("own", F.monotonically_increasing_id())
+    places = _starts(lines).join(_starts(kept, "own", "earlier").withColumnRenamed("first", "own_first"), ["path", "block"])
+    told = kept.join(places, ["path", "block"])
     line = F.col("before") + F.col("at") - F.col("first") + 1
-    told = lines.join(_starts(lines), ["path", "block"])
-    return told.select("path", line.alias("line"), F.regexp_replace("value", "\r\\z", "").alias("value"))
+    nth = F.col("earlier") + F.col("own") - F.col("own_first") + 1
+    return told.select("path", line.alias("line"), nth.alias("nth"), F.regexp_replace("value", "\r\\z", "").alias("value"))
 
 
 def ends_quoted(line: str, delimiter: str, inside: bool) -> bool:
@@ -78,7 +93,7 @@ def _summaries(delimiter: str):
                         own[k] = after
         rows = [(*key, *own) for key, own in found.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["path", "block", "out0", "out1", "open0", "open1"])
 
     return run
@@ -113,10 +128,10 @@ def quoted_records(spark: SparkSession, path: str, delimiter: str = "\t") -> Dat
     are parsed where they are read, only the lines of longer ones are brought together.
     """
     lines = _split_lines(spark, path)
-    told = lines.mapInArrow(_summaries(delimiter), "path string, block long, out0 boolean, out1 boolean, open0 long, open1 long")
+    told = lines.mapInArrow(_summaries(delimiter), "path string, block string, out0 boolean, out1 boolean, open0 long, open1 long")
     # a split is in one task, so it has one row
     states = _starts(lines).join(told, ["path", "block"]).groupBy("path")
-    carried = states.applyInPandas(_carried, "path string, block long, first long, before long, inside boolean, opened long")
+    carried = states.applyInPandas(_carried, "path string, block string, first long, before long, inside boolean, opened long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("path", "block", "at", "value", "first", "before", "inside", "opened")

@@ -58,7 +58,7 @@ def manifest_lines(segments: DataFrame, header: dict) -> DataFrame:
     """(pos, value): the header record, then a record for each segment in order, nulls left out."""
     spark = segments.sparkSession
     head = spark.createDataFrame([(-1, json.dumps({"manifest": header}, ensure_ascii=False))], "pos long, value string")
-    return head.unionByName(segments.select("pos", F.to_json(F.struct(*SEGMENT_FIELDS)).alias("value"))).orderBy("pos")
+    return head.unionByName(segments.select("pos", F.to_json(F.struct(*SEGMENT_FIELDS)).alias("value")))
 
 
 def transcription_json(merged: DataFrame, recording: str, context: dict) -> str:
@@ -74,9 +74,14 @@ def prediction_lines(hypotheses: DataFrame, header: dict) -> DataFrame:
     """(pos, value): the header record without credentials, then a record for each hypothesis."""
     spark = hypotheses.sparkSession
     head = spark.createDataFrame([(-1, json.dumps({"predictions": redact(header)}, ensure_ascii=False))], "pos long, value string")
-    return head.unionByName(hypotheses.select("pos", F.to_json(F.struct("id", "hypothesis")).alias("value"))).orderBy("pos")
+    return head.unionByName(hypotheses.select("pos", F.to_json(F.struct("id", "hypothesis")).alias("value")))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Write (pos, value) as one text file in order, through Spark's commit protocol; path becomes a folder."""
-    lines.select("value").coalesce(1).write.mode("overwrite").text(path, lineSep="\n")
+    """Write (pos, value) as text in order, through Spark's commit protocol; path becomes a folder.
+
+    Ranges of pos are written by tasks of their own, as parts whose names sort as the ranges do; the readers take the
+    parts of a folder as one text.  A job that fails leaves no parts.
+    """
+    ranged = lines.repartitionByRange("pos").sortWithinPartitions("pos")
+    ranged.select("value").write.mode("overwrite").text(path, lineSep="\n")
