@@ -189,15 +189,17 @@ def conversations(turns: DataFrame) -> DataFrame:
     model may be trained on it.
 
     Turns go by number, null first, then role and text.  A role that is none of ROLES, or null, is "other"; a null
-    text is empty.  A row without a conv_id is a conversation of its own.  A conversation is one document: its
-    turns meet in one row.
+    text is empty.  Each row without a conv_id is a conversation of its own, also where such rows are equal; they are not
+    grouped.  A conversation is one document: its turns meet in one row.
     """
     role = F.coalesce(F.when(F.col("role").isin(*ROLES), F.col("role")), F.lit(ROLES[-1])).alias("role")
-    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("alone")
-    rows = turns.select("conv_id", alone, "turn", role, F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = turns.select("conv_id", "turn", role, F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct("turn", "role", "text")
+    grouped = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.withColumn("alone", F.lit(None).cast("long"))
+    single = rows.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns"), F.xxhash64("turn", "role", "text").alias("alone"))
     mark = F.xxhash64("conv_id", "alone")
-    return grouped.select(
+    return grouped.unionByName(single).select(
         "conv_id",
         F.pmod(mark, F.lit(len(STYLES))).cast("int").alias("style"),
         trained(mark).alias("trained"),

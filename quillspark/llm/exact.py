@@ -123,35 +123,41 @@ class DigestIndex:
         return at.select(*rows.columns, *own, member.alias("member"))
 
 
+def _dealt() -> Column:
+    """Whether a row is of the half that serves as history."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+
+
 def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, seen_before), one row for each row of docs.
 
     The perfect hash is built of a history's distinct digests and every row of docs is looked up.  Members are the
-    group of their slot; nonmembers are grouped separately, by digest.  With history (doc_id, text), members are
-    repeats of it: kept is false, keep_id the slot's winner.  Without, docs are dealt by a hash of their id, one half
-    being the history of the whole: keep_id is the smallest id of the slot's winner and the rows that met it.
+    group of their slot and kept by its locator; nonmembers are grouped separately, by digest.  With history (doc_id,
+    text), members are repeats of it: kept is false, keep_id the slot's winner.  Without, docs are dealt by a hash of
+    their id, one half being the history of the whole: keep_id is the smallest id of the slot's winner, which stands for
+    that half, and the other half's rows that met it.
     group_size counts rows of docs.
 
     Defined results: null text is empty; of rows equal in doc_id and text one is kept; a row without doc_id
-    is kept only if no row of its group has one, and then one of the group is; an empty table gives an empty
-    one.  Only doc_id and text are read, so other columns may have any name.
+    is kept only if no row of its group has one, and then one of the group is; a text of any length is digested whole; an
+    empty table gives an empty one.  Only doc_id and text are read, so other columns may have any name.
     """
     rows = store(
         docs.select("doc_id", digest(F.col("text")).alias("sha")).groupBy("doc_id", "sha").agg(F.count("*").alias("copies")),
         "rows",
     )
     if history is None:
-        seen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+        seen = rows.where(_dealt())
     else:
         seen = history.select("doc_id", digest(F.col("text")).alias("sha"))
     looked = store(DigestIndex(seen).lookup(rows), "looked")
-    group = ["shard", "slot", "sha"]
-    sized = looked.groupBy(*group).agg(F.min("doc_id").alias("least"), F.first("winner").alias("of_slot"), F.sum("copies").alias("size"))
+    # a member's group is its slot, whatever its digest; only nonmembers are grouped by digest
+    looked = looked.withColumn("group", F.when(F.col("member"), F.concat_ws("/", "shard", "slot")).otherwise(F.col("sha")))
+    others = F.min(F.when(F.lit(history is not None) | ~_dealt(), F.col("doc_id")))
+    sized = looked.groupBy("group").agg(others.alias("least"), F.first("winner").alias("of_slot"), F.sum("copies").alias("size"))
     before = F.lit(history is not None) & F.col("member")
-    keep = F.when(before, F.col("of_slot")).otherwise(F.least("least", "of_slot"))
-    sized = sized.select(*(F.col(c).alias(f"g_{c}") for c in group), "least", "of_slot", "size")
-    same = (F.col("sha") == F.col("g_sha")) & F.col("shard").eqNullSafe(F.col("g_shard")) & F.col("slot").eqNullSafe(F.col("g_slot"))
-    found = looked.join(sized, same)
+    keep = F.when(before, F.col("of_slot")).otherwise(F.least("of_slot", "least"))
+    found = looked.drop("winner").join(sized, "group")
     return found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
         keep.alias("keep_id"),

@@ -20,12 +20,14 @@ from quillspark.llm.storage import table
 RUN = re.compile(r"[A-Za-z0-9_+/=\-.]{12,}")
 ASSIGNED = re.compile(r"[:=]\s*[\"'`]?$")
 #: Any value, of any length and characters, that is assigned to a secret's name, follows a scheme or stands in a link.
+#: Each run of a name's characters is tried once, from its start, and nothing is read twice, so a text takes time that
+#: grows with its length.
 VALUE = re.compile(
-    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|credentials?)"
-    r"[\w-]{0,40}[\"'`\])]{0,3}\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}"
-    r"(?:\"(?P<double>[^\"\n]{1,400})\"|'(?P<single>[^'\n]{1,400})'|`(?P<back>[^`\n]{1,400})`|(?P<bare>[^\s\"'`,;]{1,400}))"
-    r"|\b(?:bearer|basic)\s{1,3}(?P<scheme>[A-Za-z0-9._~+/=-]+)"
-    r"|://[^/\s:@]{0,100}:(?P<link>[^/\s@]{1,200})@",
+    r"(?<![\w-])(?=[\w-]*?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|credentials?))"
+    r"[\w-]++[\"'`\])]{0,3}\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}"
+    r"(?:\"(?P<double>[^\"\n]++)\"|'(?P<single>[^'\n]++)'|`(?P<back>[^`\n]++)`|(?P<bare>[^\s\"'`,;]++))"
+    r"|\b(?:bearer|basic)\s{1,3}(?P<scheme>[A-Za-z0-9._~+/=-]++)"
+    r"|://[^/\s:@]*+:(?P<link>[^/\s@]++)@",
     re.I,
 )
 #: Characters of the text before and behind a candidate that are looked at.

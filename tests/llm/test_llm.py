@@ -579,3 +579,22 @@ def test_pipeline(spark, tmp_path):
         step = stage(spark, step, str(tmp_path))
         assert step.columns == [*docs.columns, *names]
         assert step.select(*(F.col(f"`{n}`") for n in names)).distinct().collect() == [tuple(f"own {n}" for n in names)]
+
+
+def test_secrets_of_any_length():
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(n))
+    bare, quoted, link, scheme, named = some(1200), some(500) + " with spaces; and more", some(240), some(5000), some(30)
+    text = f"a token={bare} b password: \"{quoted}\" c postgres://me:{link}@host/x d bearer {scheme} e secret_{'of_the_service_' * 8}='{named}' f"
+    found = dict(secrets.candidates(text))
+    assert set(found.values()) == {bare, quoted, link, scheme, named}
+    assert all(text[at : at + len(x)] == x for at, x in found.items())
+    assert secrets.candidates("token" * 200_000) == [] and secrets.candidates('token="' * 3 + "x")
+    jwt = ".".join(some(n) for n in (40, 900, 300))
+    assert [x for _, x in secrets.candidates(f"token={jwt}")] == [jwt]
+
+
+def test_equal_rows_without_conversation(spark):
+    rows = [(None, 1, "user", "Hi"), (None, 1, "user", "Hi"), (None, 1, "user", "Hi"), (None, 2, "user", "Yo"), (4, 1, "user", "Hi"), (4, 1, "user", "Hi")]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"] is None, [t["text"] for t in r["turns"]]) for r in got) == [(False, ["Hi", "Hi"]), (True, ["Hi"]), (True, ["Hi"]), (True, ["Hi"]), (True, ["Yo"])]
