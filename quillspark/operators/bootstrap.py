@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.generator import Words, marks, rows_of_choices
+from quillspark.storage import store
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,8 @@ def resampled(sums: DataFrame, resamples: int = 1000, seed: int = 0, draws_a_tas
 def bootstrap_interval(counts: DataFrame, block: str = "block_id", errors: str = "word_errors", lengths: str = "words", resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row (point, lower, upper, blocks, resamples)."""
     Settings(resamples, float(confidence), seed)
-    sums = block_sums(counts, block, errors, lengths)
+    # used twice; one row a block
+    sums = store(block_sums(counts, block, errors, lengths), "sums")
     low, high = ranks(resamples, confidence)
     ordered = F.sort_array(F.collect_list("rate"))
     limits = resampled(sums, resamples, seed).agg(F.element_at(ordered, low).alias("lower"), F.element_at(ordered, high).alias("upper"))
