@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +36,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements that begin and end a line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -44,17 +46,29 @@ BLOCKS = frozenset(
 #: Elements, roles and words of class or id names whose content is not the article's.
 ASIDE = frozenset("nav footer aside form button menu dialog head label input datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted banner nav navbar navigation "
-    "menu sidebar breadcrumb breadcrumbs footer masthead cookie cookies consent notice popup modal overlay newsletter "
-    "subscribe subscription comment comments disqus respond replies share sharing social related recommended recommendations "
-    "widget toolbar pagination pager copyright legal login signup skip".split()
+#: Words of adverts, reader comments and consent boxes: no element of an article has such a name.
+FOREIGN = frozenset(
+    "ad ads adsbygoogle adsense advert adverts advertisement advertisements advertising sponsor sponsored promo promoted "
+    "comment comments disqus respond replies cookie cookies consent gdpr".split()
 )
+#: Words of other parts of a page; an article's paragraph may have such a name, too.
+PARTS = frozenset(
+    "banner nav navbar navigation menu sidebar breadcrumb breadcrumbs footer masthead notice popup modal overlay newsletter "
+    "subscribe subscription share sharing social related recommended recommendations widget toolbar pagination pager "
+    "copyright legal login signup skip".split()
+)
+NAMES = FOREIGN | PARTS
 #: Words that join names in a class or id without saying anything else.
 FILLERS = frozenset(
-    "area bar block box btn button buttons container content div footer form group header inner item items label link links list message module outer "
-    "panel row section slot text title top bottom left right unit wrap wrapper the my js is has".split()
+    "area bar block body box btn button buttons container content div footer form global group header inner item items label link links list main message module outer "
+    "page panel primary row secondary section site slot text thread title top bottom left right unit wrap wrapper the my js is".split()
 )
+#: Words that turn a name into what an element has, lacks or is filed under.
+RELATIONS = frozenset("has with no not without category tag tags type format topic theme style layout".split())
+#: Words that tell an article's own header from a site's.
+OWN = frozenset("article content entry post story".split())
+#: Elements of one line of an article; their names, but for FOREIGN ones, are hints.
+LINE_TAGS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th tr".split())
 #: Elements whose lines belong together where no element marks the article.
 CONTAINERS = frozenset("body center div section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,48 +103,76 @@ def _ends_parent(out_tag: str, tag: str, around: dict[str, int]) -> bool:
     return tag in TABLE_PARTS if out_tag in ("td", "th", "tr") else tag in BLOCKS and tag not in ENDED_BY or tag in ("li", "dd", "dt", "td", "th", "tr")
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> float:
+@lru_cache(maxsize=1 << 14)
+def _named(name: str) -> tuple[frozenset[str], str]:
+    """The words of one class or id name, split at marks, digits and capitals, and the word that says what it is.
+
+    That is the last word beside fillers (user-comments, CommentList, ad_slot), or a consent box's word anywhere
+    (cookie-policy); empty if the name tells a relation (has-sidebar, category-ads).
+    """
+    words = [w for w in re.split(r"[\W_\d]+", CAMEL.sub("-", name).lower()) if w]
+    if RELATIONS & set(words):
+        return frozenset(), ""
+    telling = [w for w in words if w not in FILLERS or w == "footer"]
+    consent = [w for w in words if w in ("cookie", "cookies", "consent", "gdpr")]
+    return frozenset(words), (consent or telling or [""])[-1]
+
+
+def _doubt_of_names(tag: str, names: list[str], inside: bool) -> float:
+    """What the names of an element tell: 1 if it isn't the article's, a half for a hint, or 0."""
+    doubt = 0.0
+    for one in names:
+        words, head = _named(one)
+        sites = words & {"site", "global", "masthead"} if inside else not words - FILLERS
+        if "header" in words and sites and head in ("", "masthead"):
+            return 1
+        if not words & NAMES:
+            continue
+        if tag in ("article", "main"):
+            sure = not words - NAMES - FILLERS
+        elif tag in LINE_TAGS or (inside and tag not in BLOCKS):
+            sure = head in FOREIGN
+        else:
+            sure = head in NAMES
+        if sure:
+            return 1
+        doubt = 0.5
+    return doubt
+
+
+def _marked(tag: str, attrs: str, inside: bool, quoted: bool = False) -> float:
     """How sure an element's tag, role or names are that it isn't part of the article: 1, a half or 0.
 
-    A name is sure if the words beside it say nothing (cookie-notice, ad box); with other words (related-work) it is
-    a hint, which counts outside articles only.
+    A compound name is what its last telling word is (user-comments); with such a word before others (related-work)
+    it is a hint.  Names of lines (p, li, ...) and, in articles, of inline elements are sure for adverts, comments and
+    consent boxes, else hints.  In quoted text (pre) names are those of a highlighter.
     """
-    if tag in ASIDE or (tag == "header" and not inside):
+    names = [(n.lower(), v.strip("\"'")) for n, v in ATTRIBUTE.findall(attrs)] if attrs and tag not in ("html", "body") else []
+    called = [one for n, v in names if n in ("class", "id") for one in v.split()]
+    if tag in ASIDE or (tag == "header" and not inside and not any(_named(x)[0] & OWN for x in called)):
         return 1
-    if not attrs or tag in ("html", "body"):
-        return 0
-    hint = 0.0
-    for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+    for name, value in names:
+        value = value.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return 1
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return 1
-        elif name == "role":
-            if value in ROLES:
-                return 1
-        else:
-            for one in value.split():
-                words = {w for w in re.split(r"[_\-\d]+", one) if w}
-                if words & NAMES or (not inside and words == {"header"}):
-                    if not words - NAMES - FILLERS:
-                        return 1
-                    hint = 0.0 if inside else 0.5
-    return hint
+        if name == "style" and "display:none" in value.replace(" ", ""):
+            return 1
+        if name == "role" and value in ROLES:
+            return 1
+    return 0 if quoted else _doubt_of_names(tag, called, inside)
 
 
 class Line(NamedTuple):
     """A line of a page, markup stripped.
 
-    article: whether an article or main element holds it; doubted: a name hints that it is none of the article's;
-    gap: other content (menus, adverts) stood before it; linked: share of its text in links; container: number of
+    article: whether an article or main element holds it; doubted: a name hints that it is none of the article's, a
+    half for that of an element around it (within the article, if there is one), 1 for its own; gap: other content (menus, adverts) stood before it; linked: share of its text in links; container: number of
     the innermost container element around it, 0 for none.
     """
 
     text: str
     article: bool
-    doubted: bool
+    doubted: float
     gap: bool
     linked: float
     container: int
@@ -145,6 +187,8 @@ def lines(page: str) -> list[Line]:
     gap = False
     roots: list[str] = []
     doubts: list[str] = []  # a doubted element and those of its tag in it
+    doubted_in: list[bool] = []  # whether these are in an article
+    own_doubt = False
     within: list[tuple[str, int]] = []
     containers = 0
     out_tag, out_depth = "", 0  # the unwanted element that holds the current place
@@ -152,15 +196,17 @@ def lines(page: str) -> list[Line]:
     around: dict[str, int] = {}
 
     def end_line() -> None:
-        nonlocal linked, gap
+        nonlocal linked, gap, own_doubt
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 share = min(1.0, linked / len(text))
-                out.append(Line(text, bool(roots), bool(doubts), gap, share, within[-1][1] if within else 0))
+                doubt = 1.0 if own_doubt else 0.5 * any(k == bool(roots) for k in doubted_in)
+                out.append(Line(text, bool(roots), doubt, gap, share, within[-1][1] if within else 0))
                 gap = False
             held.clear()
             linked = 0
+        own_doubt = False
 
     def add(text: str) -> None:
         nonlocal linked
@@ -200,9 +246,11 @@ def lines(page: str) -> list[Line]:
             if any(tag == x for x, _ in within):
                 while within.pop()[0] != tag:
                     pass
-            for held_open in (roots, doubts):
-                if held_open and tag == held_open[-1]:
-                    held_open.pop()
+            if roots and tag == roots[-1]:
+                roots.pop()
+            if doubts and tag == doubts[-1]:
+                doubts.pop()
+                doubted_in.pop()
             continue
         if tag == "a":
             in_link = True
@@ -213,7 +261,7 @@ def lines(page: str) -> list[Line]:
         if inner:
             inner = _still_open(inner, tag)
             out_tag = out_tag if inner else ""
-        sure = _marked(tag, attrs, bool(roots))
+        sure = _marked(tag, attrs, bool(roots), bool(around.get("pre")))
         if out_tag:
             if tag in ("article", "main") and sure < 1 and not roots:
                 inner, out_tag, out_depth = [], "", 0  # an unwanted element that was never closed
@@ -233,8 +281,11 @@ def lines(page: str) -> list[Line]:
             continue
         if tag == "br":
             add(" ")
-        if (sure or (doubts and tag == doubts[-1])) and tag not in VOID and tag not in ENDED_BY:
+        if tag in LINE_TAGS:
+            own_doubt = bool(sure)
+        elif (sure or (doubts and tag == doubts[-1])) and tag not in VOID and tag not in ENDED_BY:
             doubts.append(tag)
+            doubted_in.append(bool(roots) if sure else doubted_in[-1])
         if tag in BLOCKS and tag not in VOID:
             around[tag] = around.get(tag, 0) + 1
         if tag in CONTAINERS:
@@ -265,17 +316,17 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int,
 def main_text(page: str | None) -> str:
     """The lines between the surge and dive points of the page's text, joined by line feeds.
 
-    A line weighs the length of its text, half of it if a name casts doubt on it, none if most of it is links;
-    content that is not the article's counts as a window of empty lines.  If article and main elements hold a fair
-    share of that weight, lines in them weigh SURGE more, whatever links they hold, and others weigh nothing;
-    else these elements (teasers, cards) say nothing.  Of the stretches between surge and dive those whose windows
+    A line weighs the length of its text, half of it if a name casts doubt on it, none if most of it is links or if it
+    is shorter than SURGE and its own name is in doubt; content that is not the article's counts as a window of empty lines.  If article and main elements hold a fair
+    share of that weight, lines in them weigh SURGE more, whatever links they hold unless a name casts doubt on them,
+    and others weigh nothing; else these elements (teasers, cards) say nothing.  Of the stretches between surge and dive those whose windows
     sum to SURGE count, or the one of greatest sum if none does.  Without such elements every line between the first
     and the last of them stays, and the stretches of text beside them in the same container.
     """
     found = lines(page or "")
     if not found:
         return ""
-    plain = [0 if x.linked > LINKED else len(x.text) // (2 if x.doubted else 1) or 1 for x in found]
+    plain = [0 if x.linked > LINKED or (x.doubted == 1 and len(x.text) < SURGE) else len(x.text) // (2 if x.doubted else 1) or 1 for x in found]
     in_articles = sum(w for w, x in zip(plain, found, strict=True) if x.article)
     trusted = any(x.article for x in found) and in_articles >= ARTICLES * sum(plain)
     weights: list[int] = []
@@ -283,7 +334,8 @@ def main_text(page: str | None) -> str:
     for x, weight in zip(found, plain, strict=True):
         weights += [0] * (WINDOW * x.gap)
         place.append(len(weights))
-        weights.append(weight if not trusted else len(x.text) + SURGE if x.article else 0)
+        article = x.article and not (x.doubted and x.linked > LINKED)
+        weights.append(weight if not trusted else len(x.text) + SURGE if article else 0)
     parts = stretches(weights)
     chosen = [p for p in parts if p[2] >= SURGE] or sorted(parts, key=lambda p: (-p[2], p[0]))[:1]
     between = np.zeros(len(weights), bool)

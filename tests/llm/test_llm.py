@@ -391,6 +391,62 @@ def test_html_evidence():
     assert text(f"<article><p>{long}</p><section class='comments'><p>{long}</p></section><aside>x</aside></article>") == long.strip()
 
 
+FOREIGN_NAMES = (
+    "user-comments post-comments reader_comments CommentList comment-thread google-ad article-ad adsbygoogle adSlot ad-unit-3 sponsored-content "
+    "cookie-policy CookieConsent post-footer site-header main-nav entry-share socialLinks page-sidebar legal notice login related menu"
+).split()
+OWN_NAMES = "share notice legal copyright login social related menu lead has-sidebar with-comments category-ads related-work comment-policy".split()
+
+
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("name", FOREIGN_NAMES)
+def test_html_foreign_names(name, inside):
+    """Compound names of other parts of a page go, in an article and on a page without one."""
+    long = ("words of text " * 20).strip()
+    body = f"<p>{long}</p><div class='{name}'><p>{'not the article ' * 12}</p></div><p>Short.</p><p>{long}</p>"
+    assert html_text.main_text(f"<article>{body}</article>" if inside else f"<body><div>{body}</div></body>") == f"{long}\nShort.\n{long}"
+
+
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("name", OWN_NAMES)
+def test_html_own_names(name, inside):
+    """An article's paragraph may have the name of another part of a page; a line of links may not."""
+    long = ("words of text " * 20).strip()
+    body = f"<p>{long}</p><p class='{name}'>The village shares one well.</p><p>{long}</p>"
+    assert html_text.main_text(f"<article>{body}</article>" if inside else f"<body><div>{body}</div></body>") == f"{long}\nThe village shares one well.\n{long}"
+    links = f"<p>{long}</p><p class='share'><a href=x>Tell it</a> <a href=y>Post it</a></p>"
+    assert html_text.main_text(f"<article>{links}</article>" if inside else f"<body><div>{links}</div></body>") == long
+
+
+def test_html_names_in_context():
+    text, long = html_text.main_text, ("words of text " * 20).strip()
+    assert text(f"<div class=post><header class=entry-header><h1>Title</h1></header><p>{long}</p></div>") == f"Title\n{long}"
+    assert text(f"<div class='content has-sidebar'><p>{long}</p></div><div class='sidebar'><p>{long}</p></div>") == long
+    assert text(f"<article class='post category-ads'><p>{long}</p><pre><span class=hljs-comment># note</span> x</pre></article>") == f"{long}\n# note x"
+    assert text(f"<article><p>{long} <span class=notice>mark</span> it</p><p>x<span class=inline-ad>buy</span></p></article>") == f"{long} mark it\nx"
+    assert text(f"<article><p>{long}</p><ol class=comment-list><li><article class=comment-body><p>{long}</p></article></ol></article>") == long
+    assert text(f"<div class=sidebar-layout><article><p><a href=x>{long}</a></p></article></div>") == long
+
+
+def test_html_built_pages():
+    """Pages put together by chance from paragraphs and other parts give their paragraphs, whatever the order."""
+    rng = random.Random(9)
+    for _ in range(400):
+        want, body = [], []
+        for k in range(rng.randint(1, 12)):
+            words = f"Paragraph {k} " + "with words " * rng.randint(8, 40)
+            if k and rng.random() < 0.5:
+                tag = rng.choice(["div", "section", "ul"])
+                body.append(f"<{tag} {rng.choice(['class', 'id'])}='{rng.choice(FOREIGN_NAMES)}'><p>{words}</p></{tag}>")
+            else:
+                mark = f" class='{rng.choice(OWN_NAMES)}'" if rng.random() < 0.4 else ""
+                body.append(f"<p{mark}>{words}</p>")
+                want.append(words.strip())
+        page = "".join(body)
+        page = f"<nav>Home</nav><article>{page}</article><footer>x</footer>" if rng.random() < 0.5 else f"<nav>Home</nav><div>{page}</div><footer>x</footer>"
+        assert html_text.main_text(page) == "\n".join(want)
+
+
 def test_html_table(spark):
     big = 9007199254740993
     rows = [(big, "u", "<p>x &amp; y</p>", "a"), (None, None, None, None), (1, "v", "", "b"), (1, "v", "", "b"), (2, "w", "<p>" + "long text " * 200_000, "c")]
