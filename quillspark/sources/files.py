@@ -6,12 +6,12 @@ tasks as it has splits.  Rows carry line, the physical line at which a record st
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import tomllib
 import wave
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,20 +21,14 @@ from quillspark.functions.text import collapse_spaces, is_blank, stem
 from quillspark.operators.manifests import SEGMENT, key_differences, parse_number
 from quillspark.operators.scoring import require_empty
 from quillspark.sources.lines import PART, numbered_lines, quoted_records
+from quillspark.sources.streams import Opener, read_each, sha256_of
 
 SEGMENT_FIELDS = [x.strip().split(" ")[0] for x in SEGMENT.split(",")]
 
 
-def contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha): the SHA-256 of each file's bytes; of a folder of parts, that of its parts' digests in order.
-
-    A single file is read whole by Spark's binaryFile source here, so it must be below 2 GB.
-    """
-    found = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha"))
+    """(path, sha): the SHA-256 of each file's bytes; of a folder of parts, that of its parts' digests in order."""
+    found = read_each(spark, path, sha256_of, "sha string")
     parts = found.groupBy(F.regexp_replace("file", PART, "").alias("path")).agg(F.array_sort(F.collect_list(F.struct("file", "sha")))["sha"].alias("shas"))
     return parts.select("path", F.when(F.size("shas") == 1, F.col("shas")[0]).otherwise(F.sha2(F.array_join("shas", ""), 256)).alias("sha"))
 
@@ -293,27 +287,30 @@ def kaldi(spark: SparkSession, text: str, wav_scp: str, segments: str | None = N
     )
 
 
-def wav_durations(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, stem, duration_s, sha256) of WAV files, in all folders below path if recursive."""
+def _wav(stream: BinaryIO) -> tuple[float, str]:
+    """Length and digest of a WAV file: the header is read, then the bytes in turn."""
+    with wave.open(stream) as w:
+        seconds = w.getnframes() / w.getframerate()
+    stream.seek(0)
+    return seconds, *sha256_of(stream)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths = []
-            for content in frame.content:
-                with wave.open(io.BytesIO(content)) as w:
-                    lengths.append(w.getnframes() / w.getframerate())
-            yield frame.drop(columns="content").assign(duration_s=lengths)
-
-    if recursive:
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]")
-        given = reader.load(path).select("path", "content")
-    else:
-        given = contents(spark, path)
-    rows = given.withColumn("sha256", F.sha2("content", 256)).select("path", "content", "sha256")
-    return rows.mapInPandas(run, "path string, sha256 string, duration_s double").withColumn("stem", stem(F.col("path")))
+
+def _wav_header(stream: BinaryIO) -> tuple[float, None]:
+    with wave.open(stream) as w:
+        return w.getnframes() / w.getframerate(), None
+
+
+def wav_durations(spark: SparkSession, path: str, recursive: bool = False, hashed: bool = True, opener: Opener | None = None) -> DataFrame:
+    """(path, stem, duration_s, sha256) of WAV files, in all folders below path if recursive.
+
+    If not hashed only headers are read, and sha256 is null.
+    """
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.[wW][aA][vV]"} if recursive else {}
+    rows = read_each(spark, path, _wav if hashed else _wav_header, "duration_s double, sha256 string", opener, **options)
+    return rows.select("path", "sha256", "duration_s", stem(F.col("path")).alias("stem"))
 
 
-def _below(spark: SparkSession, root: str) -> Column:
+def below_root(spark: SparkSession, root: str) -> Column:
     """A file's path relative to root, whatever form the store gives it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/") + "/"
@@ -321,17 +318,17 @@ def _below(spark: SparkSession, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(full)), F.substring(path, len(full) + 1, 1 << 20)).otherwise(F.raise_error(F.concat(F.lit("outside the root: "), path)))
 
 
-def file_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, sha256) of all files below root, paths relative to it; a root without files is an error."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if not found.select("path").limit(1).count():
+def file_hashes(spark: SparkSession, root: str, opener: Opener | None = None) -> DataFrame:
+    """(path, sha256) of all files below root that Spark lists, paths relative to it; a root without files is an error."""
+    found = read_each(spark, root, sha256_of, "sha256 string", opener, recursiveFileLookup="true")
+    if not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path").limit(1).count():
         raise ValueError(f"no files below {root}")
-    return found.select(_below(spark, root).alias("path"), F.sha2("content", 256).alias("sha256"))
+    return found.select(below_root(spark, root).alias("path"), "sha256")
 
 
 def wav_index(spark: SparkSession, root: str) -> DataFrame:
     """(stem, audio, duration_s, sha256) of the WAV files below root, as slr53 asks for; a stem must be there once."""
     lengths = wav_durations(spark, f"{root.rstrip('/')}/", recursive=True)
-    found = lengths.select("stem", _below(spark, root).alias("audio"), "duration_s", "sha256")
+    found = lengths.select("stem", below_root(spark, root).alias("audio"), "duration_s", "sha256")
     require_empty(found.groupBy("stem").count().where("count > 1"), "repeated file stems", "stem")
     return found
