@@ -224,7 +224,7 @@ def merge_transcriptions(chunks: DataFrame, key: str = "recording") -> DataFrame
         out = pd.DataFrame(merged, columns=["start_s", "end_s", "text", "timing_precision"])
         out.insert(0, key, keys[0])
         out.insert(1, "pos", range(len(out)))
-        out["warnings"] = [warnings] * len(out)
+        out["warnings"] = pd.Series([warnings] * len(out), dtype=object)
         return out
 
     return chunks.groupBy(key).applyInPandas(

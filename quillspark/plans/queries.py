@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.distance import long_word_distance, words
 from quillspark.operators import bootstrap as B
-from quillspark.operators import intervals, leakage, manifests, scoring, segments
+from quillspark.operators import intervals, islands, leakage, manifests, scoring, segments
 from quillspark.plans import evaluation, report
 
 #: Stands for a word that no text holds.
@@ -130,15 +130,24 @@ def filter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.filter_summary(_decoded(spark, sf_dir), "event_type")
 
 
-def merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as overlapping decoder windows of words a second long, merged for each conversation."""
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as overlapping decoder windows of words a second long."""
     w = words(F.coalesce("text", F.lit("")))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", w.alias("w"))
     timed = F.transform("w", lambda x, i: F.struct(i.cast("double").alias("start_s"), (i + 1).cast("double").alias("end_s"), x.alias("word")))
-    chunks = turns.select(
+    return turns.select(
         "conv_id", F.col("turn").alias("pos"), (F.col("turn") * 5.0).alias("start_s"), (F.col("turn") * 5.0 + F.size("w")).alias("end_s"), "text", timed.alias("words")
     )
-    return segments.transcript(segments.merge_transcriptions(chunks, "conv_id"), "conv_id")
+
+
+def merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows merged for each conversation."""
+    return segments.transcript(segments.merge_transcriptions(_windows(spark, sf_dir), "conv_id"), "conv_id")
+
+
+def merge_by_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows merged island by island, so that a long conversation is many tasks' work."""
+    return segments.transcript(islands.merge_islands(_windows(spark, sf_dir), "conv_id"), "conv_id")
 
 
 def collapse_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_benchmark, score_by_source, bootstrap_by_source, normalize_documents, code_switch_documents, script_profile, leakage_overlaps,
-        leakage_verdict, union_regions, plan_regions, confidence_filter, filter_summary, merge_windows, collapse_conversations, select_examples,
+        leakage_verdict, union_regions, plan_regions, confidence_filter, filter_summary, merge_windows, merge_by_islands, collapse_conversations, select_examples,
         timestamp_sample, total_hours, segment_violations, license_gate, role_gate, report_matrix, evaluation_cells, duplicate_windows, duplicate_orders, order_key_differences,
     )
 }
@@ -456,3 +465,6 @@ SELECT coalesce(a.o_orderkey, b.l_orderkey) AS o_orderkey, CASE WHEN b.l_orderke
 FROM (SELECT DISTINCT o_orderkey FROM orders) a FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) b ON a.o_orderkey = b.l_orderkey
 WHERE a.o_orderkey IS NULL OR b.l_orderkey IS NULL""",
 }
+
+# The same rows by another plan.
+SQL["merge_by_islands"] = SQL["merge_windows"]
