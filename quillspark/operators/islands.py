@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from quillspark.operators.segments import merge_chunks
 from quillspark.storage import store
 
 
+#: Merged rows that go out at once.
+ROWS = 10_000
+
+
 def earlier(ranged: DataFrame, key: str, order: list[str], columns: dict[str, Column], take: Callable = F.max, both: Callable = F.greatest) -> DataFrame:
     """ranged plus, by name, what take gives of a column over the key's earlier rows; null for its first.
 
@@ -51,24 +59,30 @@ def with_islands(chunks: DataFrame, key: str) -> DataFrame:
 def merge_islands(chunks: DataFrame, key: str = "recording") -> DataFrame:
     """(key, pos, start_s, end_s, text, timing_precision, warnings): the rows of merge_transcriptions, island by island.
 
-    A task holds the chunks of one island, not of a recording.  Defined results: a null key is a recording of its own; null
+    A task goes through sorted islands and holds the chunks of one, not of a recording.  Defined results: a null key is a recording of its own; null
     and empty words are a chunk without word times; a table without rows gives none; times must be finite and no
     chunk may end before it starts (chunk_violations tells those that do).
     """
     kind = chunks.schema[key].dataType.simpleString()
     names = ["start_s", "end_s", "text", "timing_precision"]
 
-    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        merged, warnings = merge_chunks(frame.sort_values("pos", kind="stable").to_dict("records"))
-        out = pd.DataFrame(merged, columns=names)
-        for at, (name, value) in enumerate(((key, keys[0]), ("__part", keys[1]), ("__island", keys[2]), ("__row", range(len(out))))):
-            out.insert(at, name, value)
-        out["__told"] = pd.Series([warnings] * len(out), dtype=object)
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out: list[dict] = []
+        for (name, home, island), own in itertools.groupby(rows, key=itemgetter(key, "__home", "__island")):
+            merged, warnings = merge_chunks(list(own))
+            out += [{key: name, "__part": home, "__island": island, "__row": n, **m, "__told": warnings} for n, m in enumerate(merged)]
+            if len(out) >= ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     needed = chunks.select(key, "pos", "start_s", "end_s", "text", "words")
     schema = f"{key} {kind}, __part int, __island double, __row int, start_s double, end_s double, text string, timing_precision string, __told array<string>"
-    merged = store(with_islands(needed, key).groupBy(key, "__home", "__island").applyInPandas(run, schema), "islands")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    found = with_islands(needed, key)
+    dealt = found.repartition(key, "__home", "__island").sortWithinPartitions(key, "__home", "__island", "pos")
+    merged = store(dealt.mapInArrow(run, schema), "islands")
     place = earlier(merged, key, ["__island", "__row"], {"__before": F.lit(1)}, F.sum, lambda a, b: a + b)
     told = merged.where("__row = 0 AND size(__told) > 0").select(F.col(key).alias("__key"), "__island", F.posexplode("__told").alias("__nth", "warning"))
     first = told.groupBy("__key", "warning").agg(F.min(F.struct("__island", "__nth")).alias("at"))
