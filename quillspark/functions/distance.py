@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Hashable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,8 +71,9 @@ def whole_distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
     return score
 
 
-#: Symbols that are compared at a time along a diagonal, and symbols of the pairs that are taken together.
-STRIDE, TOGETHER = 32, 4_000_000
+#: Symbols that are compared at a time along a diagonal, diagonals of which that is done at once, symbols of the pairs
+#: that are taken together, and bytes of a batch's texts that are taken apart at once.
+STRIDE, LIVE, TOGETHER, APART = 32, 65_536, 1_000_000, 2_000_000
 #: Nanoseconds that a diagonal of a wave, a column of bit vectors and a row of such a column take, about.
 DIAGONAL_NS, COLUMN_NS, ROW_NS = 80, 2_500, 0.1
 
@@ -106,14 +109,16 @@ def waves(lefts: list[np.ndarray], rights: list[np.ndarray]) -> np.ndarray:
         own = np.repeat(np.arange(len(pair)), size)
         a_row = a_at[pair][own]
         b_row = (b_at[pair] + low - begin)[own] + every
-        live = np.flatnonzero(a[a_row + reached] == b[b_row + reached])
-        while len(live):
-            at = reached[live]
-            other = a_strides[a_row[live] + at] != b_strides[b_row[live] + at]
-            first = other.argmax(axis=1)
-            whole = ~other[np.arange(len(live)), first]
-            reached[live] = at + np.where(whole, STRIDE, first)
-            live = live[whole]
+        matching = np.flatnonzero(a[a_row + reached] == b[b_row + reached])
+        for begun in range(0, len(matching), LIVE):
+            live = matching[begun : begun + LIVE]
+            while len(live):
+                at = reached[live]
+                other = a_strides[a_row[live] + at] != b_strides[b_row[live] + at]
+                first = other.argmax(axis=1)
+                whole = ~other[np.arange(len(live)), first]
+                reached[live] = at + np.where(whole, STRIDE, first)
+                live = live[whole]
         goal = (m - n)[pair] - low
         done = (goal >= 0) & (goal < size)
         done[done] = reached[(begin + goal)[done]] >= n[pair[done]]
@@ -145,11 +150,28 @@ def coded(sides: list[Sequence[Hashable]]) -> list[np.ndarray]:
     return [np.fromiter(map(numbers.__getitem__, x), np.uint32, len(x)) for x in sides]
 
 
+def substituted(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
+    """The distance of two sequences of one length of which no symbol at a differing place is also the other's at one, else -1.
+
+    Each of these symbols of the left is one more than the right has, so it takes an edit; substitutions are as many.
+    """
+    if len(left) != len(right):
+        return -1
+    if isinstance(left, str) and isinstance(right, str):
+        a, b = coded([left, right])
+        at = np.flatnonzero(a != b)
+        mine, other = a[at].tolist(), b[at].tolist()
+    else:
+        pairs = [(x, y) for x, y in zip(left, right, strict=True) if x != y]
+        mine, other = [x for x, _ in pairs], [y for _, y in pairs]
+    return len(mine) if set(mine).isdisjoint(other) else -1
+
+
 def distances(lefts: Sequence[Sequence[Hashable]], rights: Sequence[Sequence[Hashable]]) -> list[int]:
-    """Levenshtein distances of pairs: waves of furthest points over pairs of TOGETHER symbols at a time, and bit vectors
-    for pairs of many differences."""
-    out = [0] * len(lefts)
-    unequal = [k for k, (a, b) in enumerate(zip(lefts, rights, strict=True)) if a != b]
+    """Levenshtein distances of pairs: places that differ where these tell it, else waves of furthest points over pairs of
+    TOGETHER symbols at a time, and bit vectors for pairs of many differences."""
+    out = [0 if a == b else substituted(a, b) for a, b in zip(lefts, rights, strict=True)]
+    unequal = [k for k, told in enumerate(out) if told < 0]
     while unequal:
         taken, size = 0, 0
         while taken < len(unequal) and (not taken or size < TOGETHER):
@@ -168,20 +190,28 @@ def distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
     return distances([left], [right])[0]
 
 
-def _of_pairs(left: pd.Series, right: pd.Series, split: bool) -> pd.Series:
-    pairs = [(a, b) if a is not None and b is not None else None for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-    there = [[x.split() for x in p] if split else p for p in pairs if p]
-    told = iter(distances([a for a, _ in there], [b for _, b in there]))
-    return pd.Series([next(told) if p else None for p in pairs], dtype="Int64")
+def _of_pairs(left: pa.Array, right: pa.Array, split: bool) -> pa.Array:
+    """Distances of a batch's pairs, null where a side is; texts become Python's for pairs of APART bytes at a time, their
+    words, too."""
+    sizes = pc.add(*(pc.fill_null(pc.binary_length(x), 0).cast(pa.int64()) for x in (left, right)))
+    nth = np.cumsum(sizes.to_numpy(zero_copy_only=False)) // APART
+    cuts = [0, *(np.flatnonzero(nth[1:] != nth[:-1]) + 1).tolist(), len(nth)]
+    out: list[int | None] = []
+    for a, b in itertools.pairwise(cuts):
+        pairs = [None if x is None or y is None else (x, y) for x, y in zip(*(side[a:b].to_pylist() for side in (left, right)), strict=True)]
+        there = [[x.split() for x in p] if split else p for p in pairs if p]
+        told = iter(distances([x for x, _ in there], [y for _, y in there]))
+        out += [next(told) if p else None for p in pairs]
+    return pa.array(out, pa.int64())
 
 
-@F.pandas_udf(LongType())
-def long_char_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def long_char_distance(left: pa.Array, right: pa.Array) -> pa.Array:
     """char_distance of texts of any length."""
     return _of_pairs(left, right, split=False)
 
 
-@F.pandas_udf(LongType())
-def long_word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def long_word_distance(left: pa.Array, right: pa.Array) -> pa.Array:
     """word_distance of texts of any length."""
     return _of_pairs(left, right, split=True)

@@ -1,12 +1,14 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.functions.distance import coded, distance, distances, waves, whole_distance
+from quillspark.functions import distance as D
+from quillspark.functions.distance import coded, distance, distances, substituted, waves, whole_distance
 from quillspark.functions.text import bengali_fraction, collapse_spaces, normalize, script_counts
 from quillspark.operators import bootstrap as B
 from quillspark.operators import scoring
@@ -155,3 +157,26 @@ def test_bootstrap_ranks_and_settings():
 def test_bengali_repairs(spark, given, expected):
     df = spark.createDataFrame([(given,), (expected,)], "t string").select(normalize(F.col("t")).alias("n"))
     assert [r["n"] for r in df.collect()] == [expected] * 2
+
+
+def test_places_that_differ_tell_the_distance():
+    assert substituted("the cat", "\x01\x01\x01 cat") == 3 and substituted(["the", "a"], ["x", "a"]) == 1 and substituted("a", "bc") == -1
+    assert substituted("abab", "baba") == -1  # two edits, four places
+    rng = random.Random(5)
+    for _ in range(500):
+        a, b = (rng.choices("abcd", k=5) for _ in range(2))
+        assert substituted(a, b) in (plain(a, b), -1) and substituted("".join(a), "".join(b)) == substituted(a, b)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_batch_is_taken_apart_in_bounded_parts(split, monkeypatch):
+    """Memory follows the parts, not the batch: of 400 pairs of 4 kB none stand in more than ten of Python's texts at once."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["a", "bb", "ccc"], k=1500)) for _ in range(20)]
+    pairs = [(t, t.replace("a bb", "bb", 3)) for t in texts] * 20 + [(None, "x"), ("x", None), ("", "a")]
+    most, given = [], D.distances
+    monkeypatch.setattr(D, "APART", 40_000)
+    monkeypatch.setattr(D, "distances", lambda a, b: most.append(len(a)) or given(a, b))
+    found = D._of_pairs(*(pa.array(list(x), pa.string()) for x in zip(*pairs, strict=True)), split).to_pylist()
+    assert max(most) <= 10 and found[-3:] == [None, None, 1]
+    assert found[:20] == found[380:400] == given(*zip(*([x.split() for x in p] if split else p for p in pairs[:20]), strict=True))
