@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterator
-from operator import itemgetter
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
-from quillspark.operators.segments import merge_chunks
+from quillspark.operators.segments import joined, merge_sorted
 from quillspark.storage import store
 
 
-#: Merged rows that go out at once.
-ROWS = 10_000
-
-
 def earlier(ranged: DataFrame, key: str, order: list[str], columns: dict[str, Column], take: Callable = F.max, both: Callable = F.greatest) -> DataFrame:
     """ranged plus, by name, what take gives of a column over the key's earlier rows; null for its first.
 
@@ -56,36 +47,37 @@ def with_islands(chunks: DataFrame, key: str) -> DataFrame:
     return found.select(*chunks.columns, own["at"].alias("__island"), own["home"].alias("__home"))
 
 
+def merged_islands(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, __part, __island, segments, warnings): a row for each island from which something stays; __part is its range.
+
+    A task goes through sorted islands and holds the chunks of one, not of a recording.
+    """
+    found = with_islands(chunks.select(key, "pos", "start_s", "end_s", "text", "words"), key)
+    found = found.withColumnRenamed("__home", "__part")
+    dealt = found.repartition(key, "__part", "__island").sortWithinPartitions(key, "__part", "__island", "pos")
+    return merge_sorted(dealt, key, "__part", "__island")
+
+
 def merge_islands(chunks: DataFrame, key: str = "recording") -> DataFrame:
     """(key, pos, start_s, end_s, text, timing_precision, warnings): the rows of merge_transcriptions, island by island.
 
-    A task goes through sorted islands and holds the chunks of one, not of a recording.  Defined results: a null key is a recording of its own; null
-    and empty words are a chunk without word times; a table without rows gives none; times must be finite and no
-    chunk may end before it starts (chunk_violations tells those that do).
+    Defined results: a null key is a recording of its own; null and empty words are a chunk without word times; a table
+    without rows gives none; times must be finite and no chunk may end before it starts (chunk_violations tells those
+    that do).
     """
-    kind = chunks.schema[key].dataType.simpleString()
-    names = ["start_s", "end_s", "text", "timing_precision"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in batch.to_pylist())
-        out: list[dict] = []
-        for (name, home, island), own in itertools.groupby(rows, key=itemgetter(key, "__home", "__island")):
-            merged, warnings = merge_chunks(list(own))
-            out += [{key: name, "__part": home, "__island": island, "__row": n, **m, "__told": warnings} for n, m in enumerate(merged)]
-            if len(out) >= ROWS:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                out = []
-        yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    needed = chunks.select(key, "pos", "start_s", "end_s", "text", "words")
-    schema = f"{key} {kind}, __part int, __island double, __row int, start_s double, end_s double, text string, timing_precision string, __told array<string>"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    found = with_islands(needed, key)
-    dealt = found.repartition(key, "__home", "__island").sortWithinPartitions(key, "__home", "__island", "pos")
-    merged = store(dealt.mapInArrow(run, schema), "islands")
-    place = earlier(merged, key, ["__island", "__row"], {"__before": F.lit(1)}, F.sum, lambda a, b: a + b)
-    told = merged.where("__row = 0 AND size(__told) > 0").select(F.col(key).alias("__key"), "__island", F.posexplode("__told").alias("__nth", "warning"))
+    merged = store(merged_islands(chunks, key), "islands")
+    place = earlier(merged, key, ["__island"], {"__before": F.size("segments").cast("long")}, F.sum, lambda a, b: a + b).drop("warnings")
+    told = merged.where("size(warnings) > 0").select(F.col(key).alias("__key"), "__island", F.posexplode("warnings").alias("__nth", "warning"))
     first = told.groupBy("__key", "warning").agg(F.min(F.struct("__island", "__nth")).alias("at"))
     warned = first.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "warning")))["warning"].alias("warnings"))
     rows = place.join(warned, F.col(key).eqNullSafe(F.col("__key")), "left")
-    return rows.select(key, F.coalesce("__before", F.lit(0)).cast("int").alias("pos"), *names, F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    rows = rows.select(key, F.coalesce("__before", F.lit(0)).alias("__before"), F.posexplode("segments").alias("__row", "s"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    return rows.select(key, (F.col("__before") + F.col("__row")).cast("int").alias("pos"), "s.*", "warnings")
+
+
+def transcripts(chunks: DataFrame, key: str = "recording") -> DataFrame:
+    """(key, text, duration_s) of recordings merged island by island: a row an island is brought together, not one a segment."""
+    text, end = joined(F.col("segments"))
+    told = merged_islands(chunks, key).select(key, F.struct("__island", text.alias("text")).alias("told"), end.alias("end"))
+    grouped = told.groupBy(key).agg(F.array_sort(F.collect_list("told")).alias("told"), F.max("end").alias("duration_s"))
+    return grouped.select(key, F.array_join(F.col("told")["text"], " ").alias("text"), "duration_s")

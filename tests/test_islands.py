@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import islands, segments
 from quillspark.operators.islands import merge_islands, with_islands
 from quillspark.operators.segments import merge_transcriptions
 from quillspark.storage import held
@@ -54,3 +55,16 @@ def test_a_long_recording_is_many_islands(spark):
     sizes = found.groupBy("__home", "__island").count()
     assert sizes.agg(F.max("count")).first()[0] == 2 and sizes.count() == 1500 and sizes.select("__home").distinct().count() > 1
     assert rows(merge_islands(chunks)) == rows(merge_transcriptions(chunks))
+
+
+def test_one_row_a_recording_and_bounded_parts(spark):
+    """Transcripts come from a row a recording or island, the same by both plans; few chunks are Python's at once."""
+    rng = random.Random(9)
+    given = [c for k in range(40) for c in some_chunks(rng, f"r{k}" if k else None, rng.randint(1, 30), 60)]
+    chunks = spark.createDataFrame(given, CHUNKS).repartition(3)
+    recordings = segments.merge_recordings(chunks)
+    assert recordings.count() == recordings.select("recording").distinct().count() < merge_transcriptions(chunks).count()
+    want = sorted(map(tuple, segments.transcript(merge_transcriptions(chunks)).collect()), key=str)
+    assert sorted(map(tuple, segments.transcripts(recordings).collect()), key=str) == want
+    assert sorted(map(tuple, islands.transcripts(chunks).collect()), key=str) == want
+    assert segments.CHUNKS <= 100 and "FlatMapGroupsInPandas" not in recordings._jdf.queryExecution().toString()
