@@ -258,8 +258,9 @@ def changes(boards: DataFrame) -> DataFrame:
 def change_feed(sales: DataFrame, items: DataFrame, vendors: DataFrame, parts: int = PARTS) -> DataFrame:
     """Changes of each nation's board, as a stream sees them that is started anew for each of the BATCHES.
 
-    Lines are written by batch, and a batch's folder is moved to the stream's folder before the query starts on it; two
-    sentinels of END_DAY move the watermark past every day and let the timers fire.  Folders are new at every call, under
+    Lines are written by batch, and a batch's folder is moved to the stream's folder before the query starts on it.  A
+    sentinel of END_DAY in the last batch moves the watermark past every day, once that batch is done; another, in a start
+    of its own, lets the timers fire.  Folders are new at every call, under
     the shared folder, and go with storage.release.
 
     A nation's state is split into parts by item, so that a nation with most lines is several groups; lines are summed
@@ -272,13 +273,13 @@ def change_feed(sales: DataFrame, items: DataFrame, vendors: DataFrame, parts: i
     home = scratch(spark, "leaderboard")
     staged, feed, out = f"{home}/staged", f"{home}/feed", f"{home}/boards"
     lines(sales, items, vendors).write.partitionBy("batch").parquet(staged)
-    for k in (1, 2):
-        spark.createDataFrame([(END_DAY, END_DAY, None, None, None)], LINE).coalesce(1).write.parquet(f"{staged}/batch={BATCHES + k}")
+    for k in (BATCHES, BATCHES + 1):
+        spark.createDataFrame([(END_DAY, END_DAY, None, None, None)], LINE).coalesce(1).write.mode("append").parquet(f"{staged}/batch={k}")
     publish(spark, None, feed)
     stream = part_boards(spark.readStream.schema(f"{LINE}, batch int").parquet(feed).drop("batch"), parts)
     settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.minBatchesToRetain": "2"}
     with held(spark, settings):
-        for k in range(1, BATCHES + 3):
+        for k in range(1, BATCHES + 2):
             publish(spark, f"{staged}/batch={k}", f"{feed}/batch={k}")
             query = (
                 stream.writeStream.format("parquet")

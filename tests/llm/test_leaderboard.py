@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from quillspark.llm import leaderboard
 
@@ -93,3 +94,21 @@ def test_empty_tables(spark):
         spark.createDataFrame([], "vendor_id long, nation_id int"),
     )
     assert leaderboard.change_feed(*made).count() == 0
+
+
+def test_starts_are_the_batches_and_one(spark):
+    """Each start goes through all state, so the flush takes one beside the batches'; lines of the last batch are not late for it."""
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    sales = [(k, 1, k % 4, 0, 1, 10.0 + k, 0.0, "kept", day(k), "p", "x") for k in (*range(0, 150, 30), *range(160, 175))]
+    made = (
+        spark.createDataFrame(sales, SALES),
+        spark.createDataFrame([(i, 1.0) for i in range(4)], "item_id long, price double"),
+        spark.createDataFrame([(0, 1)], "vendor_id long, nation_id int"),
+    )
+    starts, given = [], leaderboard.publish
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(leaderboard, "publish", lambda s, source, target: starts.append(source) or given(s, source, target))
+        got = leaderboard.change_feed(*made, parts=2).collect()
+    columns = ("nation_id", "arrival_day", "item_id", "batch", "change", "old_rank", "new_rank", "revenue")
+    want = replay(sales, dict.fromkeys(range(4), 1.0), {0: 1})
+    assert len([x for x in starts if x]) == leaderboard.BATCHES + 1 and {tuple(r[c] for c in columns) for r in got} == want
